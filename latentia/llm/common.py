@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes in a binary column (one row at least), to bound memory."""
     at, held = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
         if held and held + n > most:
             yield batch.slice(at, i - at)
             at, held = i, 0

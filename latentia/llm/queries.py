@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentia.llm import mixing, packing, pivots
+from latentia.llm import minhash, mixing, packing, pivots
 from latentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at 100 * intersection >= 85 * union of 3-word shingles, as this query's contract says."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(table(spark, sf_dir, "embeddings"))
 
@@ -24,7 +30,7 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_source_mixing, op9_pivot_topk, op10_cutting_stock_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_source_mixing, op6_minhash_near_dedup, op9_pivot_topk, op10_cutting_stock_packing)}
 
 ORACLES: dict[str, str] = {
     "op9_pivot_topk": """

@@ -58,10 +58,10 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         if n >= k:
             out.append(np.unique(joined[at : at + n - k + 1]))
         elif n:
-            one = np.uint64(n)
-            for x in h[at : at + n]:
-                one = scramble(np.array([one * STEP + x], np.uint64))[0]
-            out.append(np.array([one], np.uint64))
+            one = np.array([n], np.uint64)
+            for i in range(at, at + n):
+                one = scramble(one * STEP + h[i : i + 1])
+            out.append(one)
         else:
             out.append(np.empty(0, np.uint64))
         at += n
@@ -81,7 +81,6 @@ class OnePermutation:
         self.donors = np.hstack([tries, every])
         edges = (np.arange(self.bins + 1, dtype=object) * (1 << 64)) // self.bins
         self.edges = np.array([min(int(e), (1 << 64) - 1) for e in edges], np.uint64)
-        self.salt = scramble(np.arange(1, bands + 1, dtype=np.uint64) * STEP)
 
     def signature(self, hashes: np.ndarray) -> np.ndarray:
         """The least hash of every bin after densification; hashes are sorted, distinct and not empty."""
@@ -101,13 +100,9 @@ class OnePermutation:
             values[empty] = values[donor]
         return values
 
-    def band_keys(self, hashes: np.ndarray) -> np.ndarray:
-        """One 64-bit key (as int64) for each band."""
-        bins = self.signature(hashes).reshape(self.bands, self.rows)
-        key = self.salt.copy()
-        for r in range(self.rows):
-            key = scramble(key * STEP + bins[:, r])
-        return key.view(np.int64)
+    def lanes(self, hashes: np.ndarray) -> np.ndarray:
+        """16 bits of each bin's value; the lanes of a band, side by side, are the band's bucket."""
+        return (self.signature(hashes) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def same_share(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentia.llm import minhash, mixing, packing, pivots
+from latentia.llm import lbl, minhash, mixing, packing, pivots
 from latentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_source_mixing, op6_minhash_near_dedup, op9_pivot_topk, op10_cutting_stock_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_log_bilinear_scores, op4_source_mixing, op6_minhash_near_dedup, op9_pivot_topk, op10_cutting_stock_packing)}
 
 ORACLES: dict[str, str] = {
     "op9_pivot_topk": """

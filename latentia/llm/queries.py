@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentia.llm import lbl, minhash, mixing, packing, pivots
+from latentia.llm import lbl, media, minhash, mixing, packing, pivots, secrets, warc
 from latentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.pcm_features(media.encode_flac(table(spark, sf_dir, "documents")))
+
+
 def op3_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,14 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(table(spark, sf_dir, "embeddings"))
 
@@ -34,7 +46,8 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_log_bilinear_scores, op4_source_mixing, op6_minhash_near_dedup, op9_pivot_topk, op10_cutting_stock_packing)}
+OPERATORS = (op2_flac_media, op3_log_bilinear_scores, op4_source_mixing, op6_minhash_near_dedup, op7_secret_scan, op8_warc_salvage, op9_pivot_topk, op10_cutting_stock_packing)
+QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 
 ORACLES: dict[str, str] = {
     "op9_pivot_topk": """

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentia.llm import lbl, media, minhash, mixing, packing, pivots, secrets, warc
+from latentia.llm import lbl, media, minhash, mixing, packing, pii, pivots, secrets, warc
 from latentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.pcm_features(media.encode_flac(table(spark, sf_dir, "documents")))
 
@@ -46,7 +50,7 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op2_flac_media, op3_log_bilinear_scores, op4_source_mixing, op6_minhash_near_dedup, op7_secret_scan, op8_warc_salvage, op9_pivot_topk, op10_cutting_stock_packing)
+OPERATORS = (op1_feistel_pii, op2_flac_media, op3_log_bilinear_scores, op4_source_mixing, op6_minhash_near_dedup, op7_secret_scan, op8_warc_salvage, op9_pivot_topk, op10_cutting_stock_packing)
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 
 ORACLES: dict[str, str] = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentia.llm import lbl, media, minhash, mixing, packing, pii, pivots, secrets, warc
+from latentia.llm import cotrain, lbl, media, minhash, mixing, packing, pii, pivots, secrets, warc
 from latentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 100 * intersection >= 85 * union of 3-word shingles, as this query's contract says."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
@@ -50,7 +54,7 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_feistel_pii, op2_flac_media, op3_log_bilinear_scores, op4_source_mixing, op6_minhash_near_dedup, op7_secret_scan, op8_warc_salvage, op9_pivot_topk, op10_cutting_stock_packing)
+OPERATORS = (op1_feistel_pii, op2_flac_media, op3_log_bilinear_scores, op4_source_mixing, op5_cotrained_quality, op6_minhash_near_dedup, op7_secret_scan, op8_warc_salvage, op9_pivot_topk, op10_cutting_stock_packing)
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 
 ORACLES: dict[str, str] = {

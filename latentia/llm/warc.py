@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentia.llm.common import BROADCAST_BYTES, cut
+from latentia.llm.common import BROADCAST_BYTES, checkpoint_folder, cut
 
 EOL = "\r\n"
 END = EOL * 2
@@ -201,8 +201,7 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write archives into the shared folder, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
-    cut(spark.range(0))  # makes sure that the folder is set
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
     found = read_warc(spark.read.format("binaryFile").load(path), payloads=False)
     return found.where("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -17,6 +17,7 @@ as often as they occur; an empty table gives no pieces; long documents give many
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,21 +29,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentia.llm.common import cut, slices
+from latentia.llm.shingles import hashed_words
 
 LENGTH = 2048
 UNIT = 16
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 MAX_COLUMNS = 3000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
+#: Words whose runs are plain to see: ASCII but no blanks or apostrophe, and Latin letters with one lower case.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ſ]+")
+RUNS = re.compile(r"[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, local long"
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each stretch, one stretch after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordTokenizer:
     """Token ids of whole texts, each distinct word tokenized once.
 
     White space separates words in this vocabulary (it is dropped before the merges, and no
-    normalization crosses it), so the ids of a text are those of its parts between blanks.
+    normalization crosses it), and case does not matter, so the ids of a text are those of its lower-cased words.
+    Words are kept by 64-bit hash.  A plain word (Latin letters, digits, punctuation, no apostrophe) is
+    the chain of its runs, which are encoded many at a time: a run ends where a token ends a word.  Other
+    words are encoded one by one, and texts that hold special tokens as wholes.
     """
 
     def __init__(self, name: str = VOCABULARY):
@@ -51,36 +65,71 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.starts = self.sizes = self.flat = np.empty(0, np.int64)
-
-    def learn(self, words: set[str]) -> None:
-        """Add words; their ids are kept in one flat array."""
-        if len(self.index) + len(words) > CACHE_WORDS:
-            self.forget()
-        new = [w for w in words if w not in self.index]
-        if not new:
-            return
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        self.hashes, self.starts, self.sizes, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
+
+    def encoded(self, runs: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs in one array, and the number of each; plain runs go in one call."""
+        if plain and runs:
+            ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(runs):
+                return ids, np.diff(ends, prepend=0)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        base = len(self.flat)
-        self.starts = np.concatenate([self.starts, base + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int64, int(sizes.sum()))])
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set().union(*parts) if parts else set())
-        for words in parts:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            yield self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Keep the ids of new words: each is a chain of runs, or one run of its own if it isn't plain."""
+        runs: dict[str, int] = {}
+        odd: list[str] = []
+        chain, counts = [], []
+        for w in words:
+            if PLAIN.fullmatch(w):
+                parts = RUNS.findall(w.lower())
+                chain += [runs.setdefault(r, len(runs)) for r in parts]
+                counts.append(len(parts))
+            else:
+                odd.append(w)
+                chain.append(-len(odd))
+                counts.append(1)
+        a, na = self.encoded(list(runs), True)
+        b, nb = self.encoded(odd, False)
+        ids, sizes = np.concatenate([a, b]), np.concatenate([na, nb])
+        rows = np.array(chain)
+        rows = np.where(rows < 0, len(runs) - rows - 1, rows)
+        own = np.add.reduceat(sizes[rows], np.cumsum(counts) - counts).astype(np.int32)
+        starts = len(self.flat) + np.cumsum(own, dtype=np.int64) - own
+        self.flat = np.concatenate([self.flat, ids[spread((np.cumsum(sizes) - sizes)[rows], sizes[rows])]])
+        order = np.argsort(keys := np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes, self.starts, self.sizes = keys[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, own])[order]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        words = hashed_words(texts)
+        types, first, at = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE_WORDS:
+            self.forget()
+        place = np.searchsorted(self.hashes, types)
+        new = np.flatnonzero((place == len(self.hashes)) | (self.hashes[np.minimum(place, len(self.hashes) - 1)] != types)) if len(self.hashes) else np.arange(len(types))
+        if len(new):
+            data = words.data.tobytes()
+            spans = zip(words.starts[first[new]].tolist(), words.stops[first[new]].tolist(), strict=True)
+            self.learn(types[new], [data[a:b].decode("utf-8", "replace") for a, b in spans])
+            place = np.searchsorted(self.hashes, types)
+        row = place[at]
+        sizes = self.sizes[row]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids = self.flat[spread(self.starts[row], sizes)]
+        last = np.concatenate([[0], ends])[np.cumsum(words.counts)]
+        out = np.split(ids, last[:-1]) if len(texts) else []
+        for i, t in enumerate(texts):
+            if b"<|" in t:
+                out[i] = np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -101,7 +150,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         part, seen = TaskContext.get().partitionId(), {}
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                texts = [(b or b"").decode("utf-8", "replace") for b in batch.column("text").to_pylist()]
+                texts = [b or b"" for b in batch.column("text").to_pylist()]
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), tok.encode(texts), strict=True):
                     raw = np.append(ids, END_ID).astype("<u4")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 _rng = np.random.default_rng(20240607)
@@ -23,28 +25,38 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and each text's number of words."""
+class Words(NamedTuple):
+    data: np.ndarray  # bytes of all texts, a blank between
+    starts: np.ndarray  # of words in data
+    stops: np.ndarray
+    hashes: np.ndarray  # of the words, A-Z lower-cased
+    counts: np.ndarray  # words of each text
+
+
+def hashed_words(texts: list[bytes]) -> Words:
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, np.int64)
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    none = np.empty(0, np.int64)
     gap = IS_SPACE[data]
-    first = ~gap
-    first[1:] &= gap[:-1]
-    starts = np.flatnonzero(first)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
+    starts, stops = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    word = np.cumsum(first) - 1
+        return Words(data, none, none, np.empty(0, np.uint64), np.zeros(len(texts), np.int64))
     inside = np.flatnonzero(~gap)
-    owner = word[inside]
-    place = inside - starts[owner]
+    sizes = stops - starts
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(inside)) - np.repeat(begins, sizes)
     codes = BYTE_CODES[LOWER[data[inside]]] * POWERS[place & 255]
-    if len(place) and place.max() > 255:  # bytes beyond 256 in a word get their block mixed in
-        codes = codes * (scramble((place >> 8).astype(np.uint64)) | np.uint64(1))
-    h = np.add.reduceat(codes, np.searchsorted(inside, starts))
-    counts = np.searchsorted(starts, ends, "left")
-    return scramble(h), np.diff(counts, prepend=0)
+    if sizes.max() > 256:  # bytes beyond 256 in a word get their block mixed in
+        codes = codes * np.where(place > 255, scramble((place >> 8).astype(np.uint64)) | np.uint64(1), np.uint64(1))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, ends, "left"), prepend=0)
+    return Words(data, starts, stops, scramble(np.add.reduceat(codes, begins)), counts)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and each text's number of words."""
+    words = hashed_words(texts)
+    return words.hashes, words.counts
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:

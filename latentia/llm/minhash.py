@@ -6,9 +6,9 @@
    pairs.  Edges whose sketches are too far apart (5.5 standard deviations under the threshold) go.
 3. The rest is confirmed on full sets, and confirmed links give connected components.
 4. No link may be lost because two members only shared a bucket with a centre far from both: buckets that
-   still hold more than one component run further rounds with a new centre.  A member leaves a
-   bucket once it has been its centre, or once its shingles that no other open node has prove that no link
-   is possible: intersection <= n - u, union >= n + (least u in the bucket).
+   still hold more than one component run further rounds with 8, 64, 512 ... new centres.  A member leaves
+   a bucket once it has been its centre, or once its shingles that no other open node has prove that no
+   link is possible: intersection <= n - u, union >= n + (least u in the bucket).
 
 A pair at the threshold is missed if it shares none of the 32 bands (5e-11 at 0.85, 5e-8 at 0.8).
 
@@ -33,6 +33,8 @@ from latentia.llm.shingles import OnePermutation, scramble, shingle_sets
 
 BANDS, ROWS = 32, 4
 DEVIATIONS = 5.5
+#: Centres of a bucket in the second round, and by how much they grow in each round after it.
+CENTRES = 8
 NODE_SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -117,17 +119,16 @@ def confirmed(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return arrow_map(edges.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), check, "a binary, b binary")
 
 
-def star_edges(rows: DataFrame, rank: Column) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) from the member of highest rank to those of other components in each bucket, and the centres.
+def star_edges(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each centre with the members of its bucket that are in other components.
 
-    rows: key, node, root, n, u.
+    rows and centres: key, node, root, n, u.
     """
-    centre = rows.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "node", "root", "n", "u")).alias("c"))
-    met = rows.join(centre, "key").where((F.col("node") != F.col("c.node")) & (F.col("root") != F.col("c.root")))
-    pair = met.select(
-        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"), F.col("u").alias("ua"), F.col("c.u").alias("ub")
+    c = centres.select("key", *[F.col(x).alias(f"c_{x}") for x in ("node", "root", "n", "u")])
+    met = rows.join(c, "key").where((F.col("node") != F.col("c_node")) & (F.col("root") != F.col("c_root")))
+    return met.select(
+        F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b"), F.col("n").alias("na"), F.col("c_n").alias("nb"), F.col("u").alias("ua"), F.col("c_u").alias("ub")
     )
-    return pair, centre.select("key", F.col("c.node").alias("node"))
 
 
 def possible(num: int, den: int) -> Column:
@@ -156,13 +157,13 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int, id_col: str = "
 
     sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("bands").alias(f"k{x}")) for x in "ab")
 
-    def proposals(rows: DataFrame, rank: Column) -> tuple[DataFrame, DataFrame]:
-        pairs, centres = star_edges(rows, rank)
-        pairs = pairs.where(possible(num, den)).groupBy("a", "b").agg(F.min(F.least("na", "nb")).alias("n"))
+    def proposals(rows: DataFrame, centres: DataFrame) -> DataFrame:
+        pairs = star_edges(rows, centres).where(possible(num, den)).groupBy("a", "b").agg(F.min(F.least("na", "nb")).alias("n"))
         near = pairs.join(sketch_a, "a").join(sketch_b, "b").where(near_in_sketch(F.col("ka"), F.col("kb"), F.col("n"), share))
-        return cut(near.select("a", "b")), centres
+        return near.select("a", "b")
 
-    edges, centres = proposals(rows, F.col("weight"))
+    heaviest = rows.groupBy("key").agg(F.max(F.struct("weight", "node", "root", "n", "u")).alias("c")).select("key", "c.*")
+    edges = cut(proposals(rows, heaviest))
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(rows.where("m > 2").select("node")).distinct()
     sets = full_sets(own, nodes.join(ends, "node", "left_semi").select("node", "th", "rep"), k)
     links = cut(confirmed(edges, sets, num, den))
@@ -175,26 +176,28 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int, id_col: str = "
         return now.join(several, "key", "left_semi")
 
     tested = edges
-    rows = cut(relabelled(rows.where("m > 2").join(centres, ["key", "node"], "left_anti")))
-    if not rows.limit(1).isEmpty():
+    rows = cut(relabelled(rows.where("m > 2").join(heaviest.select("key", "node"), ["key", "node"], "left_anti")))
+    centres_at_once = CENTRES
+    while not rows.limit(1).isEmpty():
         open_sets = sets.join(rows.select("node").distinct(), "node", "left_semi")
         alone = open_sets.select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
-        unshared = alone.groupBy("node").agg(F.count(F.lit(1)).alias("u2"))
-        rows = cut(rows.join(unshared, "node", "left").withColumn("u", F.coalesce("u2", "u")).drop("u2"))
-    while True:
+        unshared = alone.groupBy("node").agg(F.count(F.lit(1)).alias("unshared"))
+        rows = rows.drop("u").join(unshared, "node", "left").withColumn("u", F.coalesce("unshared", F.lit(0))).drop("unshared")
         least = rows.groupBy("key").agg(F.min("u").alias("least"))
         alive = den * (F.col("n") - F.col("u")) >= num * (F.col("n") + F.col("least"))
-        rows = cut(relabelled(rows.join(least, "key").where(alive).drop("least")))
-        if rows.limit(1).isEmpty():
-            break
-        edges, centres = proposals(rows, -F.col("u") / F.col("n"))
-        edges = cut(edges.join(tested, ["a", "b"], "left_anti"))
+        rows = relabelled(cut(rows.join(least, "key").where(alive).drop("least")))
+        held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+        chosen = F.pmod(F.xxhash64("node", F.lit(centres_at_once)), "held") < centres_at_once
+        rows = cut(rows.join(held, "key").withColumn("centre", chosen).drop("held"))
+        centres = rows.where("centre")
+        edges = cut(proposals(rows, centres).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(edges)
         more = cut(confirmed(edges, sets, num, den))
         if not more.limit(1).isEmpty():
             links = links.union(more)
             label = components(links)
-        rows = rows.join(centres, ["key", "node"], "left_anti")
+        rows = cut(relabelled(rows.where("not centre").drop("centre")))
+        centres_at_once *= CENTRES
 
     roots = nodes.select("node", F.col("label").alias("own")).join(label.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = cut(roots)

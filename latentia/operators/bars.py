@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentia.functions.expr import DAY, SECOND, bin_of, day_of
-from latentia.operators.order import with_neighbour
+from latentia.operators.order import quantiles, with_neighbour
 
 
 def last_bars(ticks: DataFrame, width: int, offset: int = 0) -> DataFrame:
@@ -55,7 +55,10 @@ def gaps(ticks: DataFrame) -> DataFrame:
 def arrival_stats(ticks: DataFrame, sparse: float = 0.1) -> DataFrame:
     """Median and mean gap in seconds, share of gaps over a second, and whether that share is a warning."""
     long = F.avg((F.col("gap") > 1).cast("int"))
-    return gaps(ticks).groupBy("symbol").agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.avg("gap").alias("mean_gap"), long.alias("share_over_1s"), (long > sparse).alias("sparse"))
+    g = gaps(ticks).select("symbol", "gap")
+    middle = quantiles(g, "gap", [0.5], ["symbol"]).select("symbol", F.col("q").alias("median_gap"))
+    means = g.groupBy("symbol").agg(F.avg("gap").alias("mean_gap"), long.alias("share_over_1s"), (long > sparse).alias("sparse"))
+    return means.join(middle, "symbol", "left").select("symbol", "median_gap", "mean_gap", "share_over_1s", "sparse")
 
 
 def same_time_share(ticks: DataFrame) -> DataFrame:

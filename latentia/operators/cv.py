@@ -64,6 +64,6 @@ def training_sizes(rows: DataFrame, h: int, embargo: int, label: str | None = No
 
 def dummy_oof(rows: DataFrame, label: str, h: int, embargo: int) -> DataFrame:
     """Out-of-fold predictions of the training mean; folds without training rows are left out."""
-    folds = training_sizes(rows, h, embargo, label).where("n_train > 0").select(F.col("fold").alias("ordinal"), (F.col("y_train") / F.col("n_train")).alias("y_pred"))
+    folds = training_sizes(rows, h, embargo, label).where("n_train > 0").select(F.col("fold").alias("ordinal"), (F.col("y_train") / F.col("n_train")).alias("prior"))
     ordinal = day_table(rows).select("day", "ordinal")
-    return rows.join(ordinal, "day").join(folds, "ordinal").select("pos", F.col("ordinal").alias("fold"), F.col(label).alias("y_true"), "y_pred")
+    return rows.join(ordinal, "day").join(folds, "ordinal").select("pos", F.col("ordinal").alias("fold"), F.col(label).alias("y_true"), F.col("prior").alias("y_pred"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -20,3 +23,16 @@ def session(app: str = "latentia", master: str | None = None, **more: str) -> Sp
     for k, v in (CONF | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine import the package wherever the driver was started.
+
+    On a cluster the package travels as usual (``--py-files``).
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+    return spark

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.functions.expr import micros
+from latentia.session import ship
 
 #: Fixed column order of the headerless archives.
 COLUMNS = ("agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "timestamp", "is_buyer_maker", "is_best_match")
@@ -37,7 +38,7 @@ def zip_ticks(spark: SparkSession, path: str, strict: bool = False) -> DataFrame
                             symbol = pa.array([name.rsplit("/", 1)[-1].removesuffix(".zip")] * part.num_rows)
                             yield pa.RecordBatch.from_arrays([symbol, part.column("timestamp"), part.column("agg_trade_id"), part.column("price")], names=["symbol", "stamp", "seq", "price"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = ship(spark).read.format("binaryFile").load(path).select("path", "content")
     raw = files.mapInArrow(run, "symbol string, stamp long, seq long, price double")
     us = F.when(F.col("stamp") >= MICROSECONDS_FROM, F.col("stamp")).otherwise(F.col("stamp") * 1000)
     return raw.select("symbol", us.alias("us"), "seq", "price")
@@ -75,7 +76,7 @@ def archive_report(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name.rsplit("/", 1)[-1], 0, "invalid", None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["file", "members", "status", "rows"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, members int, status string, rows long")
+    return ship(spark).read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, members int, status string, rows long")
 
 
 def windows(spark: SparkSession, pattern: str, label: str = r"([^/]+)\.parquet") -> DataFrame:
@@ -85,11 +86,11 @@ def windows(spark: SparkSession, pattern: str, label: str = r"([^/]+)\.parquet")
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol (event type), us, seq, price of the events with a positive value."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 0")
+    e = ship(spark).read.parquet(f"{sf_dir}/events.parquet").where("value > 0")
     return e.select(F.col("event_type").alias("symbol"), micros("ts").alias("us"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
 
 
 def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol (priority), us, seq, price of the orders; many share a time."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 0")
+    o = ship(spark).read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 0")
     return o.select(F.col("o_orderpriority").alias("symbol"), micros("o_orderdate").alias("us"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latentia.session import stored
+
 
 def with_neighbour(df: DataFrame, columns: list[str], order: list[str], chunk: Column, key: str = "symbol", ahead: bool = False, prefix: str = "prev_") -> DataFrame:
     """Adds prefix + column: the value in the row before (or after) within the symbol.
@@ -42,6 +44,7 @@ def running(groups: DataFrame, value: str, sums: list[str], keys: list[str] | No
     Chunks of the value range come from approximate quantiles and only balance the work; the result is exact.
     """
     keys = keys or []
+    groups = stored(groups)
     bounds = groups.approxQuantile(value, [i / chunks for i in range(1, chunks)], 0.02) if chunks > 1 else []
     edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
     rows = groups.withColumn("__chunk", F.size(F.filter(edges, lambda b: b <= F.col(value))))

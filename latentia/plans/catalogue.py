@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from latentia.functions.expr import DAY, SECOND, day_of, moment, normal_gate, period, phase
 from latentia.operators import bars, calibrate, cv, filters, labels, metrics, models, noise, realized, regimes
 from latentia.operators.order import positions, quantiles
+from latentia.session import stored
 from latentia.sources.ticks import event_ticks, order_ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,7 +387,7 @@ def dataset(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, sf_dir: str, targets: list[str], nulls: bool = False) -> DataFrame:
-    return models.prepared(dataset(spark, sf_dir, nulls), FEATURES, targets, EMBARGO, F.floor(F.col("pos") / 100_000)).persist()
+    return stored(models.prepared(dataset(spark, sf_dir, nulls), FEATURES, targets, EMBARGO, F.floor(F.col("pos") / 100_000)))
 
 
 @query
@@ -397,9 +398,9 @@ def lr_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compared(rows: DataFrame, folds: models.Folds, n_labels: int, scheme: str) -> DataFrame:
     """label, scheme, auc_real, auc_dummy."""
-    real = metrics.auc(models.logistic_oof(rows, folds, n_labels, len(FEATURES)), ["label"]).select("label", F.col("auc").alias("auc_real"))
-    dummy = metrics.auc(models.prior_oof(rows, folds, n_labels, len(FEATURES)), ["label"]).select("label", F.col("auc").alias("auc_dummy"))
-    return real.join(dummy, "label").select("label", F.lit(scheme).alias("scheme"), "auc_real", "auc_dummy")
+    real, dummy = (f(rows, folds, n_labels, len(FEATURES)).withColumn("model", F.lit(name)) for name, f in (("real", models.logistic_oof), ("dummy", models.prior_oof)))
+    scored = metrics.auc(real.unionByName(dummy), ["label", "model"])
+    return scored.groupBy("label").agg(F.lit(scheme).alias("scheme"), *[F.max(F.when(F.col("model") == m, F.col("auc"))).alias(f"auc_{m}") for m in ("real", "dummy")])
 
 
 @query

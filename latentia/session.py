@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,3 +37,14 @@ def ship(spark: SparkSession) -> SparkSession:
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
     return spark
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read from there; lost executors cost nothing that is stored.
+
+    The folder is the session's ``spark.checkpoint.dir``, a temporary one only where none is set, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="latentia-checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -13,7 +13,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, flag: Column) -> tuple[DataFrame, int]:
+    """cut(df) and the number of rows for which flag holds, counted on the way by the same job."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(flag).alias("n")))
+    return out, seen.get.get("n") or 0
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null: each word becomes one letter, then the spaces go (no array of words)."""
     return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "x"), SPACES, "")), F.lit(0)).cast("long")

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentia.llm.common import BROADCAST_BYTES, arrow_map, cut, slices
-from latentia.llm.components import components
+from latentia.llm.common import BROADCAST_BYTES, arrow_map, cut, cut_counted, slices
+from latentia.llm.components import components, joined
 from latentia.llm.shingles import OnePermutation, scramble, shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -166,8 +166,7 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int, id_col: str = "
     edges = cut(proposals(rows, heaviest))
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(rows.where("m > 2").select("node")).distinct()
     sets = full_sets(own, nodes.join(ends, "node", "left_semi").select("node", "th", "rep"), k)
-    links = cut(confirmed(edges, sets, num, den))
-    label = components(links)
+    label = components(cut(confirmed(edges, sets, num, den)))
 
     def relabelled(rows: DataFrame) -> DataFrame:
         """Open rows only: those in buckets that still hold more than one component."""
@@ -176,27 +175,23 @@ def near_duplicates(docs: DataFrame, k: int, num: int, den: int, id_col: str = "
         return now.join(several, "key", "left_semi")
 
     tested = edges
-    rows = cut(relabelled(rows.where("m > 2").join(heaviest.select("key", "node"), ["key", "node"], "left_anti")))
+    rows, left = cut_counted(relabelled(rows.where("m > 2").join(heaviest.select("key", "node"), ["key", "node"], "left_anti")), F.lit(True))
     centres_at_once = CENTRES
-    while not rows.limit(1).isEmpty():
+    while left:
         open_sets = sets.join(rows.select("node").distinct(), "node", "left_semi")
         alone = open_sets.select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
         unshared = alone.groupBy("node").agg(F.count(F.lit(1)).alias("unshared"))
-        rows = rows.drop("u").join(unshared, "node", "left").withColumn("u", F.coalesce("unshared", F.lit(0))).drop("unshared")
-        least = rows.groupBy("key").agg(F.min("u").alias("least"))
+        rows = cut(rows.drop("u").join(unshared, "node", "left").withColumn("u", F.coalesce("unshared", F.lit(0))).drop("unshared"))
+        least = rows.groupBy("key").agg(F.min("u").alias("least"), F.count(F.lit(1)).alias("held"))
         alive = den * (F.col("n") - F.col("u")) >= num * (F.col("n") + F.col("least"))
-        rows = relabelled(cut(rows.join(least, "key").where(alive).drop("least")))
-        held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
         chosen = F.pmod(F.xxhash64("node", F.lit(centres_at_once)), "held") < centres_at_once
-        rows = cut(rows.join(held, "key").withColumn("centre", chosen).drop("held"))
-        centres = rows.where("centre")
-        edges = cut(proposals(rows, centres).join(tested, ["a", "b"], "left_anti"))
+        rows = cut(rows.join(least, "key").where(alive).withColumn("centre", chosen).drop("least", "held"))
+        edges = cut(proposals(rows, rows.where("centre")).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(edges)
-        more = cut(confirmed(edges, sets, num, den))
-        if not more.limit(1).isEmpty():
-            links = links.union(more)
-            label = components(links)
-        rows = cut(relabelled(rows.where("not centre").drop("centre")))
+        more, found = cut_counted(confirmed(edges, sets, num, den), F.lit(True))
+        if found:
+            label = joined(label, more)
+        rows, left = cut_counted(relabelled(rows.where("not centre").drop("centre")), F.lit(True))
         centres_at_once *= CENTRES
 
     roots = nodes.select("node", F.col("label").alias("own")).join(label.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))

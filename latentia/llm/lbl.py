@@ -1,18 +1,20 @@
 """Operator 3: a log-bilinear language model trained with noise-contrastive estimation.
 
 Vocabulary.  Tokens are 64-bit word hashes (two words of a corpus of V types collide with probability
-about V^2 / 2^65).  The CLASSES - 2 most frequent words, the end of a text and "rare" are the classes of the
-neural model; a rare word's probability is the class's times its share of the rare training tokens, with
-Good-Turing mass for the one unknown type.  So probabilities over all training types plus one unknown
-type sum to 1.
+about V^2 / 2^65).  Every training type is an outcome of the model, in three levels: P(class | context), where the
+classes are the FREQUENT most frequent words, the end of a text and groups of all other words; P(cell | group, context);
+P(word | cell, context).  There is a cell for about LEAF types, and about as many groups as cells in a group, so groups,
+cells and words grow with the corpus.  One unknown type takes a Good-Turing share of the groups' mass; so probabilities
+over all training types plus the unknown one sum to 1.
 
-Model.  P(class | two classes before) ~ exp((c1 * q[h1] + c2 * q[h2]) . r[class] + b[class]).  Each
-task trains a copy by noise-contrastive estimation on its own training texts, in numpy; the copies are
-averaged, weighted by tokens.  Scores are normalised exactly by batched matrix products over the distinct
-contexts of a batch.
+Model.  Each level is P(x | two words before) ~ exp((c1 * q[h1] + c2 * q[h2]) . r[x] + b[x]) within its parent.  A frequent
+word has its own q; another word's q is the sum of two rows picked by its hash out of two tables of BUCKETS rows (pairs of rows:
+BUCKETS^2).  Classes and cells are trained in ROUNDS passes: each task trains a copy of the shared parameters by
+noise-contrastive estimation on its own training texts, and the copies are averaged, weighted by tokens.
 
-Counts of all types stay distributed.  The HEAD most frequent ones (a bounded table) are looked up in the
-scoring tasks; other tokens leave as (row, hash, times) and meet their counts in a join.
+Words within cells stay distributed: every token outside the frequent words goes, packed with its context, to the task of its cell,
+which counts the cell's types, trains their vectors with noise from their counts, and scores the tokens.  The driver
+holds classes and cells (a 256th of the types), never the types.
 
 Defined cases: a null or empty text is its end token; a null id counts as training; an empty table gives an empty
 result; with no training text every token is unknown, and base and score stay finite.
@@ -32,8 +34,13 @@ from pyspark.sql import functions as F
 from latentia.llm.common import cut, slices
 from latentia.llm.shingles import word_hashes
 
-CLASSES, WIDTH, CONTEXT, NOISE, BATCH, RATE = 512, 16, 2, 32, 4096, 0.05
-RARE, END = 0, 1
+FREQUENT, WIDTH, CONTEXT, NOISE, BATCH, RATE = 510, 16, 2, 32, 4096, 0.05
+END = 0
+LEAF = 256  # types in a cell
+BUCKETS_LOG = 10
+NEAR = 2  # noise samples of a token within its group or cell
+ROUNDS = 2
+PACK = 200_000  # tokens of a task of cells
 HEAD = 1 << 19
 BYTES = 2 << 20
 SEED = 3
@@ -85,38 +92,42 @@ def token_counts(training: DataFrame, hold: int = 1_000_000) -> DataFrame:
 
 
 class Corpus(NamedTuple):
-    """Bounded statistics of the training tokens."""
+    """Statistics of the training tokens: the frequent words and the cells of all other types."""
 
     tokens: int  # N, ends included
     types: int  # V, the end included
     texts: int
     once: int  # types seen once
-    head: np.ndarray  # hashes of the HEAD most frequent types, sorted
-    head_counts: np.ndarray
-    words: np.ndarray  # hashes of the neural classes from 2 on, sorted
-    class_counts: np.ndarray  # by class
+    words: np.ndarray  # hashes of the frequent words, sorted
+    word_counts: np.ndarray
+    groups: int
+    cell_counts: np.ndarray  # tokens by cell; cells of a group are neighbours
 
     @property
     def rare_tokens(self) -> int:
-        return int(self.class_counts[RARE])
+        return int(self.cell_counts.sum())
 
     @property
     def unknown(self) -> float:
-        """Share of the rare class that the unknown type gets."""
+        """Share of the groups' mass that the unknown type gets."""
         return (self.once + 0.5) / (self.rare_tokens + self.once + 1)
 
-    def rare_share(self, counts: np.ndarray) -> np.ndarray:
-        known = (1 - self.unknown) * counts / max(self.rare_tokens, 1)
-        return np.where(counts > 0, known, self.unknown)
+    @property
+    def class_counts(self) -> np.ndarray:
+        return np.concatenate([[self.texts], self.word_counts, self.cell_counts.reshape(self.groups, -1).sum(1)])
+
+    def cells(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(33)) % np.uint64(len(self.cell_counts))).astype(np.int64)
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
+        group = 1 + len(self.words) + self.cells(hashes) // (len(self.cell_counts) // self.groups)
         if not len(self.words):
-            return np.full(len(hashes), RARE)
+            return group
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 2, RARE)
+        return np.where(self.words[at] == hashes, at + 1, group)
 
 
-def corpus_statistics(counts: DataFrame, texts: int, classes: int = CLASSES, head: int = HEAD) -> Corpus:
+def corpus_statistics(counts: DataFrame, texts: int, frequent: int = FREQUENT, head: int = HEAD) -> Corpus:
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     step = F.floor(F.log2("c") * 16)  # counts in some hundreds of steps, so no sort of all types
     least, room = None, head
@@ -125,27 +136,33 @@ def corpus_statistics(counts: DataFrame, texts: int, classes: int = CLASSES, hea
         if room < 0:
             break
         least = r["s"]
+        if head - room >= frequent:
+            break
     top = counts.where(step >= F.lit(least)).toArrow()
     hashes, c = np.asarray(top.column("h"), np.int64).view(np.uint64), np.asarray(top.column("c"), np.int64)
-    order = np.lexsort((hashes, -c))
-    hashes, c = hashes[order], c[order]
-    words, order = np.sort(hashes[: classes - 2]), np.argsort(hashes)
-    by_class = np.zeros(classes, np.int64)
-    by_class[2 : 2 + len(words)] = c[: classes - 2][np.argsort(hashes[: classes - 2])]
-    by_class[END] = texts
-    by_class[RARE] = row["n"] - int(by_class[2:].sum())
-    return Corpus(row["n"] + texts, row["v"] + bool(texts), texts, row["once"], hashes[order], c[order], words, by_class)
+    best = np.lexsort((hashes, -c))[:frequent]
+    best = best[np.argsort(hashes[best])]
+    words, word_counts = hashes[best], c[best]
+    n = max(1, -(-row["v"] // LEAF))
+    groups = 1 << round(np.log2(n) / 2)
+    n = -(-n // groups) * groups
+    cell_counts = np.zeros(n, np.int64)
+    found = counts.groupBy((F.shiftrightunsigned("h", 33) % n).cast("int").alias("cell")).agg(F.sum("c").alias("c")).toArrow()
+    cell_counts[np.asarray(found.column("cell"), np.int64)] = np.asarray(found.column("c"), np.int64)
+    np.subtract.at(cell_counts, ((words >> np.uint64(33)) % np.uint64(n)).astype(np.int64), word_counts)
+    return Corpus(row["n"] + texts, row["v"] + bool(texts), texts, row["once"], words, word_counts, groups, cell_counts)
 
 
 class LogBilinear:
-    """Parameters r, q (a row for each class), c (for each context position) and b."""
+    """Parameters r (a row for each class), q (for each class and bucket), c (for each context position) and b."""
 
-    def __init__(self, class_counts: np.ndarray, width: int = WIDTH):
+    def __init__(self, class_counts: np.ndarray, width: int = WIDTH, buckets_log: int = BUCKETS_LOG):
         rng = np.random.default_rng(SEED)
         n = len(class_counts)
+        self.log = buckets_log
         self.noise = (class_counts + 0.5) / (class_counts + 0.5).sum()
         self.r = rng.normal(0, 0.1, (n, width)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (n, width)).astype(np.float32)
+        self.q = rng.normal(0, 0.1, (n + (2 << buckets_log), width)).astype(np.float32)
         self.c = np.ones((CONTEXT, width), np.float32)
         self.b = np.log(self.noise).astype(np.float32)
 
@@ -159,25 +176,47 @@ class LogBilinear:
             setattr(self, name, vector[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
+    def rows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of q of context codes (a class, or the number of classes plus a word's low hash bits), which codes have a second row, and that."""
+        n = len(self.b)
+        other = np.flatnonzero(codes >= n)
+        first, bits = codes.copy(), codes[other] - n
+        first[other] = n + (bits & ((1 << self.log) - 1))
+        return first, other, n + (1 << self.log) + (bits >> self.log)
+
+    def embedded(self, codes: np.ndarray) -> np.ndarray:
+        first, other, second = self.rows(codes)
+        out = self.q[first]
+        out[other] += self.q[second]
+        return out
+
+    def hidden(self, contexts: np.ndarray) -> np.ndarray:
+        return sum(self.embedded(contexts[:, i]) * self.c[i] for i in range(CONTEXT))
+
     def train(self, classes: np.ndarray, contexts: np.ndarray, squares: dict, rng: np.random.Generator) -> None:
         """One pass over tokens and their contexts; a batch shares its noise samples; AdaGrad steps."""
         n, width = self.r.shape
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
         cdf = np.cumsum(self.noise)
 
-        def scattered(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        def scattered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
             flat = (at[:, None] * width + np.arange(width)).ravel()
-            return np.bincount(flat, rows.ravel(), n * width).reshape(n, width)
+            return np.bincount(flat, rows.ravel(), size * width).reshape(size, width)
 
         for start in range(0, len(classes), BATCH):
             w, h = classes[start : start + BATCH], contexts[start : start + BATCH]
             z = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), n - 1)
-            q = [self.q[h[:, i]] for i in range(CONTEXT)]
+            q = [self.embedded(h[:, i]) for i in range(CONTEXT)]
             hidden = sum(q[i] * self.c[i] for i in range(CONTEXT))
             right = 1 / (1 + np.exp((hidden * self.r[w]).sum(1) + self.b[w] - log_noise[w]))
             wrong = -1 / (1 + np.exp(-(hidden @ self.r[z].T + self.b[z] - log_noise[z])))
             back = right[:, None] * self.r[w] + wrong @ self.r[z]
-            grad = {"r": scattered(w, right[:, None] * hidden), "q": sum(scattered(h[:, i], back * self.c[i]) for i in range(CONTEXT)), "c": np.stack([(back * q[i]).sum(0) for i in range(CONTEXT)]), "b": np.bincount(w, right, n)}
+            at, of = [], []
+            for i in range(CONTEXT):
+                first, other, second = self.rows(h[:, i])
+                at += [first, second]
+                of += [back * self.c[i], back[other] * self.c[i]]
+            grad = {"r": scattered(w, right[:, None] * hidden, n), "q": scattered(np.concatenate(at), np.vstack(of), len(self.q)), "c": np.stack([(back * q[i]).sum(0) for i in range(CONTEXT)]), "b": np.bincount(w, right, n)}
             np.add.at(grad["r"], z, wrong.T @ hidden)
             np.add.at(grad["b"], z, wrong.sum(0))
             for name, g in grad.items():
@@ -185,17 +224,76 @@ class LogBilinear:
                 squares[name] = squares.get(name, 1e-8) + g * g
                 setattr(self, name, (getattr(self, name) + RATE * g / np.sqrt(squares[name])).astype(np.float32))
 
-    def log10(self, classes: np.ndarray, contexts: np.ndarray, block: int = 4096) -> np.ndarray:
-        """Normalised log10 P(class | context); the normaliser is a matrix product over distinct contexts."""
-        codes, at = np.unique(contexts[:, 0] * len(self.b) + contexts[:, 1], return_inverse=True)
-        hidden = self.q[codes // len(self.b)] * self.c[0] + self.q[codes % len(self.b)] * self.c[1]
-        norm = np.empty(len(codes), np.float64)
+    def log10(self, classes: np.ndarray, contexts: np.ndarray, block: int = 512) -> np.ndarray:
+        """Normalised log10 P(class | context)."""
+        return self.log10_and_tail(classes, contexts, len(self.b), block)[0]
+
+    def log10_and_tail(self, classes: np.ndarray, contexts: np.ndarray, tail: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and log10 of the mass of the classes from ``tail`` on; both are matrix products over distinct contexts."""
+        codes, at = np.unique((contexts[:, 0] << 32) | contexts[:, 1], return_inverse=True)
+        hidden = self.hidden(np.stack([codes >> 32, codes & 0xFFFFFFFF], 1))
+        norm, last = np.empty(len(codes), np.float64), np.empty(len(codes), np.float64)
         for s in range(0, len(codes), block):
             logits = hidden[s : s + block] @ self.r.T + self.b
             top = logits.max(1, keepdims=True)
-            norm[s : s + block] = np.log(np.exp(logits - top).sum(1)) + top[:, 0]
+            e = np.exp(logits - top)
+            rest = e[:, tail:].sum(1)
+            last[s : s + block] = np.log(np.maximum(rest, 1e-30)) + top[:, 0]
+            norm[s : s + block] = np.log(e[:, :tail].sum(1) + rest) + top[:, 0]
         own = np.einsum("ij,ij->i", hidden[at], self.r[classes]) + self.b[classes]
-        return (own - norm[at]) / np.log(10)
+        return (own - norm[at]) / np.log(10), (last - norm)[at] / np.log(10)
+
+
+class Members:
+    """P(member | parent, context) for members that are neighbours by parent: parent g has starts[g] to starts[g + 1]."""
+
+    def __init__(self, counts: np.ndarray, starts: np.ndarray, width: int = WIDTH):
+        self.starts = starts
+        self.parent = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        mass = counts + 0.5
+        self.cdf = np.cumsum(mass)
+        self.edge = np.concatenate([[0.0], self.cdf])[starts]
+        noise = mass / np.diff(self.edge)[self.parent]
+        self.log_noise = np.log(NEAR * noise).astype(np.float32)
+        self.r = np.zeros((len(counts), width), np.float32)
+        self.b = np.log(noise).astype(np.float32)
+        self.squares = np.full((len(counts), width + 1), 1e-8, np.float32)
+
+    def train(self, members: np.ndarray, hidden: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass of noise-contrastive estimation with noise from the parent's counts; only touched rows move."""
+        for start in range(0, len(members), BATCH):
+            w, h = members[start : start + BATCH], hidden[start : start + BATCH]
+            g = self.parent[w]
+            low, high = self.edge[g][:, None], self.edge[g + 1][:, None]
+            z = np.searchsorted(self.cdf, low + rng.random((len(w), NEAR)) * (high - low), "right")
+            z = np.clip(z, self.starts[g][:, None], self.starts[g + 1][:, None] - 1)
+            x = np.concatenate([w[:, None], z], 1)
+            s = np.einsum("ij,ikj->ik", h, self.r[x]) + self.b[x] - self.log_noise[x]
+            step = -1 / (1 + np.exp(-s))
+            step[:, 0] += 1
+            rows, at = np.unique(x, return_inverse=True)
+            full = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+            width = full.shape[1]
+            flat = (at.reshape(-1, 1) * width + np.arange(width)).ravel()
+            grad = np.bincount(flat, (step[:, :, None] * full[:, None, :]).ravel(), len(rows) * width).reshape(-1, width) / len(w)
+            self.squares[rows] += grad * grad
+            move = (RATE * grad / np.sqrt(self.squares[rows])).astype(np.float32)
+            self.r[rows] += move[:, :-1]
+            self.b[rows] += move[:, -1]
+
+    def log10(self, members: np.ndarray, hidden: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Normalised log10 P(member | its parent, context)."""
+        out = np.einsum("ij,ij->i", hidden, self.r[members]).astype(np.float64) + self.b[members]
+        order = np.argsort(self.parent[members], kind="stable")
+        cuts = np.searchsorted(self.parent[members][order], np.arange(len(self.starts)))
+        for g in range(len(self.starts) - 1):
+            own = slice(self.starts[g], self.starts[g + 1])
+            for s in range(cuts[g], cuts[g + 1], block):
+                rows = order[s : min(s + block, cuts[g + 1])]
+                logits = hidden[rows] @ self.r[own].T + self.b[own]
+                top = logits.max(1, keepdims=True)
+                out[rows] -= np.log(np.exp(logits - top).sum(1)) + top[:, 0]
+        return out / np.log(10)
 
 
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,42 +309,62 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def class_sequence(corpus: Corpus, tokens: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and the two classes before each token (the end class before a text begins)."""
+    """Classes, and codes of the two words before each token (the end class before a text begins)."""
     classes = corpus.classes(tokens)
     classes[ends] = END
+    low = np.uint64((1 << 2 * BUCKETS_LOG) - 1)
+    codes = np.where(classes > len(corpus.words), 1 + len(corpus.words) + corpus.groups + (tokens & low).astype(np.int64), classes)
     place = np.arange(len(classes)) - np.repeat(ends - sizes + 1, sizes)
-    before = [np.where(place >= i, np.roll(classes, i), END) for i in (1, 2)]
+    before = [np.where(place >= i, np.roll(codes, i), END) for i in (1, 2)]
     return classes, np.stack(before, 1)
 
 
-def train(training: DataFrame, corpus: Corpus) -> LogBilinear:
-    """A model trained on every training text; copies are averaged position by position on the cluster."""
-    sc = training.sparkSession.sparkContext
-    shared = sc.broadcast((corpus.words, corpus.class_counts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, by_class = shared.value
-        own = Corpus(0, 0, 0, 0, words[:0], words[:0], words, by_class)
-        model, squares, seen = LogBilinear(by_class), {}, 0
-        rng = np.random.default_rng([SEED, TaskContext.get().partitionId()])
-        for whole in batches:
-            for batch in slices(whole, "text", BYTES):
-                classes, contexts = class_sequence(own, *sequences([t or b"" for t in batch.column("text").to_pylist()]))
-                order = rng.permutation(len(classes))
-                model.train(classes[order], contexts[order], squares, rng)
-                seen += len(classes)
-        if seen:
-            v = model.vector().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * seen), pa.array(np.full(len(v), float(seen)))], names=["i", "x", "w"])
+def cell_members(corpus: Corpus) -> Members:
+    return Members(corpus.cell_counts, np.arange(corpus.groups + 1) * (len(corpus.cell_counts) // corpus.groups))
 
-    model = LogBilinear(corpus.class_counts)
-    mean = training.select("text").mapInArrow(run, "i int, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
-    if mean.num_rows:
-        model.load(np.asarray(mean.column("x"))[np.argsort(np.asarray(mean.column("i")))])
-    return model
 
+def train(training: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> tuple[LogBilinear, Members]:
+    """Classes and cells trained on every training text; copies are averaged position by position on the cluster, in rounds.
 
-PARTIAL = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>, times array<long>"
+    Cells are trained in the last round, with the contexts of the classes' model.
+    """
+    sc = training.sparkSession.sparkContext
+    model, cells = LogBilinear(corpus.class_counts), cell_members(corpus)
+    for turn in range(rounds):
+        shared = sc.broadcast((corpus, model.vector(), turn, turn == rounds - 1))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, vector, turn, last = shared.value
+            model, cells, squares, seen = LogBilinear(own.class_counts), cell_members(own), {}, 0
+            model.load(vector)
+            rng = np.random.default_rng([SEED, turn, TaskContext.get().partitionId()])
+            for whole in batches:
+                for batch in slices(whole, "text", BYTES):
+                    tokens, ends, sizes = sequences([t or b"" for t in batch.column("text").to_pylist()])
+                    classes, contexts = class_sequence(own, tokens, ends, sizes)
+                    order = rng.permutation(len(classes))
+                    model.train(classes[order], contexts[order], squares, rng)
+                    if last:
+                        rare = order[classes[order] > len(own.words)]
+                        cells.train(own.cells(tokens[rare]), model.hidden(contexts[rare]), rng)
+                    seen += len(classes)
+            if seen:
+                v = np.concatenate([model.vector(), cells.r.ravel(), cells.b] if last else [model.vector()]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * seen), pa.array(np.full(len(v), float(seen)))], names=["i", "x", "w"])
+
+        mean = training.select("text").mapInArrow(run, "i int, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
+        if mean.num_rows:
+            v = np.asarray(mean.column("x"))[np.argsort(np.asarray(mean.column("i")))]
+            n = len(model.vector())
+            model.load(v)
+            if len(v) > n:
+                cells.r = v[n : n + cells.r.size].reshape(cells.r.shape).astype(np.float32)
+                cells.b = v[n + cells.r.size :].astype(np.float32)
+    return model, cells
+
+
+TOKEN = np.dtype([("uid", "<i8"), ("h", "<u8"), ("one", "<i4"), ("two", "<i4"), ("more", "<f4"), ("held", "?")])
+DOC = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,77 +373,91 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     training = flagged.where(~F.col("held_out"))
     counts = cut(token_counts(training))
     corpus = corpus_statistics(counts, training.count())
-    model = train(training, corpus)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((corpus, model.vector()))
+    model, cells = train(training, corpus)
+    shared = docs.sparkSession.sparkContext.broadcast((corpus, model.vector(), cells.r, cells.b))
     total = corpus.tokens + 0.5 * (corpus.types + 1)
+    tasks = 1 + corpus.rare_tokens // PACK
+    doc_type = pa.struct([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, vector = shared.value
-        model = LogBilinear(corpus.class_counts)
+        """Rows of documents with what classes and cells say, and packs of the tokens outside the frequent words by task of cells."""
+        corpus, vector, r, b = shared.value
+        model, cells = LogBilinear(corpus.class_counts), cell_members(corpus)
         model.load(vector)
+        cells.r, cells.b = r, b
+        own_counts = np.concatenate([[corpus.texts], corpus.word_counts])
         uid = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, "text", BYTES):
                 tokens, ends, sizes = sequences([t or b"" for t in batch.column("text").to_pylist()])
                 classes, contexts = class_sequence(corpus, tokens, ends, sizes)
-                types, at = np.unique(tokens, return_inverse=True)
-                c = np.zeros(len(types), np.int64)
-                known = np.zeros(len(types), bool)
-                if len(corpus.head):
-                    place = np.minimum(np.searchsorted(corpus.head, types), len(corpus.head) - 1)
-                    known = corpus.head[place] == types
-                    c = np.where(known, corpus.head_counts[place], 0)
-                here = known[at]
-                here[ends] = True
-                count = c[at]
-                count[ends] = corpus.texts
-                base = np.where(here, np.log10((count + 0.5) / total), 0.0)
-                neural = model.log10(classes, contexts)
-                rare = here & (classes == RARE)
-                neural[rare] += np.log10(corpus.rare_share(count[rare]))
-                starts = ends - sizes + 1
+                rare = np.flatnonzero(classes > len(corpus.words))
+                count = own_counts[np.minimum(classes, len(corpus.words))]
+                base = np.log10((count + 0.5) / total)
+                base[rare] = count[rare] = 0
+                neural, tail = model.log10_and_tail(classes, contexts, 1 + len(corpus.words))
+                at = corpus.cells(tokens[rare])
+                neural[rare] += cells.log10(at, model.hidden(contexts[rare]))
                 doc = np.repeat(np.arange(len(ends)), sizes)
-                out = ~here
-                pairs, times = np.unique(doc[out] * len(types) + at[out], return_counts=True)
-                offsets = np.searchsorted(pairs, np.arange(len(ends) + 1) * len(types)).astype(np.int32)
-                tail = types[pairs % max(len(types), 1)].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(uid + np.arange(len(ends))),
-                        batch.column("doc_id"),
-                        batch.column("held_out"),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array(np.add.reduceat((here & (count > 0)).astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(base, starts)),
-                        pa.array(np.add.reduceat(neural, starts)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(tail)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64))),
-                    ],
-                    names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail", "times"],
-                )
+                pack = np.empty(len(rare), TOKEN)
+                pack["uid"], pack["h"], pack["one"], pack["two"] = uid + doc[rare], tokens[rare], contexts[rare, 0], contexts[rare, 1]
+                pack["more"], pack["held"] = tail[rare] - neural[rare], np.asarray(batch.column("held_out").to_pylist(), bool)[doc[rare]]
+                order = np.argsort(at % tasks, kind="stable")
+                keys, first = np.unique((at % tasks)[order], return_index=True)
+                packs = [x.tobytes() for x in np.split(pack[order], first[1:])] if len(rare) else []
+                starts = ends - sizes + 1
+                columns = [uid + np.arange(len(ends)), batch.column("doc_id"), batch.column("held_out"), sizes.astype(np.int64), np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(neural, starts)]
+                own = pa.StructArray.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, doc_type, strict=True)], fields=list(doc_type))
+                for part in range(0, len(packs), 256):
+                    k = keys[part : part + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(packs[part : part + 256], pa.binary()), pa.nulls(len(k), doc_type)], names=["task", "pack", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ends)) % tasks, pa.int32()), pa.nulls(len(ends), pa.binary()), own], names=["task", "pack", "doc"])
                 uid += len(ends)
 
-    partial = cut(flagged.mapInArrow(run, PARTIAL))
-    tail = partial.select("uid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("uid", F.col("t.tail").alias("h"), F.col("t.times").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    share = F.when(c > 0, F.lit((1 - corpus.unknown) / max(corpus.rare_tokens, 1)) * c).otherwise(F.lit(corpus.unknown))
-    more = (
-        tail.join(counts, "h", "left")
-        .groupBy("uid")
-        .agg(
-            F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known2"),
-            F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(total))).alias("base2"),
-            F.sum(F.col("n") * F.log10(share)).alias("score2"),
-        )
-    )
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return partial.drop("tail", "times").join(more, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + zero("known2")).alias("n_known"),
-        F.lit(corpus.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("base2")).alias("base_score"),
-        (F.col("score") + zero("score2")).alias("score"),
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents as they came, and by document the sums over its tokens in this task's cells."""
+        corpus, vector, _, _ = shared.value
+        packs = []
+        for batch in batches:
+            packs += [np.frombuffer(x, TOKEN) for x in batch.column("pack").drop_null().to_pylist()]
+            own = batch.column("doc").drop_null()
+            if len(own):
+                yield pa.RecordBatch.from_arrays(own.flatten(), names=[f.name for f in doc_type])
+        if not packs:
+            return
+        t = np.concatenate(packs)
+        packs.clear()
+        t = t[np.lexsort((t["two"], t["one"], t["h"]))]
+        types, at = np.unique(t["h"], return_inverse=True)
+        c = np.bincount(at[~t["held"]], minlength=len(types))
+        of = corpus.cells(types)
+        order = np.lexsort((types, of))
+        order = order[c[order] > 0]
+        place = np.full(len(types), -1)
+        place[order] = np.arange(len(order))
+        member, count = place[at], c[at]
+        score = t["more"] + np.log10(corpus.unknown)
+        if len(order):
+            first = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) > 0]))
+            leaf = Members(c[order], np.append(first, len(order)))
+            model = LogBilinear(corpus.class_counts)
+            model.load(vector)
+            known = np.flatnonzero(member >= 0)
+            hidden = model.hidden(np.stack([t["one"], t["two"]], 1).astype(np.int64))
+            rng = np.random.default_rng([SEED, int(types[0] & np.uint64(0xFFFFFFFF))])
+            use = rng.permutation(np.flatnonzero(~t["held"]))
+            leaf.train(member[use], hidden[use], rng)
+            score[known] = leaf.log10(member[known], hidden[known]) + np.log10(1 - corpus.unknown)
+        uid, at = np.unique(t["uid"], return_inverse=True)
+        sums = [np.bincount(at, x, len(uid)) for x in (count > 0, np.log10((count + 0.5) / total), score.astype(np.float64))]
+        for s in range(0, len(uid), 100_000):
+            e = min(s + 100_000, len(uid))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[s:e]), pa.nulls(e - s, pa.int64()), pa.nulls(e - s, pa.bool_()), pa.nulls(e - s, pa.int64()), pa.array(sums[0][s:e].astype(np.int64)), pa.array(sums[1][s:e]), pa.array(sums[2][s:e])], names=[f.name for f in doc_type])
+
+    parts = flagged.mapInArrow(run, f"task int, pack binary, doc struct<{DOC}>").repartition(tasks, "task").mapInArrow(within, DOC)
+    once = lambda c: F.max(c).alias(c)
+    return (
+        parts.groupBy("uid")
+        .agg(*map(once, ("doc_id", "held_out", "n_tokens")), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
     )

@@ -130,6 +130,28 @@ def test_model_probabilities_sum_to_one():
     assert (10**p).sum() == pytest.approx(1)
 
 
+def test_rare_words_depend_on_their_context(spark):
+    """Words beyond the frequent ones: the same words in another order score otherwise, and the parts sum to one."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    common = " ".join(f"c{j}" for j in range(lbl.FREQUENT))
+    pair = lambda a, b: f"rareleft{a} rareright{b}"
+    rows = [(i, " ".join([common] * 2 if n < 40 else [pair(j, j) for j in range(n % 5, 40, 5)])) for n, i in enumerate(ids[:400])]
+    good, bad = (" ".join(pair(j, (j + k) % 40) for j in range(40)) for k in (0, 7))
+    docs = spark.createDataFrame([*rows, (held[0], good), (held[1], bad)], "doc_id long, text string").coalesce(2)
+    got = {r["doc_id"]: r for r in lbl.score(docs).collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert abs(got[held[0]]["score"] - got[held[1]]["score"]) > 1e-3
+    training = lbl.with_flags(docs, "doc_id", "text").where("NOT held_out")
+    corpus = lbl.corpus_statistics(lbl.token_counts(training), training.count())
+    assert corpus.class_counts.sum() == corpus.tokens and len(corpus.cell_counts) * lbl.LEAF >= corpus.types - 1
+    assert lbl.corpus_statistics(spark.range(100_000).selectExpr("xxhash64(id) h", "2L c"), 1).cell_counts.size >= 100_000 // lbl.LEAF
+    members = lbl.Members(np.array([3, 1, 2, 5]), np.array([0, 2, 4]))
+    members.r += np.arange(4)[:, None] / 10
+    p = 10 ** members.log10(np.arange(4), np.ones((4, lbl.WIDTH), np.float32))
+    assert p[:2].sum() == pytest.approx(1) and p[2:].sum() == pytest.approx(1)
+
+
 def test_mixture_meets_its_targets(docs):
     rows = mixing.mix_report(docs).toPandas()
     texts = text_of(docs)

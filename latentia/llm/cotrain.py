@@ -6,8 +6,11 @@ classifier is calibrated on held-out labels, and the unlabelled documents it is
 pseudo-labels for the other one.  In the end the calibrated views are combined by a third regression on the
 held-out labels, and every document is scored where it is.
 
-Fitting uses bounded samples: at most LABELLED labelled and POOL unlabelled documents, the first by a hash of the
-id.  Scoring reads all documents.
+Only the labelled documents are a bounded sample: at most LABELLED, the first by a hash of the id.  Every other document
+takes part as unlabelled: in PASSES passes a round the tasks give it its pseudo-label (by the first round in which the
+other view is sure of it) and add up each view's gradient; only sums reach the driver.  A step divides the sums by
+the curvature of the labelled rows, raised to that of the pseudo-labelled ones on the diagonal.  The pseudo-labelled documents together
+weigh at most as much as the labelled ones.
 
 Defined cases: a text that is null or without words scores 0 and is rejected; null source, language and length are
 values of their own; labels that are null are ignored, repeated ones averaged; without labels of both
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from latentia.llm.common import slices
 from latentia.llm.shingles import IS_SPACE, hashed_words
 
-LABELLED, POOL, ROUNDS = 6000, 3000, 3
+LABELLED, ROUNDS, PASSES = 6000, 3, 2
 CONFIDENT = 0.98
 HELD_OUT = 4  # every 4th labelled document calibrates
 KEEP = 0.5
@@ -140,30 +143,6 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS) -> Model:
-    held = np.arange(len(y)) % HELD_OUT == 0
-    own = {"text": (xt[~held], y[~held]), "meta": (xm[~held], y[~held])}
-    views, pools = {"text": xt, "meta": xm}, {"text": pool_t, "meta": pool_m}
-    free = {k: np.ones(len(pool_t), bool) for k in own}
-    for r in range(rounds + 1):
-        fitted = {k: fit(*own[k]) for k in own}
-        scale = {k: platt(fitted[k].logit(views[k][held]), y[held]) for k in own}
-        if r == rounds:
-            break
-        p = {k: sigmoid(fitted[k].logit(pools[k]) * scale[k][0] + scale[k][1]) for k in own}
-        changed = False
-        for giver, taker in (("text", "meta"), ("meta", "text")):
-            sure = free[taker] & (np.maximum(p[giver], 1 - p[giver]) >= CONFIDENT)
-            if sure.any():
-                changed = True
-                free[taker] &= ~sure
-                own[taker] = np.vstack([own[taker][0], pools[taker][sure]]), np.concatenate([own[taker][1], (p[giver][sure] > 0.5).astype(float)])
-        if not changed:
-            break
-    z = np.column_stack([fitted[k].logit(views[k][held]) * scale[k][0] + scale[k][1] for k in ("text", "meta")])
-    return Model(fitted["text"], fitted["meta"], scale["text"], scale["meta"], fit(z, y[held], steps=400))
-
-
 def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     xt, counts = text_view([t or b"" for t in batch.column("text").to_pylist()])
     return xt, meta_view(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars"))), counts
@@ -173,6 +152,101 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
 
 
+PAIRS = (("text", "meta"), ("meta", "text"))
+L2, FARTHEST = 1e-3, 2.0
+
+
+class View(NamedTuple):
+    """A view's regression and the calibration of its logits."""
+
+    model: Regression
+    slope: float
+    offset: float
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.model.logit(x) * self.slope + self.offset)
+
+
+def pseudo_labels(givers: list[View], x: np.ndarray) -> np.ndarray:
+    """Labels by the first giver that is sure, NaN where none is."""
+    y = np.full(len(x), np.nan)
+    for g in givers:
+        p = g.probability(x)
+        sure = np.isnan(y) & (np.maximum(p, 1 - p) >= CONFIDENT)
+        y[sure] = p[sure] > 0.5
+    return y
+
+
+def gradient(model: Regression, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums over rows: gradient by weight and offset, curvature on the diagonal, number of rows."""
+    z = np.column_stack([((x - model.mean) / model.scale).astype(np.float32), np.ones(len(x), np.float32)])
+    p = sigmoid(z[:, :-1] @ model.w + model.b)
+    return np.concatenate([z.T @ (p - y), (z * z).T @ np.maximum(p * (1 - p), 0.05), [len(x)]]).astype(np.float64)
+
+
+def pool_sums(docs: DataFrame, sample: np.ndarray, givers: dict[str, list[View]], now: dict[str, Regression]) -> dict[str, np.ndarray]:
+    """gradient() of both views over the pseudo-labelled documents outside the labelled sample."""
+    shared = docs.sparkSession.sparkContext.broadcast((sample, givers, now))
+
+    def run(batches):
+        sample, givers, now = shared.value
+        sums = {k: np.zeros(2 * len(now[k].w) + 3) for k in now}
+        for whole in batches:
+            for batch in slices(whole, "text", BYTES):
+                out = np.isin(np.array([-1 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64), sample) & np.asarray(batch.column("doc_id").is_valid())
+                xt, xm, _ = views(batch)
+                x = {"text": xt[~out], "meta": xm[~out]}
+                for giver, taker in PAIRS:
+                    y = pseudo_labels(givers[giver], x[giver])
+                    sure = ~np.isnan(y)
+                    if sure.any():
+                        sums[taker] += gradient(now[taker], x[taker][sure], y[sure])
+        yield pa.RecordBatch.from_arrays([pa.array([sums[k].tobytes()], pa.binary()) for k in ("text", "meta")], names=["text", "meta"])
+
+    out = {k: np.zeros(2 * len(now[k].w) + 3) for k in now}
+    for row in plain(docs).mapInArrow(run, "text binary, meta binary").toLocalIterator():
+        for k in out:
+            out[k] += np.frombuffer(row[k], np.float64)
+    return out
+
+
+def stepped(model: Regression, x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> Regression:
+    """One step on labelled rows and the sums of the pseudo-labelled ones."""
+    n, d = pool[-1], len(model.w) + 1
+    z = np.column_stack([(x - model.mean) / model.scale, np.ones(len(x))])
+    p = sigmoid(z[:, :-1] @ model.w + model.b)
+    weight = min(1.0, len(x) / max(n, 1.0))
+    ridge = np.append(np.full(d - 1, L2), 1e-6)
+    slope = (z.T @ (p - y) + weight * pool[:d]) / (len(x) + weight * n) + ridge * np.append(model.w, 0.0)
+    curve = (z * np.maximum(p * (1 - p), 0.05)[:, None]).T @ z / len(x)
+    curve += np.diag(ridge + np.maximum(pool[d : 2 * d] / max(n, 1.0) - np.diag(curve), 0))
+    move = np.linalg.solve(curve, slope)
+    move *= min(1.0, FARTHEST / (np.sqrt(np.mean((z @ move) ** 2)) + 1e-12))
+    return model._replace(w=(model.w - move[:-1]).astype(np.float32), b=float(model.b - move[-1]))
+
+
+def co_train(docs: DataFrame, ids: np.ndarray, xt: np.ndarray, xm: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The model from the labelled sample (ids, views, labels) and all other documents of docs."""
+    held = np.arange(len(y)) % HELD_OUT == 0
+    x = {"text": xt, "meta": xm}
+    now = {k: fit(x[k][~held], y[~held]) for k in x}
+    calibrated = lambda: {k: View(now[k], *platt(now[k].logit(x[k][held]), y[held])) for k in x}
+    views_now = calibrated()
+    givers: dict[str, list[View]] = {k: [] for k in x}
+    for _ in range(rounds):
+        for k in x:
+            givers[k].append(views_now[k])
+        for _ in range(PASSES):
+            sums = pool_sums(docs, ids, givers, now)
+            now = {k: stepped(now[k], x[k][~held], y[~held], sums[k]) if sums[k][-1] else now[k] for k in x}
+        if not any(v[-1] for v in sums.values()):
+            break
+        views_now = calibrated()
+    z = np.column_stack([v.model.logit(x[k][held]) * v.slope + v.offset for k, v in views_now.items()])
+    scale = {k: (v.slope, v.offset) for k, v in views_now.items()}
+    return Model(now["text"], now["meta"], scale["text"], scale["meta"], fit(z, y[held], steps=400))
+
+
 def sample_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, text view, metadata view) of the documents with the given ids: a bounded set, in id order."""
 
@@ -201,15 +275,11 @@ def fit_model(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Mo
     if len(set(of.values())) < 2:
         return None
     frame = lambda x: spark.createDataFrame(pa.table({"doc_id": pa.array(x, pa.int64())}))
-    first = [r[0] for r in ids.where("doc_id IS NOT NULL").orderBy(mark, "doc_id").limit(2 * POOL).collect()]
-    labelled = {r[0] for r in known.join(F.broadcast(frame(first)), "doc_id", "left_semi").select("doc_id").collect()}
-    pool = [i for i in dict.fromkeys(first) if i not in labelled and i not in of][:POOL]
-    i, xt, xm = sample_features(docs, frame([*of, *pool]))
-    y = np.array([of.get(int(k), np.nan) for k in i])
-    known_rows = ~np.isnan(y)
-    if len(set(y[known_rows].tolist())) < 2 or len(set(y[known_rows][::HELD_OUT].tolist())) < 2:
+    i, xt, xm = sample_features(docs, frame([*of]))
+    y = np.array([of[int(k)] for k in i])
+    if len(set(y.tolist())) < 2 or len(set(y[::HELD_OUT].tolist())) < 2:
         return None
-    return co_train(xt[known_rows], xm[known_rows], y[known_rows], xt[~known_rows], xm[~known_rows])
+    return co_train(docs, i, xt, xm, y)
 
 
 SCORES = "text_score double, meta_score double, score double, keep boolean"

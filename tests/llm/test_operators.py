@@ -180,6 +180,18 @@ def test_quality_on_held_out_labels(spark):
     assert right > max(got["quality"].mean(), 1 - got["quality"].mean()) + 0.1 or right > 0.9
 
 
+def test_every_unlabelled_document_gives_gradients(spark):
+    """No bound on the pool: all documents outside the labelled sample, those without an id too, when the views are sure."""
+    docs = spark.range(7000).selectExpr("nullif(id, 6999) doc_id", "concat('word ', id) text", "'web' source", "'en' lang", "id n_chars")
+    size = {"text": cotrain.CLASSES**3 + cotrain.WORDS + cotrain.CLASSES + 3, "meta": cotrain.SOURCES + cotrain.LANGS + 3}
+    flat = {k: cotrain.Regression(np.zeros(n), np.ones(n), np.zeros(n, np.float32), 0.0) for k, n in size.items()}
+    sure = {k: [cotrain.View(m, 1.0, 9.0)] for k, m in flat.items()}
+    got = cotrain.pool_sums(docs, np.arange(10), sure, flat)
+    assert [v[-1] for v in got.values()] == [6990, 6990] and all(v[len(flat[k].w)] == pytest.approx(-3495) for k, v in got.items())
+    whole = cotrain.pool_sums(docs.repartition(7), np.arange(10), sure, flat)
+    assert all(np.allclose(got[k], whole[k], rtol=1e-4, atol=1e-3) for k in got)
+
+
 def brute_components(texts: dict, k: int, num: int, den: int) -> dict:
     sets = {i: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set()) for i, t in texts.items() for w in [words(t)]}
     root = {i: i for i in sets}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +109,24 @@ def bootstrap_shares(spark: SparkSession, pool: list[float], k: int = 7, draws:
     return spark.range(draws).mapInPandas(run, "draw long, share double")
 
 
+def bootstrap_by_symbol(days: DataFrame, column: str = "rv", k: int = 7, draws: int = 5000, seed: int = 0) -> DataFrame:
+    """symbol, draw, share: bootstrap_shares of every symbol's days; a null share where a symbol has fewer than k days.
+
+    A symbol's days are one array (bounded by the calendar, not by ticks).
+    """
+    pools = days.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", F.col(column).alias("x")))), lambda d: d["x"]).alias("pool"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            shares = []
+            for i, symbol, x in zip(part["id"], part["symbol"], part["pool"], strict=True):
+                v = np.random.default_rng([seed, i, zlib.crc32((symbol or "").encode())]).choice(np.asarray(x, float), k, replace=False) if len(x) >= k else None
+                shares.append(None if v is None else v.max() / v.sum())
+            yield pd.DataFrame({"symbol": part["symbol"], "draw": part["id"], "share": pd.array(shares, "Float64")})
+
+    return days.sparkSession.range(draws).crossJoin(F.broadcast(pools)).mapInPandas(run, "symbol string, draw long, share double")
+
+
 def acf_at(values: DataFrame, column: str, lags: list[int]) -> DataFrame:
     """symbol, lag, acf at a few lags, centred by the whole mean."""
     mean = values.groupBy("symbol").agg(F.avg(column).alias("mean"))

@@ -182,9 +182,8 @@ def mad_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bootstrap_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws of 7 calm days: the share of the largest day (the pool is one number for each calendar day)."""
-    calm = realized.calm_days(realized.daily_metrics(event_ticks(spark, sf_dir), MINUTES_10)).where("symbol = 'purchase'").orderBy("day")
-    return realized.bootstrap_shares(spark, [r["rv"] for r in calm.select("rv").collect()], draws=2000)
+    """Draws of 7 calm days of each symbol: the share of the largest day (a pool is one number for each calendar day)."""
+    return realized.bootstrap_by_symbol(realized.calm_days(realized.daily_metrics(event_ticks(spark, sf_dir), MINUTES_10)))
 
 
 @query

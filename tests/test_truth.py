@@ -11,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from latentia.operators import calibrate, filters, metrics, models, noise, order, realized, regimes
+from latentia.plans import catalogue
 from latentia.sources import sinks, ticks
 from latentia.streaming import filters as streaming
+from tests.conftest import SMALL
 
 
 def test_roll_recovers_the_bounce(spark):
@@ -121,6 +123,17 @@ def test_auc_mirrors_and_permutations_centre(spark):
     assert metrics.auc(df.where("y_true = 1")).first()["auc"] is None
 
 
+def test_bootstrap_null_draws_every_symbol(spark):
+    rows = [(s, d, float(d + 1)) for s, n in (("a", 9), ("b", 8), ("c", 3)) for d in range(n)]
+    got = realized.bootstrap_by_symbol(spark.createDataFrame(rows, "symbol string, day int, rv double"), draws=40).toPandas()
+    assert got.groupby("symbol")["draw"].nunique().to_dict() == {"a": 40, "b": 40, "c": 40}
+    assert got[got.symbol == "c"]["share"].isna().all() and got[got.symbol != "c"]["share"].between(1 / 7, 1).all()
+    null = catalogue.bootstrap_null(spark, SMALL)
+    assert null.columns == ["symbol", "draw", "share"]
+    by = null.groupBy("symbol").count().collect()
+    assert len(by) == 5 and {r["count"] for r in by} == {5000}
+
+
 def test_bootstrap_needs_enough_days(spark):
     with pytest.raises(ValueError):
         realized.bootstrap_shares(spark, [1.0], 7)

@@ -145,19 +145,23 @@ def parse_member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """Records in order; what lies between valid ones comes as one gap with its first failure."""
-    zipped = MAGIC in data[: 1 << 16] and b"WARC/1." not in data[:7]
-    parse, mark = (parse_member, MAGIC) if zipped else (parse_record, b"WARC/1.")
+    """Records in order; what lies between valid ones comes as one gap with its first failure.
+
+    Each place is read by the mark that stands there, so damage never decides the format of what follows.
+    """
     at, gap, reason = 0, None, ""
+    ahead = {MAGIC: -1, b"WARC/1.": -1}  # next place of each mark, the length where none is left
     while at < len(data):
         try:
-            header, block, end = parse(data, at)
+            header, block, end = (parse_member if data.startswith(MAGIC, at) else parse_record)(data, at)
         except Broken as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = data.find(mark, at + 1)
-            if at < 0:
-                break
+            for mark, place in ahead.items():
+                if place <= at:
+                    place = data.find(mark, at + 1)
+                    ahead[mark] = len(data) if place < 0 else place
+            at = min(ahead.values())
             continue
         if gap is not None:
             yield Found(gap, at - gap, None, b"", reason)
@@ -204,4 +208,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
     found = read_warc(spark.read.format("binaryFile").load(path), payloads=False)
-    return found.where("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    wrote, seen = pages.count(), found.agg(F.count_if(F.col("gap").isNull()).alias("n"), F.count("gap").alias("gaps")).first()
+    if seen["gaps"] or seen["n"] != wrote:
+        raise ValueError(f"{wrote} pages were written, {seen['n']} records and {seen['gaps']} gaps read back")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -269,6 +270,23 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_salvage_after_a_long_damaged_first_record(spark, monkeypatch):
+    def record(body: bytes) -> bytes:
+        return b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+
+    long = np.random.default_rng(1).bytes(100_000)
+    member = bytearray(gzip.compress(record(long)))
+    member[:4] = b"\0\0\0\0"
+    rest = [gzip.compress(record(b"b")), gzip.compress(record(b"c"))]
+    assert [f.block for f in warc.salvage(bytes(member) + b"".join(rest)) if f.header] == [b"b", b"c"]
+    hurt = b"XARC" + record(gzip.compress(b"body"))[4:]
+    assert [f.block for f in warc.salvage(hurt + record(b"d") + record(b"e")) if f.header] == [b"d", b"e"]
+    read = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda *a, **k: read(*a, **k).withColumn("gap", F.lit("lost")))
+    with pytest.raises(ValueError, match="gaps read back"):
+        warc.round_trip(spark.createDataFrame([(1, "http://x", "a", None)], "page_id long, url string, html string, digest string")).count()
+
+
 def test_top_k_equals_brute_force(spark, duck):
     got = queries.op9_pivot_topk(spark, SMALL).toPandas().sort_values(["query_id", "rank"])
     want = duck.execute(queries.ORACLES["op9_pivot_topk"]).df().sort_values(["query_id", "rank"])

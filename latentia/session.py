@@ -39,12 +39,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there; lost executors cost nothing that is stored.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder (``spark.checkpoint.dir``).
 
-    The folder is the session's ``spark.checkpoint.dir``, a temporary one only where none is set, as in tests.
+    Only a local master, whose one process is driver and executor, gets a temporary folder where none is set; on a
+    cluster that is an error, since other machines could not see it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="latentia-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read from there; lost executors cost nothing that is stored."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

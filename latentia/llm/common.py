@@ -6,48 +6,28 @@ and ``bytes.lower()`` have exactly those two meanings, which is why kernels work
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from types import TracebackType
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from latentia.session import checkpoint_folder, ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: A table is broadcast by hint only below this many bytes, measured on the table itself.
 BROADCAST_BYTES = 8 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers that share this machine's files import the package.
-
-    On a cluster the package travels as usual (``--py-files``); this only saves local runs
-    whose working directory is elsewhere.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in have:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared folder (``spark.checkpoint.dir``); a temporary one where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="latentia-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files.
 
@@ -65,6 +45,41 @@ def cut_counted(df: DataFrame, flag: Column) -> tuple[DataFrame, int]:
     return out, seen.get.get("n") or 0
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """Parquet tables in a folder of their own under the shared checkpoint folder, deleted in the end.
+
+    A table read back has no partitioning, so the next join exchanges both its sides and Spark can split a hot key
+    (a checkpoint keeps the partitioning it was made with, which bars that).
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        drop_folder(self.spark, self.path)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def counted(self, df: DataFrame, flag: Column) -> tuple[DataFrame, int]:
+        """cut(df) and the number of rows for which flag holds, counted by the writing job."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count_if(flag).alias("n")))
+        return out, seen.get.get("n") or 0
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null: each word becomes one letter, then the spaces go (no array of words)."""
     return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "x"), SPACES, "")), F.lit(0)).cast("long")

@@ -2,20 +2,21 @@
 
 1. Each text becomes its set of word shingles and a one-permutation sketch of 128 lanes (optimal
    densification), cut into 32 bands of 4.  Texts with equal sets are one node from here on.
-2. Nodes meet in band buckets.  A bucket proposes star edges from its centre to the others, never all
-   pairs.  Edges whose sketches are too far apart (5.5 standard deviations under the threshold) go.
-3. The rest is confirmed on full sets, and confirmed links give connected components.
-4. No link may be lost because two members only shared a bucket with a centre far from both: buckets that
-   still hold more than one component run further rounds with 8, 64, 512 ... new centres.  A member leaves
-   a bucket once it has been its centre, or once its shingles that no other open node has prove that no
-   link is possible: intersection <= n - u, union >= n + (least u in the bucket).
+2. Nodes meet in band buckets.  A bucket proposes star edges from its centre to its other members, never all
+   pairs: at most one edge for each node and bucket.  The centre is the node with most company over all its buckets, so the original of a
+   group of near copies is its centre in bucket after bucket.
+3. Nodes of buckets with more than two members meet once more in finer buckets (two bands together, 64 for each node), whose
+   centres are drawn by a hash, for members that were near each other but not near their centre.
+4. Every edge is confirmed on full sets; confirmed links give connected components.
 
-A pair at the threshold is missed if it shares none of the 32 bands (5e-11 at 0.85, 5e-8 at 0.8).
+So edges grow in proportion to the nodes, whatever the size of a group, and hot buckets are split by Spark's skew join.
+What is given up for that: two texts are found linked only by a path of confirmed star edges.  A link is missed if in every bucket
+the two share, the centre is near to one of them at most; measured recall is in the README.
 
 Defined cases: texts that are null or without words have an empty set and are linked with nothing;
 texts with fewer words than a shingle are one shingle; equal sets are linked, whatever the ids;
 null ids take the least id of their component and are never the kept row; an empty table gives an
-empty result; extra columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+empty result; extra columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentia.llm.common import BROADCAST_BYTES, arrow_map, cut, cut_counted, slices
+from latentia.llm.common import BROADCAST_BYTES, Scratch, cut, slices
 from latentia.llm.components import components, joined
 from latentia.llm.shingles import OnePermutation, scramble, shingle_sets
 
 BANDS, ROWS = 32, 4
-DEVIATIONS = 5.5
-#: Centres of a bucket in the second round, and by how much they grow in each round after it.
-CENTRES = 8
+#: A finer bucket joins a band with the one this many places on.
+STEPS = (1, 5)
+BYTES = 1 << 20
 NODE_SALTS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -60,7 +61,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         oph = scheme()
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", BYTES):
                 sets = shingle_sets([t or b"" for t in batch.column("text").to_pylist()], k)
                 lanes = np.array([oph.lanes(s) for s in sets if len(s)], np.uint16).reshape(-1, BANDS * ROWS)
                 flat = pa.array(lanes.view(np.int64).ravel())
@@ -84,127 +85,88 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", BYTES):
                 sets = shingle_sets([t or b"" for t in batch.column("text").to_pylist()], k)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([node_key(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "set"])
 
     sets = found.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "node binary, set array<long>")
-    return cut(sets.groupBy("node").agg(F.first("set").alias("set")))
+    return sets.groupBy("node").agg(F.first("set").alias("set"))
 
 
-def near_in_sketch(a: Column, b: Column, n: Column, share: float) -> Column:
-    """Whether equal lanes reach the threshold less 5.5 deviations for sets of n shingles at least."""
-    lane = lambda x, bit: (F.shiftrightunsigned(x, bit).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int")
-    equal = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda s, x: s + lane(x, 0) + lane(x, 16) + lane(x, 32) + lane(x, 48))
-    spread = F.sqrt(F.lit(share * (1 - share)) / F.least(n, F.lit(BANDS * ROWS)))
-    return equal >= F.floor(F.lit(BANDS * ROWS) * (F.lit(share) - F.lit(DEVIATIONS) * spread))
+def at_least(both: Column, total: Column, num: int, den: int) -> Column:
+    """Whether ``both`` common shingles of ``total`` in two sets together reach num / den of the union."""
+    return den * both >= num * (total - both)
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The edges (a, b) with den * intersection >= num * union on full sets."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        sa, sb = batch.column("sa"), batch.column("sb")
-        va, vb, oa, ob = np.asarray(sa.values), np.asarray(sb.values), np.asarray(sa.offsets), np.asarray(sb.offsets)
-        for i in range(batch.num_rows):
-            x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(den * both >= num * (len(x) + len(y) - both))
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return arrow_map(edges.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), check, "a binary, b binary")
+def star_edges(rows: DataFrame, centres: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of each centre with the members of its bucket in other components, if their sizes allow a link.
 
+    rows: key, node, root, n; centres: key, c (a struct of node, root, n).
+    """
+    met = rows.join(centres, "key").where(F.col("root") != F.col("c.root"))
+    sized = met.where(at_least(F.least("n", "c.n"), F.col("n") + F.col("c.n"), num, den))
+    return sized.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
-def star_edges(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each centre with the members of its bucket that are in other components.
 
-    rows and centres: key, node, root, n, u.
-    """
-    c = centres.select("key", *[F.col(x).alias(f"c_{x}") for x in ("node", "root", "n", "u")])
-    met = rows.join(c, "key").where((F.col("node") != F.col("c_node")) & (F.col("root") != F.col("c_root")))
-    return met.select(
-        F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b"), F.col("n").alias("na"), F.col("c_n").alias("nb"), F.col("u").alias("ua"), F.col("c_u").alias("ub")
-    )
+def confirmed(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The edges (a, b) with den * intersection >= num * union on full sets."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return edges.join(left, "a").join(right, "b").where(at_least(both, F.size("sa") + F.size("sb"), num, den)).select("a", "b")
 
 
-def possible(num: int, den: int) -> Column:
-    """Whether sizes and unshared shingles allow a link: J <= I / (na + nb - I)."""
-    most = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
-    return den * most >= num * (F.col("na") + F.col("nb") - most)
+def finer_keys(bands: str) -> Column:
+    """A bucket for each band and step: the band's lanes and those of the band ``step`` places on."""
+    numbers = F.sequence(F.lit(0), F.lit(BANDS - 1))
+    return F.concat(*[F.transform(numbers, lambda i, s=s: F.xxhash64(F.lit(s), i, F.get(bands, i), F.get(bands, (i + s) % BANDS))) for s in STEPS])
 
 
 def near_duplicates(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id, kept, one row per document; J >= num / den links."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    sketches = cut(sketched(own, k))
-    share = num / den
-    nodes = (
-        sketches.where("n > 0")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("label"), F.min(F.struct("th", "doc_id", "n", "bands")).alias("r"))
-        .select("node", "label", F.col("r.th").alias("th"), F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands"))
-    )
-    nodes = cut(nodes)
-    buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "lanes")).withColumn("key", F.xxhash64("band", "lanes")).select("key", "node", "n")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = cut(buckets.join(shared, "key"))
-    weight = rows.groupBy("node").agg(F.sum("m").alias("weight"))
-    rows = cut(rows.join(weight, "node").select("key", "node", F.col("node").alias("root"), "n", F.lit(0).cast("long").alias("u"), "m", "weight"))
-
-    sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("bands").alias(f"k{x}")) for x in "ab")
-
-    def proposals(rows: DataFrame, centres: DataFrame) -> DataFrame:
-        pairs = star_edges(rows, centres).where(possible(num, den)).groupBy("a", "b").agg(F.min(F.least("na", "nb")).alias("n"))
-        near = pairs.join(sketch_a, "a").join(sketch_b, "b").where(near_in_sketch(F.col("ka"), F.col("kb"), F.col("n"), share))
-        return near.select("a", "b")
-
-    heaviest = rows.groupBy("key").agg(F.max(F.struct("weight", "node", "root", "n", "u")).alias("c")).select("key", "c.*")
-    edges = cut(proposals(rows, heaviest))
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(rows.where("m > 2").select("node")).distinct()
-    sets = full_sets(own, nodes.join(ends, "node", "left_semi").select("node", "th", "rep"), k)
-    label = components(cut(confirmed(edges, sets, num, den)))
-
-    def relabelled(rows: DataFrame) -> DataFrame:
-        """Open rows only: those in buckets that still hold more than one component."""
-        now = rows.drop("root").join(label.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return now.join(several, "key", "left_semi")
-
-    tested = edges
-    rows, left = cut_counted(relabelled(rows.where("m > 2").join(heaviest.select("key", "node"), ["key", "node"], "left_anti")), F.lit(True))
-    centres_at_once = CENTRES
-    while left:
-        open_sets = sets.join(rows.select("node").distinct(), "node", "left_semi")
-        alone = open_sets.select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
-        unshared = alone.groupBy("node").agg(F.count(F.lit(1)).alias("unshared"))
-        rows = cut(rows.drop("u").join(unshared, "node", "left").withColumn("u", F.coalesce("unshared", F.lit(0))).drop("unshared"))
-        least = rows.groupBy("key").agg(F.min("u").alias("least"), F.count(F.lit(1)).alias("held"))
-        alive = den * (F.col("n") - F.col("u")) >= num * (F.col("n") + F.col("least"))
-        chosen = F.pmod(F.xxhash64("node", F.lit(centres_at_once)), "held") < centres_at_once
-        rows = cut(rows.join(least, "key").where(alive).withColumn("centre", chosen).drop("least", "held"))
-        edges = cut(proposals(rows, rows.where("centre")).join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(edges)
-        more, found = cut_counted(confirmed(edges, sets, num, den), F.lit(True))
-        if found:
-            label = joined(label, more)
-        rows, left = cut_counted(relabelled(rows.where("not centre").drop("centre")), F.lit(True))
-        centres_at_once *= CENTRES
-
-    roots = nodes.select("node", F.col("label").alias("own")).join(label.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = cut(roots)
-    least = roots.groupBy("root").agg(F.min("own").alias("component"))
-    final = roots.join(least, "root").select("node", "component")
-    return sketches.join(final, "node", "left").select(
-        "doc_id",
-        "th",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
-    )
+    with Scratch(docs.sparkSession, "near") as scratch:
+        sketches = scratch.cut(sketched(own, k))
+        nodes = (
+            sketches.where("n > 0")
+            .groupBy("node")
+            .agg(F.min("doc_id").alias("label"), F.min(F.struct("th", "doc_id", "n", "bands")).alias("r"))
+            .select("node", "label", F.col("r.th").alias("th"), F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.bands").alias("bands"))
+        )
+        nodes = scratch.cut(nodes)
+        buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "lanes")).select("node", "n", F.xxhash64("band", "lanes").alias("key"))
+        shared = scratch.cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        rows = scratch.cut(buckets.join(shared, "key").withColumn("root", F.col("node")))
+        company = rows.groupBy("node").agg(F.sum("m").alias("company"))
+        centre = F.max(F.struct("company", "node", "root", "n"))
+        centres = scratch.cut(rows.join(company, "node").groupBy("key").agg(centre.alias("c")))
+        edges = scratch.cut(star_edges(rows, centres, num, den))
+        met = scratch.cut(nodes.join(rows.select("node", (F.col("m") > 2).alias("crowded")).groupBy("node").agg(F.max("crowded").alias("crowded")), "node"))
+        sets = scratch.cut(full_sets(own, met, k))
+        label = components(scratch, scratch.cut(confirmed(edges, sets, num, den)))
+
+        roots = met.where("crowded").join(label.withColumnRenamed("v", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        finer = scratch.cut(roots).select("node", "root", "n", F.explode(finer_keys("bands")).alias("key"))
+        drawn = F.min(F.struct(F.xxhash64("node", "key"), "node", "root", "n"))
+        several = finer.groupBy("key").agg(drawn.alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
+        more = scratch.cut(star_edges(finer, scratch.cut(several), num, den))
+        label = joined(scratch, label, scratch.cut(confirmed(more, sets, num, den)))
+
+        linked = scratch.cut(label.join(nodes.select(F.col("node").alias("v"), "label"), "v"))
+        least = scratch.cut(linked.groupBy("root").agg(F.min("label").alias("component")))
+        linked = linked.join(least, "root").select(F.col("v").alias("node"), "component")
+        final = scratch.cut(nodes.select("node", "label").join(linked, "node", "left").select("node", F.coalesce("component", "label").alias("component")))
+        found = sketches.select("doc_id", "th", "n", "node").join(final, "node", "left")
+        return cut(
+            found.select(
+                "doc_id",
+                "th",
+                F.col("n").alias("n_shingles"),
+                F.coalesce("component", "doc_id").alias("component_id"),
+                F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"),
+            )
+        )
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,18 +174,18 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int =
 
     The rows that go are fewer than those that stay, so they are what is joined.
     """
-    found = cut(near_duplicates(docs, k, num, den, id_col, text_col))
+    found = near_duplicates(docs, k, num, den, id_col, text_col)
     gone = found.where(~F.col("kept") & (F.col("n_shingles") > 0)).select("doc_id", "th").distinct()
     again = found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.count(F.lit(1)).alias("c"), F.min("th").alias("first")).where("c > 1")
     gone, again = cut(gone), cut(again)
     small = gone.count() * 48 <= BROADCAST_BYTES
-    hashed = docs.withColumn("__th", F.xxhash64(text_col))
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone"))
-    out = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone"))
+    hashed = docs.select(F.struct("*").alias("__doc"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__th"))
+    match = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__th") == F.col("__text"))
+    out = gone.select(F.col("doc_id").alias("__gone"), F.col("th").alias("__text"))
     kept = hashed.join(F.broadcast(out) if small else out, match, "left_anti")
-    if again.limit(1).isEmpty():
-        return kept.drop("__th")
-    ids = again.select(F.col("component_id").alias("__again"), "first")
-    once = kept.join(ids, F.col(id_col) == F.col("__again"), "left_anti")
-    repeated = kept.join(ids, (F.col(id_col) == F.col("__again")) & (F.col("__th") == F.col("first")), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(repeated).drop("__th")
+    if not again.limit(1).isEmpty():
+        ids = again.select(F.col("component_id").alias("__again"), "first")
+        once = kept.join(ids, F.col("__id") == F.col("__again"), "left_anti")
+        repeated = kept.join(ids, (F.col("__id") == F.col("__again")) & (F.col("__th") == F.col("first")), "left_semi").dropDuplicates(["__id"])
+        kept = once.unionByName(repeated)
+    return kept.select("__doc.*")

@@ -1,39 +1,60 @@
 """Operator 1: format-preserving Feistel pseudonyms for personal data, in built-in functions only.
 
-Each candidate of one pattern is validated (Luhn, IBAN mod 97, octets, calendar dates, area rules), turned into
-digits of mixed radix, permuted by a keyed Feistel network over two halves and written back in its own
-format; check digits are computed anew.  The permutation depends on the key, the kind and the value
-alone, so equal values stay linked across documents, and it is a bijection within a format.
-
-Kinds: card, iban, ssn, phone, ip, date, email.  Separators, letter case, digit grouping and a card's first digit
-stay; a date becomes another date of 1900 to 2099 (17 * 4297 days), an address keeps its domain.
-
-Defined cases: a null text stays null with counts 0; candidates that fail validation stay as they are; texts
-without candidates are not rebuilt; equal rows give equal rows; extra columns are kept by ``pseudonymize``.
+Each candidate of one pattern is validated by its kind (below), turned into digits of mixed radix, permuted by a keyed Feistel
+network over two halves and written back in its own format; check digits are computed anew.  The permutation depends on
+the key, the kind and the value alone, so equal values stay linked across documents and spellings, and it is a bijection within
+a format.
+
+* card: 13 to 19 digits with a right Luhn digit; the first digit stays.  Trailing digit groups that spoil it are left alone.
+* iban: a country of COUNTRIES, its length, mod 97, in either case; what follows that length is left alone.
+* ssn: 3-2-4 digits, no area 000, 666 or 900 and up, no zero group or serial.
+* phone: 3-3-4 digits with or without a country code, or ``+``, a country code and 7 to 14 more digits in groups; the country code stays.
+* ip: four octets.
+* date: year first, day first, or month first where the day first reading is none, of 1900 to 2099 (17 * 4297 days).
+* email: a local part without double or outer points and a top level of two letters or more; the domain stays.
+
+A candidate that fails is searched once more for the other kinds within it (a phone number after other digits, say).
+
+Defined cases: a null text stays null with counts 0; what fails validation stays as it is; texts without candidates are not rebuilt;
+equal rows give equal rows; extra columns are kept by ``pseudonymize``, but a column named as a count gives way to it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "latentia-pii-2024"
+#: For ``report``: a session's key is spark.latentia.pii.key; without one this open key is used, which hides nothing from its readers.
+OPEN_KEY = "open-key"
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
-
-#: Candidates; the first alternative that matches at a place decides, validation comes after.
+#: IBAN lengths by country.
+COUNTRIES = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 "
+    "GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 "
+    "PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()
+
+#: Candidates; the first alternative that matches at a place decides, validation comes after.  No pattern has groups that capture but
+#: the separators, which are numbered in the order of the alternatives.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+IBAN = r"\b(?=[A-Za-z]{2}[0-9]{2})(?i:" + "|".join(c[:2] for c in COUNTRIES) + r")[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?\b"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]*[0-9])"
-DATE = r"(?<![0-9/.-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4})(?![0-9/-])"
+DATE = r"(?<![0-9/.-])(?:[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
-ANY = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, CARD, PHONE))
+ABROAD = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,14})){1,6}(?![0-9])"
+CARD = r"(?<![0-9])[0-9]{3}(?:[ -]?[0-9]){10,16}(?![0-9])"
+#: Kind by pattern, in the order they are tried.
+PATTERNS = (("email", EMAIL), ("iban", IBAN), ("ip", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("abroad", ABROAD), ("card", CARD))
+#: Kinds whose patterns reach over others; within their failed candidates the other kinds are searched.
+REACHING = ("iban", "card", "abroad")
+INNER = tuple(p for p in PATTERNS if p[0] not in REACHING)
 #: A cheap sign that a text holds a candidate at all.
-CUE = r"@|[0-9][0-9./ -]{5}[0-9]|[A-Z]{2}[0-9]{2}"
+CUE = r"@|[0-9][0-9./ ()-]{5}[0-9]|\+[0-9]|[A-Za-z]{2}[0-9]{2}"
 
 lit = F.lit
 
@@ -61,7 +82,7 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.sequence(lit(1), F.length(turned)), lit(0), lambda r, i: (r * F.when(value(i) > 9, 100).otherwise(10) + value(i)) % 97)
 
 
-def feistel(values: Column, radices: Column, kind: Column | str, key: str = KEY) -> Column:
+def feistel(values: Column, radices: Column, kind: Column | str, key: str = OPEN_KEY) -> Column:
     """Keyed bijection of arrays of int with mixed radices: two halves, ROUNDS rounds.
 
     A round adds to each place of one half a number hashed from key, kind, round, place and the other half.
@@ -98,12 +119,15 @@ def same(n: Column, radix: int) -> Column:
     return F.array_repeat(lit(radix), n)
 
 
-def card(m: Column) -> tuple[Column, Column]:
-    d = numbers(digits(m))
-    n = F.size(d)
-    body = F.concat(F.slice(d, 1, 1), feistel(F.slice(d, lit(2), n - 2), same(n - 2, 10), "card"))
-    check = F.pmod(lit(10) - F.pmod(luhn_sum(F.array_append(body, lit(0))), lit(10)), lit(10))
-    return (luhn_sum(d) % 10 == 0) & (F.length(F.regexp_replace(digits(m), "^(.)\\1*$", "")) > 0), fill(m, F.array_append(body, check))
+def luhn_valid(m: Column) -> Column:
+    d = digits(m)
+    return F.length(d).between(13, 19) & (luhn_sum(numbers(d)) % 10 == 0) & ~d.rlike("^(.)\\1*$")
+
+
+def card_head(m: Column) -> Column:
+    """The longest valid part of up to two digit groups less; the last of them where none is valid."""
+    less = lambda groups: F.regexp_extract(m, "^(.*?[0-9])(?:[ -][0-9]+){%d}$" % groups, 1)
+    return F.when(luhn_valid(m), m).when(luhn_valid(less(1)), less(1)).otherwise(less(2))
 
 
 def characters(s: Column) -> tuple[Column, Column]:
@@ -120,101 +144,246 @@ def respelled(s: Column, codes: Column) -> Column:
     return F.array_join(F.transform(codes, lambda v, i: F.when(char(i).rlike("[A-Za-z0-9]"), F.chr(base(char(i)) + v)).otherwise(char(i))), "")
 
 
-def iban(m: Column) -> tuple[Column, Column]:
-    bare = F.replace(m, lit(" "))
-    body = F.substring(bare, 5, 99)
-    new = respelled(body, feistel(*characters(body), "iban"))
-    country = F.substring(bare, 1, 2)
-    check = lit(98) - mod97(F.concat(country, lit("00"), new))
-    plain = F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
-    groups = F.split(m, "[A-Z0-9]", -1)
-    spelled = F.transform(F.sequence(lit(1), F.length(plain)), lambda i: F.concat(F.get(groups, i - 1), F.substring(plain, i, lit(1))))
-    return (mod97(bare) == 1) & F.length(bare).between(15, 34), F.array_join(spelled, "")
+def iban_head(m: Column) -> Column:
+    """The country's length of it; empty where it is shorter or goes on."""
+    lengths = F.create_map(*[lit(x) for c in COUNTRIES for x in (c[:2], int(c[2:]))])
+    size = F.element_at(lengths, F.upper(F.substring(m, 1, 2)))
+    spots = F.filter(F.sequence(lit(1), F.length(m) + 1), lambda i: F.substring(m, i, lit(1)) != " ")
+    last, after = F.get(spots, size - 1), F.get(spots, size)
+    return F.when(after > F.length(m), m).when(after > last + 1, F.substring(m, lit(1), last)).otherwise("")
 
 
-def ssn(m: Column) -> tuple[Column, Column]:
-    d = digits(m)
-    area, group, serial = (F.substring(d, a, n).cast("int") for a, n in ((1, 3), (4, 2), (6, 4)))
-    valid = (area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1)
-    index = F.when(area > 666, area - 2).otherwise(area - 1)
-    out = feistel(F.array(index, group - 1, serial - 1), F.array(lit(898), lit(99), lit(9999)), "ssn")
-    new = F.when(F.get(out, lit(0)) >= 665, F.get(out, lit(0)) + 2).otherwise(F.get(out, lit(0)) + 1)
-    return valid, F.concat_ws("-", F.lpad(new, 3, "0"), F.lpad(F.get(out, lit(1)) + 1, 2, "0"), F.lpad(F.get(out, lit(2)) + 1, 4, "0"))
+class Card:
+    head = staticmethod(card_head)
+    valid = staticmethod(luhn_valid)
 
+    @staticmethod
+    def places(m: Column) -> tuple[Column, Column]:
+        d = numbers(digits(m))
+        return F.slice(d, lit(2), F.size(d) - 2), same(F.size(d) - 2, 10)
 
-def phone(m: Column) -> tuple[Column, Column]:
-    """The last 10 digits change, a country code stays; numbers without area code are not taken for phones."""
-    d = numbers(digits(m))
-    head = F.slice(d, lit(1), F.size(d) - 10)
-    return F.size(d) >= 10, fill(m, F.concat(head, feistel(F.slice(d, F.size(d) - 9, lit(10)), same(lit(10), 10), "phone")))
+    @staticmethod
+    def written(m: Column, out: Column) -> Column:
+        body = F.concat(F.slice(numbers(digits(m)), 1, 1), out)
+        return fill(m, F.array_append(body, F.pmod(lit(10) - F.pmod(luhn_sum(F.array_append(body, lit(0))), lit(10)), lit(10))))
 
 
-def ip(m: Column) -> tuple[Column, Column]:
-    parts = F.transform(F.split(m, "\\."), lambda x: x.cast("int"))
-    return F.forall(parts, lambda x: x <= 255), F.array_join(F.transform(feistel(parts, same(lit(4), 256), "ip"), lambda x: x.cast("string")), ".")
+class Iban:
+    """Letter case and blanks stay."""
 
+    head = staticmethod(iban_head)
 
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297  # 1900 to 2099 has 17 * 4297 days
+    @staticmethod
+    def valid(m: Column) -> Column:
+        bare = F.replace(m, lit(" "))
+        return (F.length(bare) >= 15) & (mod97(bare) == 1)
 
+    @staticmethod
+    def places(m: Column) -> tuple[Column, Column]:
+        return characters(F.substring(F.replace(m, lit(" ")), 5, 99))
 
-def date(m: Column) -> tuple[Column, Column]:
-    iso = m.rlike("^[0-9]{4}")
-    sep = F.when(iso, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
-    d = digits(m)
-    text = F.when(iso, F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))).otherwise(F.concat_ws("-", F.substring(d, 5, 4), F.substring(d, 3, 2), F.substring(d, 1, 2)))
-    day = F.date_diff(F.try_to_date(text, "yyyy-MM-dd"), lit(FIRST_DAY).cast("date"))
-    out = feistel(F.array(F.floor(day / DAYS_B).cast("int"), (day % DAYS_B).cast("int")), F.array(lit(DAYS_A), lit(DAYS_B)), "date")
-    new = F.date_add(lit(FIRST_DAY).cast("date"), F.get(out, lit(0)) * DAYS_B + F.get(out, lit(1)))
-    y, mo, da = (F.date_format(new, p) for p in ("yyyy", "MM", "dd"))
-    valid = F.coalesce((day >= 0) & (day < DAYS_A * DAYS_B), lit(False))
-    return valid, F.when(iso, F.concat(y, sep, mo, sep, da)).otherwise(F.concat(da, sep, mo, sep, y))
+    @staticmethod
+    def written(m: Column, out: Column) -> Column:
+        new = respelled(F.substring(F.replace(m, lit(" ")), 5, 99), out)
+        check = lit(98) - mod97(F.concat(F.substring(m, 1, 2), lit("00"), new))
+        plain = F.concat(F.substring(m, 1, 2), F.lpad(check.cast("string"), 2, "0"), new)
+        letters = F.split(plain, "")
+        blanks = F.split(m, "[A-Za-z0-9]", -1)
+        return F.array_join(F.zip_with(blanks, letters, lambda a, b: F.concat(F.coalesce(a, lit("")), F.coalesce(b, lit("")))), "")
+
+
+class Abroad:
+    """All digits after the country code change: its group where one ends within three digits, else the first two digits."""
+
+    @staticmethod
+    def code(m: Column) -> Column:
+        group = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?![0-9])", 1))
+        return F.when(group > 0, group).otherwise(2)
+
+    @staticmethod
+    def valid(m: Column) -> Column:
+        n = F.length(digits(m))
+        return (n - Abroad.code(m)).between(7, 14) & (n <= 15)
+
+    @staticmethod
+    def places(m: Column) -> tuple[Column, Column]:
+        rest = numbers(F.substr(digits(m), Abroad.code(m) + 1))
+        return rest, same(F.size(rest), 10)
+
+    @staticmethod
+    def written(m: Column, out: Column) -> Column:
+        return fill(m, F.concat(F.slice(numbers(digits(m)), lit(1), Abroad.code(m)), out))
+
+
+class Phone:
+    """The last 10 digits change, a country code stays."""
+
+    @staticmethod
+    def valid(m: Column) -> Column:
+        return F.length(digits(m)) >= 10
+
+    @staticmethod
+    def places(m: Column) -> tuple[Column, Column]:
+        return numbers(F.right(digits(m), lit(10))), same(lit(10), 10)
+
+    @staticmethod
+    def written(m: Column, out: Column) -> Column:
+        d = numbers(digits(m))
+        return fill(m, F.concat(F.slice(d, lit(1), F.size(d) - 10), out))
+
+
+class Ssn:
+    @staticmethod
+    def parts(m: Column) -> list[Column]:
+        return [F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4))]
 
+    @staticmethod
+    def valid(m: Column) -> Column:
+        area, group, serial = Ssn.parts(m)
+        return (area >= 1) & (area <= 899) & (area != 666) & (group >= 1) & (serial >= 1)
 
-def email(m: Column) -> tuple[Column, Column]:
+    @staticmethod
+    def places(m: Column) -> tuple[Column, Column]:
+        area, group, serial = Ssn.parts(m)
+        return F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1), F.array(lit(898), lit(99), lit(9999))
+
+    @staticmethod
+    def written(m: Column, out: Column) -> Column:
+        area = F.get(out, lit(0)) + F.when(F.get(out, lit(0)) >= 665, 2).otherwise(1)
+        return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.get(out, lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(out, lit(2)) + 1).cast("string"), 4, "0"))
+
+
+class Ip:
+    @staticmethod
+    def parts(m: Column) -> Column:
+        return F.split(m, "\\.").cast("array<int>")
+
+    @staticmethod
+    def valid(m: Column) -> Column:
+        return F.array_max(Ip.parts(m)) <= 255
+
+    @staticmethod
+    def places(m: Column) -> tuple[Column, Column]:
+        return Ip.parts(m), same(lit(4), 256)
+
+    @staticmethod
+    def written(m: Column, out: Column) -> Column:
+        return F.array_join(out.cast("array<string>"), ".")
+
+
+class Date:
+    """Days from 1900 on, 17 * 4297 of them."""
+
+    FIRST, HIGH, LOW = "1900-01-01", 17, 4297
+
+    @staticmethod
+    def month_first(m: Column) -> Column:
+        return m.rlike("^(0[1-9]|1[0-2])/(1[3-9]|2[0-9]|3[01])/")
+
+    @staticmethod
+    def day(m: Column) -> Column:
+        """Number of the day, null if there is none."""
+        order = F.when(m.rlike("^[0-9]{4}"), F.regexp_replace(m, "/", "-")).when(Date.month_first(m), F.regexp_replace(m, "^(..).(..).(....)$", "$3-$1-$2")).otherwise(F.regexp_replace(m, "^(..).(..).(....)$", "$3-$2-$1"))
+        return F.date_diff(F.try_to_date(order, "yyyy-MM-dd"), lit(Date.FIRST).cast("date"))
+
+    @staticmethod
+    def valid(m: Column) -> Column:
+        return Date.day(m).between(0, Date.HIGH * Date.LOW - 1)
+
+    @staticmethod
+    def places(m: Column) -> tuple[Column, Column]:
+        day = Date.day(m)
+        return F.array(F.floor(day / Date.LOW).cast("int"), (day % Date.LOW).cast("int")), F.array(lit(Date.HIGH), lit(Date.LOW))
+
+    @staticmethod
+    def written(m: Column, out: Column) -> Column:
+        new = F.date_format(F.date_add(lit(Date.FIRST).cast("date"), F.get(out, lit(0)) * Date.LOW + F.get(out, lit(1))), "yyyy-MM-dd")
+        sep = F.when(m.rlike("^[0-9]{4}"), F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
+        swap = lambda to: F.regexp_replace(new, "^(....)-(..)-(..)$", to)
+        turned = F.when(m.rlike("^[0-9]{4}"), new).when(Date.month_first(m), swap("$2-$3-$1")).otherwise(swap("$3-$2-$1"))
+        return F.replace(turned, lit("-"), sep)
+
+
+class Email:
     """The local part is permuted character class by character class; the domain stays."""
-    local = F.regexp_extract(m, "^[^@]+", 0)
-    return lit(True), F.concat(respelled(local, feistel(*characters(local), "email")), F.regexp_extract(m, "@.*$", 0))
+
+    @staticmethod
+    def valid(m: Column) -> Column:
+        return m.rlike(r"^[^@]*[^@.]@.*\.[A-Za-z]{2,}$") & ~m.rlike(r"\.\.")
+
+    @staticmethod
+    def places(m: Column) -> tuple[Column, Column]:
+        return characters(F.substring_index(m, "@", 1))
+
+    @staticmethod
+    def written(m: Column, out: Column) -> Column:
+        return F.concat(respelled(F.substring_index(m, "@", 1), out), lit("@"), F.substring_index(m, "@", -1))
+
+
+RULES = {"email": Email, "iban": Iban, "ip": Ip, "date": Date, "ssn": Ssn, "phone": Phone, "abroad": Abroad, "card": Card}
 
 
-TESTS = (("email", ".*@.*", email), ("iban", "[A-Z]{2}.*", iban), ("ip", "[0-9]{1,3}(?:\\.[0-9]{1,3}){3}", ip), ("date", "[0-9]{4}[-/].*|[0-9]{2}[./].*", date), ("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", ssn), ("card", "[0-9](?:[ -]?[0-9]){12,18}", card), ("phone", ".*", phone))
+def any_of(patterns: tuple[tuple[str, str], ...]) -> str:
+    return "|".join(p for _, p in patterns)
 
 
-def replaced(m: Column) -> Column:
-    """struct(kind, text) of one candidate; kind is null where validation fails and the text stays."""
-    kind, text = lit(None).cast("string"), m
-    for name, shape, rule in reversed(TESTS):
-        valid, new = rule(m)
-        fits = m.rlike(f"^(?:{shape})$")
-        kind = F.when(fits, F.when(valid, name)).otherwise(kind)
-        text = F.when(fits, F.when(valid, new).otherwise(m)).otherwise(text)
-    return F.struct(kind.alias("kind"), text.alias("text"))
+def matched(m: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    """The first pattern that matches the whole of a candidate."""
+    out = F.when(lit(False), "")
+    for name, p in patterns:
+        out = out.when(m.rlike(f"^(?:{p})$"), name)
+    return out
 
 
-def pseudonymized(text: Column) -> Column:
-    """struct(text, found): the rewritten text and the replaced candidates in order."""
-    found = F.transform(F.regexp_extract_all(text, lit(ANY), 0), replaced)
-    return F.when(text.rlike(CUE), found).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
+def by_kind(x: Column, names: Iterable[str], value: Callable[[str], Column], otherwise: Column) -> Column:
+    out = F.when(lit(False), otherwise)
+    for name in names:
+        out = out.when(x["kind"] == name, value(name))
+    return out.otherwise(otherwise)
 
 
-def of_kind(found: str, kind: str) -> Column:
-    return F.size(F.filter(found, lambda x: x["kind"] == kind))
+def item(pre: Column, m: Column, kind: Column, ok: Column) -> Column:
+    return F.struct(pre.alias("pre"), m.alias("m"), kind.alias("kind"), ok.alias("ok"))
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", prefix: str = "n_") -> DataFrame:
-    """docs with the text rewritten, plus one count for each kind.
+def with_items(rows: DataFrame, text: Column, key: str) -> DataFrame:
+    """rows plus __items: the text in order as structs of pre (what stays), new (a candidate's new text) and kind (null: not replaced).
 
-    The candidates are found and rewritten once; texts with any are then split at them and joined again.
+    Each step is a projection of its own, so that no expression is repeated within another.  Kinds whose patterns reach over others are
+    validated first: a valid one is its head and the rest after it, an invalid one is searched for the other kinds.
     """
-    work = docs.withColumn("__found", pseudonymized(F.col(text_col)))
-    between = F.split(F.col(text_col), ANY, -1)
-    pieces = F.zip_with(between, F.array_append(F.transform("__found", lambda x: x["text"]), ""), lambda a, b: F.concat(a, F.coalesce(b, lit(""))))
-    text = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))
-    counts = [F.coalesce(of_kind("__found", k), lit(0)).cast("long").alias(f"{prefix}{k}") for k in KINDS]
-    own = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns]
-    return work.select(*own, *counts)
+    col, no, nothing = F.col("__items"), lit(False), lit(None).cast("string")
+    ends = lambda c, p: F.zip_with(F.split(c, any_of(p), -1), F.array_append(F.regexp_extract_all(c, lit(any_of(p)), 0), ""), lambda a, m: item(a, m, matched(m, p), no))
+    rows = rows.withColumn("__items", ends(text, PATTERNS))
+    rows = rows.withColumn("__items", F.transform(col, lambda x: F.struct(x["pre"].alias("pre"), x["m"].alias("m"), x["kind"].alias("kind"), by_kind(x, ("iban", "card"), lambda n: RULES[n].head(x["m"]), x["m"]).alias("head"))))
+    sure = lambda x: F.coalesce(by_kind(x, REACHING, lambda n: RULES[n].valid(x["head"]), no), no)
+    rows = rows.withColumn("__items", F.transform(col, lambda x: F.struct(x["pre"].alias("pre"), x["m"].alias("m"), x["kind"].alias("kind"), x["head"].alias("head"), sure(x).alias("ok"))))
+    valid = lambda x: F.array(item(x["pre"], x["head"], x["kind"], lit(True)), item(F.substr(x["m"], F.length(x["head"]) + 1), lit(""), nothing, no))
+    inner = lambda x: F.concat(F.array(item(x["pre"], lit(""), nothing, no)), ends(x["m"], INNER))
+    rows = rows.withColumn("__items", F.flatten(F.transform(col, lambda x: F.when(x["ok"], valid(x)).when(x["kind"].isin(*REACHING), inner(x)).otherwise(F.array(item(x["pre"], x["m"], x["kind"], no))))))
+    rest = [n for n, _ in INNER]
+    ok = lambda x: x["ok"] | F.coalesce(by_kind(x, rest, lambda n: RULES[n].valid(x["m"]), no), no)
+    rows = rows.withColumn("__items", F.transform(col, lambda x: F.struct(x["pre"].alias("pre"), x["m"].alias("m"), F.when(ok(x), x["kind"]).alias("kind"))))
+    spot = lambda x, i: by_kind(x, RULES, lambda n: RULES[n].places(x["m"])[i].cast("array<int>"), F.array().cast("array<int>"))
+    rows = rows.withColumn("__items", F.transform(col, lambda x: F.struct(x["pre"].alias("pre"), x["m"].alias("m"), x["kind"].alias("kind"), spot(x, 0).alias("v"), spot(x, 1).alias("r"))))
+    tag = lambda x: F.when(x["kind"] == "abroad", "phone").otherwise(x["kind"])
+    rows = rows.withColumn("__items", F.transform(col, lambda x: F.struct(x["pre"].alias("pre"), x["m"].alias("m"), x["kind"].alias("kind"), F.when(x["kind"].isNotNull(), feistel(x["v"], x["r"], tag(x), key)).alias("out"))))
+    new = lambda x: by_kind(x, RULES, lambda n: RULES[n].written(x["m"], x["out"]), x["m"])
+    return rows.withColumn("__items", F.transform(col, lambda x: F.struct(x["pre"].alias("pre"), new(x).alias("new"), tag(x).alias("kind"))))
+
+
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", prefix: str = "n_") -> DataFrame:
+    """docs with the text rewritten, plus one count for each kind (prefix + kind)."""
+    text = F.col(f"__doc.`{text_col}`")
+    work = with_items(docs.select(F.struct("*").alias("__doc")), F.when(text.rlike(CUE), text), key)
+    new = F.coalesce(F.array_join(F.transform("__items", lambda x: F.concat(x["pre"], x["new"])), ""), text)
+    count = lambda k: F.coalesce(F.size(F.filter("__items", lambda x: x["kind"] == k)), lit(0))
+    counts = {f"{prefix}{k}": count(k) for k in KINDS}
+    own = [(new if c == text_col else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns if c not in counts]
+    return work.select(*own, *[F.greatest(n, lit(0)).cast("long").alias(c) for c, n in counts.items()])
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, text (rewritten), a count of each kind and n_pii."""
-    out = pseudonymize(docs.select("doc_id", "text"))
+    out = pseudonymize(docs.select("doc_id", "text"), docs.sparkSession.conf.get("spark.latentia.pii.key", OPEN_KEY))
     return out.withColumn("n_pii", reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in KINDS]))

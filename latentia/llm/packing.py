@@ -35,7 +35,8 @@ LENGTH = 2048
 UNIT = 16
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-MAX_COLUMNS = 3000
+#: Column generation ends where no pattern is worth more than 1 + GAP sequences.
+GAP, REFACTOR, MOST_STEPS = 1e-7, 20, 200_000
 CACHE_WORDS = 1_500_000
 #: Words whose runs are plain to see: ASCII but no blanks or apostrophe, and Latin letters with one lower case.
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-įı-ſ]+")
@@ -149,7 +150,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         _tokenizers[vocabulary] = tok
         part, seen = TaskContext.get().partitionId(), {}
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 texts = [b or b"" for b in batch.column("text").to_pylist()]
                 out: tuple[list, ...] = ([], [], [], [], [], [])
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), tok.encode(texts), strict=True):
@@ -176,61 +177,87 @@ class Pattern(NamedTuple):
 
 
 def price_columns(lengths: list[int], prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the most valuable pattern and its value."""
-    size = np.array(lengths)
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for w in range(1, capacity + 1):
-        fits = size <= w
-        value = np.where(fits, best[np.maximum(w - size, 0)] + prices, -1.0)
-        j = int(value.argmax())
-        best[w], took[w] = best[w - 1], -1
-        if fits[j] and value[j] > best[w]:
-            best[w], took[w] = value[j], j
-    column, w = np.zeros(len(lengths)), capacity
-    while w > 0:
-        if took[w] < 0:
-            w -= 1
-        else:
-            column[took[w]] += 1
-            w -= lengths[took[w]]
-    return float(best[capacity]), column
-
+    """Unbounded knapsack by dynamic programming: the most valuable pattern's value, and patterns worth over a sequence, a column each:
+    for each length the most valuable pattern that holds it.
 
-def solve(demand: dict[int, int], capacity: int = LENGTH, max_columns: int = MAX_COLUMNS) -> list[Pattern]:
+    A length is offered in lots of 1, 2, 4 ... pieces, so each lot is one vector step over all capacities.
+    """
+    best, lots, took = np.zeros(capacity + 1), [], []
+    for j, (n, p) in enumerate(zip(lengths, prices.tolist(), strict=True)):
+        lot = 1
+        while p > 0 and lot * n <= capacity:
+            more = best[: capacity + 1 - lot * n] + lot * p
+            gain = more > best[lot * n :]
+            if gain.any():
+                best[lot * n :][gain] = more[gain]
+                lots.append((j, lot))
+                took.append(gain)
+            lot *= 2
+    rooms = capacity - np.array(lengths)
+    found = {}
+    for j in np.flatnonzero(prices + best[rooms] > 1 + GAP).tolist():
+        column, w = np.zeros(len(lengths)), int(rooms[j])
+        column[j] = 1
+        for (i, lot), gain in zip(reversed(lots), reversed(took), strict=True):
+            at = w - lot * lengths[i]
+            if at >= 0 and gain[at]:
+                column[i] += lot
+                w = at
+        found[column.tobytes()] = column
+    return float(best[capacity]), np.array(list(found.values())).reshape(-1, len(lengths)).T
+
+
+def solve(demand: dict[int, int], capacity: int = LENGTH) -> list[Pattern]:
     """Patterns that together hold exactly the demand; few sequences are left unfilled.
 
-    The work depends on the number of different lengths and the capacity only.
+    Revised simplex with column generation until no pattern is worth more than a sequence.  The work depends on the number of
+    different lengths and the capacity only.  The linear program's demand is raised by up to a millionth, each length by
+    another part, so no step is idle and none comes back; the basis is factored anew every few steps.
     """
     lengths = sorted((n for n, d in demand.items() if d and n < capacity), reverse=True)
     full = [Pattern({capacity: 1}, demand[capacity])] if demand.get(capacity) else []
     if not lengths:
         return full
-    d = np.array([demand[n] for n in lengths], dtype=float)
+    exact = np.array([demand[n] for n in lengths], np.int64)
+    d = exact * (1 + 1e-6 * np.random.default_rng(len(lengths)).uniform(0.1, 1, len(lengths)))
     basis = np.diag([float(capacity // n) for n in lengths])
-    inverse = np.linalg.inv(basis)
+    inverse, pool = np.linalg.inv(basis), np.zeros((len(lengths), 0))
     x = inverse @ d
-    for step in range(max_columns):
-        value, column = price_columns(lengths, inverse.sum(0), capacity)
-        if value <= 1 + 1e-7:
-            break
+    for step in range(MOST_STEPS):
+        prices = inverse.sum(0)
+        worth = prices @ pool
+        if not len(worth) or worth.max() <= 1 + GAP:
+            value, more = price_columns(lengths, prices, capacity)
+            if value <= 1 + GAP:
+                break
+            pool = np.hstack([pool[:, worth > 0.9], more])
+            worth = prices @ pool
+        column = pool[:, int(worth.argmax())]
         way = inverse @ column
-        ratio = np.where(way > 1e-9, np.maximum(x, 0) / np.where(way > 1e-9, way, 1), np.inf)
-        out = int(ratio.argmin())
+        able = way > 1e-7
+        ratio = np.where(able, np.maximum(x, 0) / np.where(able, way, 1), np.inf)
+        near = np.flatnonzero(ratio <= ratio.min() * (1 + 1e-9))
+        out = int(near[way[near].argmax()])
         basis[:, out] = column
-        if step % 50 == 49:
+        if step % REFACTOR == REFACTOR - 1:
             inverse = np.linalg.inv(basis)
+            x = inverse @ d
         else:
-            row = inverse[out] / way[out]
+            row, move = inverse[out] / way[out], ratio[out]
             inverse -= np.outer(way, row)
             inverse[out] = row
-        x = inverse @ d
-    times = np.floor(np.maximum(x, 0) + 1e-9).astype(np.int64)
-    left = d.astype(np.int64) - np.rint(basis @ times).astype(np.int64)
+            x = x - move * way
+            x[out] = move
+    else:
+        raise RuntimeError(f"column generation has not converged in {MOST_STEPS} steps")
+    times = np.floor(np.maximum(np.linalg.solve(basis, exact.astype(float)), 0) + 1e-9).astype(np.int64)
+    whole = np.rint(basis).astype(np.int64)
+    left = exact - whole @ times
     while (left < 0).any():  # rounding noise only
-        used = int(np.flatnonzero(times * (basis[int(left.argmin())] > 0))[0])
+        used = int(np.flatnonzero((times > 0) & (whole[int(left.argmin())] > 0))[0])
         times[used] -= 1
-        left = d.astype(np.int64) - np.rint(basis @ times).astype(np.int64)
-    rounded = [Pattern({n: int(a) for n, a in zip(lengths, basis[:, j], strict=True) if a}, int(t)) for j, t in enumerate(times) if t]
+        left = exact - whole @ times
+    rounded = [Pattern({n: int(a) for n, a in zip(lengths, whole[:, j].tolist(), strict=True) if a}, int(t)) for j, t in enumerate(times) if t]
     return full + rounded + greedy(dict(zip(lengths, left.tolist(), strict=True)), capacity)
 
 

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from latentia.llm import cotrain, minhash, mixing, packing, secrets
-from latentia.llm.common import checkpoint_folder, table
+from latentia.llm.common import checkpoint_folder, drop_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage.  A stage's folder goes once the next stage is written, so one is left: the result's own."""
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

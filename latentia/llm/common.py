@@ -96,11 +96,11 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes in a binary column (one row at least), to bound memory."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes in a binary column and at most ``rows`` rows (one row at least), to bound memory."""
     at, held = 0, 0
     for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
-        if held and held + n > most:
+        if i - at >= rows or held and held + n > most:
             yield batch.slice(at, i - at)
             at, held = i, 0
         held += n

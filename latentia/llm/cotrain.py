@@ -36,11 +36,12 @@ CONFIDENT = 0.98
 HELD_OUT = 4  # every 4th labelled document calibrates
 KEEP = 0.5
 CLASSES, WORDS, SOURCES, LANGS = 8, 512, 64, 16
-BYTES = 2 << 20
+#: Texts that get features at once: bytes and rows (a row has about 1,100 features).
+BYTES, BATCH = 1 << 19, 400
 STEPS = 150
 
 #: Character classes of bytes: blank, lower, upper, digit, mark within prose, other mark, beyond ASCII, line end.
-BYTE_CLASS = np.full(256, 5, np.int64)
+BYTE_CLASS = np.full(256, 5, np.int32)
 BYTE_CLASS[128:] = 6
 BYTE_CLASS[IS_SPACE] = 0
 BYTE_CLASS[10] = 7
@@ -53,13 +54,13 @@ def text_view(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     w = hashed_words(texts)
     rows = len(texts)
     sizes = np.array([len(t) + 1 for t in texts])
-    doc = np.repeat(np.arange(rows), sizes)
+    doc = np.repeat(np.arange(rows, dtype=np.int32), sizes)
     c = BYTE_CLASS[w.data[: len(doc)]]
     code = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:] if len(c) > 2 else c[:0]
     within = doc[:-2] == doc[2:] if len(c) > 2 else np.empty(0, bool)
     tri = np.bincount(doc[: len(code)][within] * CLASSES**3 + code[within], minlength=rows * CLASSES**3).reshape(rows, -1)
-    of = np.repeat(np.arange(rows), w.counts)
-    bag = np.bincount(of * WORDS + (w.hashes % np.uint64(WORDS)).astype(np.int64), minlength=rows * WORDS).reshape(rows, -1)
+    of = np.repeat(np.arange(rows, dtype=np.int32), w.counts)
+    bag = np.bincount(of * WORDS + (w.hashes % np.uint64(WORDS)).astype(np.int32), minlength=rows * WORDS).reshape(rows, -1)
     kinds = np.bincount(doc * CLASSES + c, minlength=rows * CLASSES).reshape(rows, -1) / sizes[:, None]
     order = np.lexsort((w.hashes, of))
     fresh = np.ones(len(of), bool)
@@ -67,8 +68,8 @@ def text_view(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     distinct = np.bincount(of[order][fresh], minlength=rows) / np.maximum(w.counts, 1)
     length = np.bincount(of, w.stops - w.starts, rows) / np.maximum(w.counts, 1)
     stats = np.column_stack([kinds, distinct, length / 10, np.log1p(w.counts) / 10])
-    share = lambda x: np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
-    return np.hstack([share(tri), share(bag), stats]).astype(np.float32), w.counts
+    share = lambda x: np.sqrt(x.astype(np.float32) / np.maximum(x.sum(1, keepdims=True), 1).astype(np.float32))
+    return np.hstack([share(tri), share(bag), stats.astype(np.float32)]), w.counts
 
 
 def meta_view(sources: list[str | None], langs: list[str | None], lengths: list[int | None]) -> np.ndarray:
@@ -192,7 +193,7 @@ def pool_sums(docs: DataFrame, sample: np.ndarray, givers: dict[str, list[View]]
         sample, givers, now = shared.value
         sums = {k: np.zeros(2 * len(now[k].w) + 3) for k in now}
         for whole in batches:
-            for batch in slices(whole, "text", BYTES):
+            for batch in slices(whole, "text", BYTES, BATCH):
                 out = np.isin(np.array([-1 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64), sample) & np.asarray(batch.column("doc_id").is_valid())
                 xt, xm, _ = views(batch)
                 x = {"text": xt[~out], "meta": xm[~out]}
@@ -252,7 +253,7 @@ def sample_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.nda
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", BYTES):
+            for batch in slices(whole, "text", BYTES, BATCH):
                 xt, xm, _ = views(batch)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in xt], pa.binary()), pa.array([x.tobytes() for x in xm], pa.binary())], names=["doc_id", "t", "m"])
 
@@ -292,7 +293,7 @@ def score(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFr
     def run(batches):
         model = shared.value
         for whole in batches:
-            for batch in slices(whole, "text", BYTES):
+            for batch in slices(whole, "text", BYTES, BATCH):
                 xt, xm, counts = views(batch)
                 got = model.scores(xt, xm) if model else [np.ones(len(counts))] * 3
                 cols = [np.where(counts > 0, s, 0.0) for s in got]
@@ -310,9 +311,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Da
         model = shared.value
         for whole in batches:
             own = pa.RecordBatch.from_arrays([whole.column(names.index("text")).cast(pa.binary()), *[whole.column(names.index(c)) for c in ("source", "lang", "n_chars")], pa.array(range(whole.num_rows))], names=["text", "source", "lang", "n_chars", "row"])
-            for batch in slices(own, "text", BYTES):
+            for batch in slices(own, "text", BYTES, BATCH):
                 xt, xm, counts = views(batch)
                 keep = (counts > 0) & (model.scores(xt, xm)[2] >= KEEP if model else True)
-                yield whole.take(batch.column("row").filter(pa.array(keep)))
+                if keep.any():
+                    yield whole.take(batch.column("row").filter(pa.array(keep)))
 
     return docs.mapInArrow(run, docs.schema)

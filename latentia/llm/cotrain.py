@@ -7,7 +7,7 @@ pseudo-labels for the other one.  In the end the calibrated views are combined b
 held-out labels, and every document is scored where it is.
 
 Only the labelled documents are a bounded sample: at most LABELLED, the first by a hash of the id.  Every other document
-takes part as unlabelled: in PASSES passes a round the tasks give it its pseudo-label (by the first round in which the
+takes part as unlabelled: texts become features once, in a stored table; in PASSES passes a round over it the tasks give it its pseudo-label (by the first round in which the
 other view is sure of it) and add up each view's gradient; only sums reach the driver.  A step divides the sums by
 the curvature of the labelled rows, raised to that of the pseudo-labelled ones on the diagonal.  The pseudo-labelled documents together
 weigh at most as much as the labelled ones.
@@ -21,6 +21,7 @@ gives an empty result; extra columns are kept by ``keep_good``.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentia.llm.common import slices
+from latentia.llm.common import Scratch, cut, slices
 from latentia.llm.shingles import IS_SPACE, hashed_words
 
 LABELLED, ROUNDS, PASSES = 6000, 3, 2
@@ -49,8 +50,8 @@ BYTE_CLASS[97:123], BYTE_CLASS[65:91], BYTE_CLASS[48:58] = 1, 2, 3
 BYTE_CLASS[[ord(c) for c in ".,;:'\"-?!()"]] = 4
 
 
-def text_view(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each text (float32 rows), and its number of words."""
+def text_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: root shares of trigrams and words in steps of 1 / 255 (uint8 rows), a few other shares (float32 rows), words."""
     w = hashed_words(texts)
     rows = len(texts)
     sizes = np.array([len(t) + 1 for t in texts])
@@ -68,8 +69,12 @@ def text_view(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     distinct = np.bincount(of[order][fresh], minlength=rows) / np.maximum(w.counts, 1)
     length = np.bincount(of, w.stops - w.starts, rows) / np.maximum(w.counts, 1)
     stats = np.column_stack([kinds, distinct, length / 10, np.log1p(w.counts) / 10])
-    share = lambda x: np.sqrt(x.astype(np.float32) / np.maximum(x.sum(1, keepdims=True), 1).astype(np.float32))
-    return np.hstack([share(tri), share(bag), stats.astype(np.float32)]), w.counts
+    share = lambda x: np.rint(255 * np.sqrt(x.astype(np.float32) / np.maximum(x.sum(1, keepdims=True), 1).astype(np.float32))).astype(np.uint8)
+    return np.hstack([share(tri), share(bag)]), stats.astype(np.float32), w.counts
+
+
+def text_view(codes: np.ndarray, stats: np.ndarray) -> np.ndarray:
+    return np.hstack([codes.astype(np.float32) / np.float32(255), stats])
 
 
 def meta_view(sources: list[str | None], langs: list[str | None], lengths: list[int | None]) -> np.ndarray:
@@ -144,15 +149,35 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0.0)), float(beta[1])
 
 
-def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    xt, counts = text_view([t or b"" for t in batch.column("text").to_pylist()])
-    return xt, meta_view(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars"))), counts
-
-
 def plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
 
 
+def meta_of(batch: pa.RecordBatch) -> np.ndarray:
+    return meta_view(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, n_chars, words, codes, stats: what the views are made of, so texts are read once for all passes."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", BYTES, BATCH):
+                codes, stats, counts = text_codes([t or b"" for t in batch.column("text").to_pylist()])
+                same = [batch.column(c) for c in ("doc_id", "source", "lang", "n_chars")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(counts.astype(np.int64)), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary())], names=["doc_id", "source", "lang", "n_chars", "words", "codes", "stats"])
+
+    return plain(docs).mapInArrow(run, "doc_id long, source string, lang string, n_chars long, words long, codes binary, stats binary")
+
+
+def views(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch of features() with their text view and metadata view."""
+    for at in range(0, whole.num_rows, BATCH):
+        batch = whole.slice(at, BATCH)
+        rows = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1)  # noqa: B023, E731
+        yield batch, text_view(rows("codes", np.uint8), rows("stats", np.float32)), meta_of(batch)
+
+
 PAIRS = (("text", "meta"), ("meta", "text"))
 L2, FARTHEST = 1e-3, 2.0
 
@@ -185,17 +210,16 @@ def gradient(model: Regression, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([z.T @ (p - y), (z * z).T @ np.maximum(p * (1 - p), 0.05), [len(x)]]).astype(np.float64)
 
 
-def pool_sums(docs: DataFrame, sample: np.ndarray, givers: dict[str, list[View]], now: dict[str, Regression]) -> dict[str, np.ndarray]:
+def pool_sums(feats: DataFrame, sample: np.ndarray, givers: dict[str, list[View]], now: dict[str, Regression]) -> dict[str, np.ndarray]:
     """gradient() of both views over the pseudo-labelled documents outside the labelled sample."""
-    shared = docs.sparkSession.sparkContext.broadcast((sample, givers, now))
+    shared = feats.sparkSession.sparkContext.broadcast((sample, givers, now))
 
     def run(batches):
         sample, givers, now = shared.value
         sums = {k: np.zeros(2 * len(now[k].w) + 3) for k in now}
         for whole in batches:
-            for batch in slices(whole, "text", BYTES, BATCH):
+            for batch, xt, xm in views(whole):
                 out = np.isin(np.array([-1 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64), sample) & np.asarray(batch.column("doc_id").is_valid())
-                xt, xm, _ = views(batch)
                 x = {"text": xt[~out], "meta": xm[~out]}
                 for giver, taker in PAIRS:
                     y = pseudo_labels(givers[giver], x[giver])
@@ -205,7 +229,7 @@ def pool_sums(docs: DataFrame, sample: np.ndarray, givers: dict[str, list[View]]
         yield pa.RecordBatch.from_arrays([pa.array([sums[k].tobytes()], pa.binary()) for k in ("text", "meta")], names=["text", "meta"])
 
     out = {k: np.zeros(2 * len(now[k].w) + 3) for k in now}
-    for row in plain(docs).mapInArrow(run, "text binary, meta binary").toLocalIterator():
+    for row in feats.mapInArrow(run, "text binary, meta binary").toLocalIterator():
         for k in out:
             out[k] += np.frombuffer(row[k], np.float64)
     return out
@@ -226,8 +250,8 @@ def stepped(model: Regression, x: np.ndarray, y: np.ndarray, pool: np.ndarray) -
     return model._replace(w=(model.w - move[:-1]).astype(np.float32), b=float(model.b - move[-1]))
 
 
-def co_train(docs: DataFrame, ids: np.ndarray, xt: np.ndarray, xm: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """The model from the labelled sample (ids, views, labels) and all other documents of docs."""
+def co_train(feats: DataFrame, ids: np.ndarray, xt: np.ndarray, xm: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The model from the labelled sample (ids, views, labels) and all other documents of feats."""
     held = np.arange(len(y)) % HELD_OUT == 0
     x = {"text": xt, "meta": xm}
     now = {k: fit(x[k][~held], y[~held]) for k in x}
@@ -238,7 +262,7 @@ def co_train(docs: DataFrame, ids: np.ndarray, xt: np.ndarray, xm: np.ndarray, y
         for k in x:
             givers[k].append(views_now[k])
         for _ in range(PASSES):
-            sums = pool_sums(docs, ids, givers, now)
+            sums = pool_sums(feats, ids, givers, now)
             now = {k: stepped(now[k], x[k][~held], y[~held], sums[k]) if sums[k][-1] else now[k] for k in x}
         if not any(v[-1] for v in sums.values()):
             break
@@ -248,39 +272,30 @@ def co_train(docs: DataFrame, ids: np.ndarray, xt: np.ndarray, xm: np.ndarray, y
     return Model(now["text"], now["meta"], scale["text"], scale["meta"], fit(z, y[held], steps=400))
 
 
-def sample_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sample_features(feats: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, text view, metadata view) of the documents with the given ids: a bounded set, in id order."""
-
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text", BYTES, BATCH):
-                xt, xm, _ = views(batch)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in xt], pa.binary()), pa.array([x.tobytes() for x in xm], pa.binary())], names=["doc_id", "t", "m"])
-
-    got = plain(docs).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, t binary, m binary").toArrow()
+    got = feats.join(F.broadcast(ids), "doc_id", "left_semi").toArrow().combine_chunks()
     i, first = np.unique(np.asarray(got.column("doc_id"), np.int64), return_index=True)
-    rows = lambda c, n: np.frombuffer(b"".join(got.column(c).take(pa.array(first)).to_pylist()), np.float32).reshape(len(first), n)
-    return i, rows("t", CLASSES**3 + WORDS + CLASSES + 3), rows("m", SOURCES + LANGS + 3)
+    parts = [(xt, xm) for batch in got.take(pa.array(first)).to_batches() for _, xt, xm in views(batch)]
+    return i, *(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model | None:
+def fit_model(feats: DataFrame, labels: DataFrame, target: str = "quality") -> Model | None:
     """None where the sample lacks one of the classes."""
     mark = F.xxhash64(F.lit(17), "doc_id")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(target).alias("y"))
-    chosen = known.join(ids, "doc_id", "left_semi").orderBy(mark, "doc_id").limit(LABELLED).toArrow()
+    chosen = known.join(feats.select("doc_id"), "doc_id", "left_semi").orderBy(mark, "doc_id").limit(LABELLED).toArrow()
     if not chosen.num_rows:
         return None
-    spark = docs.sparkSession
+    spark = feats.sparkSession
     of = dict(zip(chosen.column("doc_id").to_pylist(), (np.asarray(chosen.column("y")) >= 0.5).astype(float).tolist(), strict=True))
     if len(set(of.values())) < 2:
         return None
-    frame = lambda x: spark.createDataFrame(pa.table({"doc_id": pa.array(x, pa.int64())}))
-    i, xt, xm = sample_features(docs, frame([*of]))
+    i, xt, xm = sample_features(feats, spark.createDataFrame(pa.table({"doc_id": pa.array([*of], pa.int64())})))
     y = np.array([of[int(k)] for k in i])
     if len(set(y.tolist())) < 2 or len(set(y[::HELD_OUT].tolist())) < 2:
         return None
-    return co_train(docs, i, xt, xm, y)
+    return co_train(feats, i, xt, xm, y)
 
 
 SCORES = "text_score double, meta_score double, score double, keep boolean"
@@ -288,23 +303,26 @@ SCORES = "text_score double, meta_score double, score double, keep boolean"
 
 def score(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
     """doc_id, text_score, meta_score, score, keep of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, target))
+    with Scratch(docs.sparkSession, "quality") as scratch:
+        feats = scratch.cut(features(docs))
+        shared = docs.sparkSession.sparkContext.broadcast(fit_model(feats, labels, target))
 
-    def run(batches):
-        model = shared.value
-        for whole in batches:
-            for batch in slices(whole, "text", BYTES, BATCH):
-                xt, xm, counts = views(batch)
-                got = model.scores(xt, xm) if model else [np.ones(len(counts))] * 3
-                cols = [np.where(counts > 0, s, 0.0) for s in got]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c.astype(np.float64)) for c in cols], pa.array(cols[2] >= KEEP)], names=["doc_id", "text_score", "meta_score", "score", "keep"])
+        def run(batches):
+            model = shared.value
+            for whole in batches:
+                for batch, xt, xm in views(whole):
+                    full = np.asarray(batch.column("words")) > 0
+                    got = model.scores(xt, xm) if model else [np.ones(len(full))] * 3
+                    cols = [np.where(full, s, 0.0) for s in got]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c.astype(np.float64)) for c in cols], pa.array(cols[2] >= KEEP)], names=["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return plain(docs).mapInArrow(run, f"doc_id long, {SCORES}")
+        return cut(feats.mapInArrow(run, f"doc_id long, {SCORES}"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
     """docs without those that the classifier rejects, columns unchanged; decided row by row, nothing is joined."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels, target))
+    with Scratch(docs.sparkSession, "quality") as scratch:
+        shared = docs.sparkSession.sparkContext.broadcast(fit_model(scratch.cut(features(docs)), labels, target))
     names = docs.columns
 
     def run(batches):
@@ -312,8 +330,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Da
         for whole in batches:
             own = pa.RecordBatch.from_arrays([whole.column(names.index("text")).cast(pa.binary()), *[whole.column(names.index(c)) for c in ("source", "lang", "n_chars")], pa.array(range(whole.num_rows))], names=["text", "source", "lang", "n_chars", "row"])
             for batch in slices(own, "text", BYTES, BATCH):
-                xt, xm, counts = views(batch)
-                keep = (counts > 0) & (model.scores(xt, xm)[2] >= KEEP if model else True)
+                codes, stats, counts = text_codes([t or b"" for t in batch.column("text").to_pylist()])
+                keep = (counts > 0) & (model.scores(text_view(codes, stats), meta_of(batch))[2] >= KEEP if model else True)
                 if keep.any():
                     yield whole.take(batch.column("row").filter(pa.array(keep)))
 

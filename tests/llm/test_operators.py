@@ -187,9 +187,10 @@ def test_every_unlabelled_document_gives_gradients(spark):
     size = {"text": cotrain.CLASSES**3 + cotrain.WORDS + cotrain.CLASSES + 3, "meta": cotrain.SOURCES + cotrain.LANGS + 3}
     flat = {k: cotrain.Regression(np.zeros(n), np.ones(n), np.zeros(n, np.float32), 0.0) for k, n in size.items()}
     sure = {k: [cotrain.View(m, 1.0, 9.0)] for k, m in flat.items()}
-    got = cotrain.pool_sums(docs, np.arange(10), sure, flat)
+    feats = cotrain.features(docs)
+    got = cotrain.pool_sums(feats, np.arange(10), sure, flat)
     assert [v[-1] for v in got.values()] == [6990, 6990] and all(v[len(flat[k].w)] == pytest.approx(-3495) for k, v in got.items())
-    whole = cotrain.pool_sums(docs.repartition(7), np.arange(10), sure, flat)
+    whole = cotrain.pool_sums(feats.repartition(7), np.arange(10), sure, flat)
     assert all(np.allclose(got[k], whole[k], rtol=1e-4, atol=1e-3) for k in got)
 
 

@@ -9,8 +9,9 @@ over all training types plus the unknown one sum to 1.
 
 Model.  Each level is P(x | two words before) ~ exp((c1 * q[h1] + c2 * q[h2]) . r[x] + b[x]) within its parent.  A frequent
 word has its own q; another word's q is the sum of two rows picked by its hash out of two tables of BUCKETS rows (pairs of rows:
-BUCKETS^2).  Classes and cells are trained in ROUNDS passes: each task trains a copy of the shared parameters by
-noise-contrastive estimation on its own training texts, and the copies are averaged, weighted by tokens.
+BUCKETS^2).  Training texts are dealt by a hash of id and text to shards of about SHARD tokens, in the order of that hash; a task trains a
+copy of the shared parameters by noise-contrastive estimation on its shard, and the copies are averaged, weighted by tokens.  So
+scores do not depend on how the input is partitioned (up to the order of sums).
 
 Words within cells stay distributed: every token outside the frequent words goes, packed with its context, to the task of its cell,
 which counts the cell's types, trains their vectors with noise from their counts, and scores the tokens.  The driver
@@ -34,15 +35,17 @@ from pyspark.sql import functions as F
 from latentia.llm.common import cut, slices
 from latentia.llm.shingles import word_hashes
 
-FREQUENT, WIDTH, CONTEXT, NOISE, BATCH, RATE = 510, 16, 2, 32, 4096, 0.05
+FREQUENT, WIDTH, CONTEXT, NOISE, BATCH, RATE = 254, 16, 2, 32, 4096, 0.05
 END = 0
 LEAF = 256  # types in a cell
 BUCKETS_LOG = 10
 NEAR = 2  # noise samples of a token within its group or cell
-ROUNDS = 2
+SHARD = 1_000_000  # training tokens of a shard
 PACK = 200_000  # tokens of a task of cells
 HEAD = 1 << 19
-BYTES = 2 << 20
+BYTES = 1 << 20
+#: Tokens of a step in a cell, and its shared noise samples.
+CELL_BATCH, CELL_NOISE = 128, 12
 SEED = 3
 
 
@@ -153,6 +156,14 @@ def corpus_statistics(counts: DataFrame, texts: int, frequent: int = FREQUENT, h
     return Corpus(row["n"] + texts, row["v"] + bool(texts), texts, row["once"], words, word_counts, groups, cell_counts)
 
 
+def accumulated(at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ``at`` (below size) and the sums of their rows."""
+    order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 class LogBilinear:
     """Parameters r (a row for each class), q (for each class and bucket), c (for each context position) and b."""
 
@@ -195,34 +206,41 @@ class LogBilinear:
 
     def train(self, classes: np.ndarray, contexts: np.ndarray, squares: dict, rng: np.random.Generator) -> None:
         """One pass over tokens and their contexts; a batch shares its noise samples; AdaGrad steps."""
-        n, width = self.r.shape
+        n = len(self.r)
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
         cdf = np.cumsum(self.noise)
 
-        def scattered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-            flat = (at[:, None] * width + np.arange(width)).ravel()
-            return np.bincount(flat, rows.ravel(), size * width).reshape(size, width)
+        def step(name: str, at: np.ndarray | slice, grad: np.ndarray, tokens: int) -> None:
+            own = getattr(self, name)
+            if name not in squares:
+                squares[name] = np.full(own.shape, 1e-8, np.float32)
+            grad = grad / np.float32(tokens)
+            held = squares[name][at] + grad * grad
+            squares[name][at] = held
+            own[at] += np.float32(RATE) * grad / np.sqrt(held)
 
         for start in range(0, len(classes), BATCH):
             w, h = classes[start : start + BATCH], contexts[start : start + BATCH]
             z = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), n - 1)
             q = [self.embedded(h[:, i]) for i in range(CONTEXT)]
             hidden = sum(q[i] * self.c[i] for i in range(CONTEXT))
-            right = 1 / (1 + np.exp((hidden * self.r[w]).sum(1) + self.b[w] - log_noise[w]))
-            wrong = -1 / (1 + np.exp(-(hidden @ self.r[z].T + self.b[z] - log_noise[z])))
-            back = right[:, None] * self.r[w] + wrong @ self.r[z]
+            rw = self.r[w]
+            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, rw) + self.b[w] - log_noise[w]))
+            wrong = -1 / (1 + np.exp(-(hidden @ self.r[z].T + (self.b[z] - log_noise[z]))))
+            back = right[:, None] * rw + wrong @ self.r[z]
             at, of = [], []
             for i in range(CONTEXT):
                 first, other, second = self.rows(h[:, i])
+                own = back * self.c[i]
                 at += [first, second]
-                of += [back * self.c[i], back[other] * self.c[i]]
-            grad = {"r": scattered(w, right[:, None] * hidden, n), "q": scattered(np.concatenate(at), np.vstack(of), len(self.q)), "c": np.stack([(back * q[i]).sum(0) for i in range(CONTEXT)]), "b": np.bincount(w, right, n)}
-            np.add.at(grad["r"], z, wrong.T @ hidden)
-            np.add.at(grad["b"], z, wrong.sum(0))
-            for name, g in grad.items():
-                g = g / len(w)
-                squares[name] = squares.get(name, 1e-8) + g * g
-                setattr(self, name, (getattr(self, name) + RATE * g / np.sqrt(squares[name])).astype(np.float32))
+                of += [own, own[other]]
+            to_r = np.concatenate([np.column_stack([right[:, None] * hidden, right]), np.column_stack([wrong.T @ hidden, wrong.sum(0)])]).astype(np.float32)
+            to_c = np.stack([np.einsum("ij,ij->j", back, q[i]) for i in range(CONTEXT)])
+            rows, sums = accumulated(np.concatenate([w, z]), to_r, n)
+            step("r", rows, sums[:, :-1], len(w))
+            step("b", rows, sums[:, -1], len(w))
+            step("q", *accumulated(np.concatenate(at), np.concatenate(of), len(self.q)), len(w))
+            step("c", slice(None), to_c, len(w))
 
     def log10(self, classes: np.ndarray, contexts: np.ndarray, block: int = 512) -> np.ndarray:
         """Normalised log10 P(class | context)."""
@@ -232,16 +250,21 @@ class LogBilinear:
         """The same, and log10 of the mass of the classes from ``tail`` on; both are matrix products over distinct contexts."""
         codes, at = np.unique((contexts[:, 0] << 32) | contexts[:, 1], return_inverse=True)
         hidden = self.hidden(np.stack([codes >> 32, codes & 0xFFFFFFFF], 1))
-        norm, last = np.empty(len(codes), np.float64), np.empty(len(codes), np.float64)
+        full = np.column_stack([hidden, np.ones(len(hidden), np.float32)])
+        weights = np.column_stack([self.r, self.b]).T.astype(np.float32)
+        parts = np.zeros((len(self.b), 2), np.float32)
+        parts[:tail, 0], parts[tail:, 1] = 1, 1
+        sums = np.empty((len(codes), 2), np.float64)
         for s in range(0, len(codes), block):
-            logits = hidden[s : s + block] @ self.r.T + self.b
-            top = logits.max(1, keepdims=True)
-            e = np.exp(logits - top)
-            rest = e[:, tail:].sum(1)
-            last[s : s + block] = np.log(np.maximum(rest, 1e-30)) + top[:, 0]
-            norm[s : s + block] = np.log(e[:, :tail].sum(1) + rest) + top[:, 0]
+            logits = full[s : s + block] @ weights
+            top = logits.max() if logits.size else 0
+            shift = np.float32(0) if abs(top) < 60 else logits.max(1, keepdims=True)
+            logits -= shift
+            np.exp(logits, out=logits)
+            sums[s : s + block] = np.log(np.maximum(logits @ parts, 1e-30)) + shift
+        norm = np.logaddexp(sums[:, 0], sums[:, 1])
         own = np.einsum("ij,ij->i", hidden[at], self.r[classes]) + self.b[classes]
-        return (own - norm[at]) / np.log(10), (last - norm)[at] / np.log(10)
+        return (own - norm[at]) / np.log(10), (sums[:, 1] - norm)[at] / np.log(10)
 
 
 class Members:
@@ -271,13 +294,11 @@ class Members:
             s = np.einsum("ij,ikj->ik", h, self.r[x]) + self.b[x] - self.log_noise[x]
             step = -1 / (1 + np.exp(-s))
             step[:, 0] += 1
-            rows, at = np.unique(x, return_inverse=True)
-            full = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
-            width = full.shape[1]
-            flat = (at.reshape(-1, 1) * width + np.arange(width)).ravel()
-            grad = np.bincount(flat, (step[:, :, None] * full[:, None, :]).ravel(), len(rows) * width).reshape(-1, width) / len(w)
+            full = np.column_stack([h, np.ones(len(h), np.float32)])
+            rows, sums = accumulated(x.ravel(), (step[:, :, None].astype(np.float32) * full[:, None, :]).reshape(-1, full.shape[1]), len(self.b))
+            grad = sums / np.float32(len(w))
             self.squares[rows] += grad * grad
-            move = (RATE * grad / np.sqrt(self.squares[rows])).astype(np.float32)
+            move = np.float32(RATE) * grad / np.sqrt(self.squares[rows])
             self.r[rows] += move[:, :-1]
             self.b[rows] += move[:, -1]
 
@@ -296,6 +317,36 @@ class Members:
         return out / np.log(10)
 
 
+def cell_scores(members: np.ndarray, hidden: np.ndarray, counts: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """log10 P(member | cell, context) of the tokens of one cell, after one pass of noise-contrastive estimation over those not held out.
+
+    counts: training tokens of each member; a step's tokens share its noise samples.
+    """
+    noise = counts / counts.sum()
+    cdf, log_noise = np.cumsum(noise), np.log(CELL_NOISE * noise).astype(np.float32)
+    w = np.zeros((len(counts), hidden.shape[1] + 1), np.float32)
+    w[:, -1] = np.log(noise)
+    squares = np.full(w.shape, 1e-8, np.float32)
+    full = np.column_stack([hidden, np.ones(len(hidden), np.float32)])
+    use = rng.permutation(np.flatnonzero(~held))
+    for start in range(0, len(use), CELL_BATCH):
+        at = use[start : start + CELL_BATCH]
+        m, h = members[at], full[at]
+        z = np.minimum(np.searchsorted(cdf, rng.random(CELL_NOISE)), len(counts) - 1)
+        right = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, w[m]) - log_noise[m]))
+        wrong = -1 / (1 + np.exp(log_noise[z] - h @ w[z].T))
+        rows, sums = accumulated(np.concatenate([m, z]), np.concatenate([right[:, None] * h, wrong.T @ h]).astype(np.float32), len(counts))
+        grad = sums / np.float32(len(at))
+        held_squares = squares[rows] + grad * grad
+        squares[rows] = held_squares
+        w[rows] += np.float32(RATE) * grad / np.sqrt(held_squares)
+    logits = full @ w.T
+    own = logits[np.arange(len(members)), members].astype(np.float64)
+    logits -= logits.max(1, keepdims=True) if len(logits) else 0
+    top = own - logits[np.arange(len(members)), members]
+    return (own - top - np.log(np.exp(logits).sum(1))) / np.log(10)
+
+
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes in place, where each text's end token stands, and tokens of each text."""
     hashes, counts = word_hashes(texts)
@@ -323,43 +374,37 @@ def cell_members(corpus: Corpus) -> Members:
     return Members(corpus.cell_counts, np.arange(corpus.groups + 1) * (len(corpus.cell_counts) // corpus.groups))
 
 
-def train(training: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> tuple[LogBilinear, Members]:
-    """Classes and cells trained on every training text; copies are averaged position by position on the cluster, in rounds.
-
-    Cells are trained in the last round, with the contexts of the classes' model.
-    """
-    sc = training.sparkSession.sparkContext
+def train(training: DataFrame, corpus: Corpus) -> tuple[LogBilinear, Members]:
+    """Classes and cells trained on every training text (doc_id, text); copies are averaged position by position on the cluster."""
     model, cells = LogBilinear(corpus.class_counts), cell_members(corpus)
-    for turn in range(rounds):
-        shared = sc.broadcast((corpus, model.vector(), turn, turn == rounds - 1))
+    shared = training.sparkSession.sparkContext.broadcast(corpus)
+    n = len(model.vector())
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, vector, turn, last = shared.value
-            model, cells, squares, seen = LogBilinear(own.class_counts), cell_members(own), {}, 0
-            model.load(vector)
-            rng = np.random.default_rng([SEED, turn, TaskContext.get().partitionId()])
-            for whole in batches:
-                for batch in slices(whole, "text", BYTES):
-                    tokens, ends, sizes = sequences([t or b"" for t in batch.column("text").to_pylist()])
-                    classes, contexts = class_sequence(own, tokens, ends, sizes)
-                    order = rng.permutation(len(classes))
-                    model.train(classes[order], contexts[order], squares, rng)
-                    if last:
-                        rare = order[classes[order] > len(own.words)]
-                        cells.train(own.cells(tokens[rare]), model.hidden(contexts[rare]), rng)
-                    seen += len(classes)
-            if seen:
-                v = np.concatenate([model.vector(), cells.r.ravel(), cells.b] if last else [model.vector()]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * seen), pa.array(np.full(len(v), float(seen)))], names=["i", "x", "w"])
-
-        mean = training.select("text").mapInArrow(run, "i int, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
-        if mean.num_rows:
-            v = np.asarray(mean.column("x"))[np.argsort(np.asarray(mean.column("i")))]
-            n = len(model.vector())
-            model.load(v)
-            if len(v) > n:
-                cells.r = v[n : n + cells.r.size].reshape(cells.r.shape).astype(np.float32)
-                cells.b = v[n + cells.r.size :].astype(np.float32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        model, cells, squares, seen = LogBilinear(own.class_counts), cell_members(own), {}, 0
+        rng = np.random.default_rng([SEED, TaskContext.get().partitionId()])
+        for whole in batches:
+            for batch in slices(whole, "text", BYTES):
+                tokens, ends, sizes = sequences([t or b"" for t in batch.column("text").to_pylist()])
+                classes, contexts = class_sequence(own, tokens, ends, sizes)
+                order = rng.permutation(len(classes))
+                model.train(classes[order], contexts[order], squares, rng)
+                rare = order[classes[order] > len(own.words)]
+                cells.train(own.cells(tokens[rare]), model.hidden(contexts[rare]), rng)
+                seen += len(classes)
+        if seen:
+            v = np.concatenate([model.vector(), cells.r.ravel(), cells.b]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * seen), pa.array(np.full(len(v), float(seen)))], names=["i", "x", "w"])
+
+    mark = F.xxhash64("doc_id", "text")
+    dealt = training.select("doc_id", "text").repartition(1 + corpus.tokens // SHARD, mark).sortWithinPartitions(mark, "doc_id", "text")
+    mean = dealt.select("text").mapInArrow(run, "i int, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
+    if mean.num_rows:
+        v = np.asarray(mean.column("x"))[np.argsort(np.asarray(mean.column("i")))]
+        model.load(v)
+        cells.r = v[n : n + cells.r.size].reshape(cells.r.shape).astype(np.float32)
+        cells.b = v[n + cells.r.size :].astype(np.float32)
     return model, cells
 
 
@@ -427,7 +472,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             return
         t = np.concatenate(packs)
         packs.clear()
-        t = t[np.lexsort((t["two"], t["one"], t["h"]))]
+        t = t[np.lexsort((t["held"], t["two"], t["one"], t["h"]))]
         types, at = np.unique(t["h"], return_inverse=True)
         c = np.bincount(at[~t["held"]], minlength=len(types))
         of = corpus.cells(types)
@@ -438,16 +483,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         member, count = place[at], c[at]
         score = t["more"] + np.log10(corpus.unknown)
         if len(order):
-            first = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) > 0]))
-            leaf = Members(c[order], np.append(first, len(order)))
             model = LogBilinear(corpus.class_counts)
             model.load(vector)
             known = np.flatnonzero(member >= 0)
-            hidden = model.hidden(np.stack([t["one"], t["two"]], 1).astype(np.int64))
-            rng = np.random.default_rng([SEED, int(types[0] & np.uint64(0xFFFFFFFF))])
-            use = rng.permutation(np.flatnonzero(~t["held"]))
-            leaf.train(member[use], hidden[use], rng)
-            score[known] = leaf.log10(member[known], hidden[known]) + np.log10(1 - corpus.unknown)
+            known = known[np.argsort(of[at[known]], kind="stable")]
+            cells_of, counts_of = of[at[known]], c[order]
+            first = np.flatnonzero(np.concatenate([[True], cells_of[1:] != cells_of[:-1], [True]]))
+            starts = np.searchsorted(of[order], cells_of[first[:-1]])
+            stops = np.searchsorted(of[order], cells_of[first[:-1]], "right")
+            for i, (lo, hi) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+                own = known[first[i] : first[i + 1]]
+                hidden = model.hidden(np.stack([t["one"][own], t["two"][own]], 1).astype(np.int64))
+                rng = np.random.default_rng([SEED, int(cells_of[first[i]])])
+                score[own] = cell_scores(member[own] - lo, hidden, counts_of[lo:hi], t["held"][own], rng) + np.log10(1 - corpus.unknown)
         uid, at = np.unique(t["uid"], return_inverse=True)
         sums = [np.bincount(at, x, len(uid)) for x in (count > 0, np.log10((count + 0.5) / total), score.astype(np.float64))]
         for s in range(0, len(uid), 100_000):

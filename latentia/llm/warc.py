@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentia.llm.common import BROADCAST_BYTES, checkpoint_folder, cut
+from latentia.llm.common import BROADCAST_BYTES, checkpoint_folder, cut, drop_folder
 
 EOL = "\r\n"
 END = EOL * 2
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_A_FILE = 1500
+#: Most records and about the most bytes of an archive file, which is read whole.
+RECORDS_A_FILE, BYTES_A_FILE = 1500, 64 << 20
 MAGIC = b"\x1f\x8b\x08"
 MEMBER_STEP = 1 << 16
 
@@ -88,8 +89,10 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Archives of at most RECORDS_A_FILE records each under path."""
-    records(with_revisits(pages)).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    """Archives under path, of so few records each that the longest payloads together stay below BYTES_A_FILE (one record at least)."""
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    most = max(1, min(RECORDS_A_FILE, BYTES_A_FILE // (longest + 2048)))
+    records(with_revisits(pages)).write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 class Found(NamedTuple):
@@ -203,11 +206,17 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write archives into the shared folder, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write archives into the shared folder, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    What was read is stored, so the archives are read once and then deleted.
+    """
     spark = pages.sparkSession
     path = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(pages, path)
-    found = read_warc(spark.read.format("binaryFile").load(path), payloads=False)
+    try:
+        write_warc(pages, path)
+        found = cut(read_warc(spark.read.format("binaryFile").load(path), payloads=False).drop("payload"))
+    finally:
+        drop_folder(spark, path)
     wrote, seen = pages.count(), found.agg(F.count_if(F.col("gap").isNull()).alias("n"), F.count("gap").alias("gaps")).first()
     if seen["gaps"] or seen["n"] != wrote:
         raise ValueError(f"{wrote} pages were written, {seen['n']} records and {seen['gaps']} gaps read back")

@@ -9,9 +9,9 @@ Queries and candidates meet in a grid of blocks of bounded size (an equi-join on
 only k rows per query and block leave a task.
 
 Defined cases: vectors that are null, or hold null or non-finite components, or have a null id, take
-no part; vectors are only compared with vectors of their own length; candidates with the query's own
-id are skipped, and of repeated query ids the least vector asks; ties go to the smaller id; fewer than k candidates give all of them; an empty table
-gives no rows.
+no part; vectors are only compared with vectors of their own length; candidates of a query
+row are all rows but the query's own, so of rows that share an id each asks for itself and may find the others; ties go to the smaller
+id; fewer than k candidates give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ CHUNK = 64
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """id, dim, v (array of long): floor(scale * x) of the valid vectors."""
+    """row_id (a number for each row), id, dim, v (array of long): floor(scale * x) of the valid vectors; to be stored before row_id is used twice."""
     ok = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     v = F.transform(vec_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     return (
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias(vec_col))
         .where(F.col("id").isNotNull() & F.col(vec_col).isNotNull() & ok)
-        .select("id", F.size(vec_col).alias("dim"), v.alias("v"))
+        .select(F.monotonically_increasing_id().alias("row_id"), "id", F.size(vec_col).alias("dim"), v.alias("v"))
     )
 
 
@@ -72,8 +72,8 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def eliminate(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The k best (query, candidate, score) of one block pair."""
+def eliminate(qid: np.ndarray, q: np.ndarray, crow: np.ndarray, cid: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best (query row, candidate id, score) of one block pair; qid: rows of the queries, crow and cid: rows and ids of the candidates."""
     qf, cf = q.astype(np.float64), c.astype(np.float64)
     tq, tc = pivot_table(qf, pivots), pivot_table(cf, pivots)
     lower = np.abs(tq[:, :1] - tc[:, 0][None, :])
@@ -85,7 +85,7 @@ def eliminate(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, pi
     out = []
     for i in range(len(qid)):
         order = np.argsort(-upper[i], kind="stable")
-        order = order[cid[order] != qid[i]]
+        order = order[crow[order] != qid[i]]
         bound, at, step = upper[i][order], 0, CHUNK
         ids = scores = np.empty(0, np.int64)
         while at < len(order):
@@ -102,12 +102,12 @@ def eliminate(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, pi
 
 
 def top_k(queries: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score; queries and points are tables (id, dim, v) of quantized()."""
+    """query_id, rank, vec_id, score; queries and points are stored tables (row_id, id, dim, v) of quantized()."""
     pivots = choose_pivots(points)
     n, nq = points.count(), queries.count()
     cells = max(LEAST_CELLS, -(-n // CELL_ROWS))
     rows = -(-nq // QUERY_ROWS) or 1
-    cell, row = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(cells)), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(rows))
+    cell, row = F.pmod(F.xxhash64(F.lit(1), "row_id"), F.lit(cells)), F.pmod(F.xxhash64(F.lit(2), "row_id"), F.lit(rows))
     left = queries.withColumn("row", row).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
     right = points.withColumn("cell", cell).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<bigint>")))
 
@@ -116,19 +116,18 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
         if a.num_rows and b.num_rows:
             dim = a.column("dim")[0].as_py()
             p = pivots.get(dim, np.zeros((0, dim)))
-            found = eliminate(np.asarray(a.column("id")), matrix(a, "v", dim), np.asarray(b.column("id")), matrix(b, "v", dim), p, k)
+            found = eliminate(np.asarray(a.column("row_id")), matrix(a, "v", dim), np.asarray(b.column("row_id")), np.asarray(b.column("id")), matrix(b, "v", dim), p, k)
         cols = [np.concatenate([f[j] for f in found]) if found else np.empty(0, np.int64) for j in range(3)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]}, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+        return pa.table({"query": cols[0], "vec_id": cols[1], "score": cols[2]}, schema=pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
     keys = ["dim", "row", "cell"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    top = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top.join(queries.select(F.col("row_id").alias("query"), F.col("id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """Top k of every row for the queries whose vec_id is divisible by ``every``."""
     points = cut(quantized(vectors, "vec_id", "embedding"))
-    asked = points.where(F.pmod("id", F.lit(every)) == 0)
-    queries = asked.groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q")).select("id", "q.dim", "q.v")
-    return top_k(queries, points, k)
+    return top_k(points.where(F.pmod("id", F.lit(every)) == 0), points, k)

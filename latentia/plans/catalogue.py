@@ -18,7 +18,8 @@ QUERIES: dict[str, Query] = {}
 
 MINUTES_10, HOUR = 600 * SECOND, 3600 * SECOND
 EVENT = "2024-01-10"
-SHIFTS = labels.draw_shifts(700, 3, margin=100, near=5, periods=(24,))
+#: For the 30 days of hourly bars that events have at every scale factor.
+SHIFTS = labels.draw_shifts(700, 20, margin=100, near=5, periods=(24,))
 R_NOISE, GATE = 0.05, 4.0
 #: Two modes of the interacting filter: process noise, measurement noise, transitions.
 MODES_Q, MODES_R, MODES_PI = [0.01, 1.0], [0.05, 0.2], [[0.95, 0.05], [0.1, 0.9]]
@@ -456,13 +457,13 @@ def standardized_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regimes.best_models(regimes.fit_hmm(standardized_series(spark, sf_dir), "z", [2, 3], restarts=2, steps=25))
+    return regimes.best_models(regimes.fit_hmm(standardized_series(spark, sf_dir), "z", [2, 3, 4, 5]))
 
 
 @query
 def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = standardized_series(spark, sf_dir)
-    best = regimes.best_models(regimes.fit_hmm(series, "z", [2], restarts=2, steps=25))
+    best = regimes.best_models(regimes.fit_hmm(series, "z", [2, 3, 4, 5])).where("chosen")
     return regimes.decode(series, best, "z")
 
 

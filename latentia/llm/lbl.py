@@ -40,7 +40,7 @@ END = 0
 LEAF = 256  # types in a cell
 BUCKETS_LOG = 10
 NEAR = 2  # noise samples of a token within its group or cell
-SHARD = 1_000_000  # training tokens of a shard
+SHARD = 4_000_000  # training tokens of a shard
 PACK = 200_000  # tokens of a task of cells
 HEAD = 1 << 19
 BYTES = 1 << 20

@@ -79,6 +79,21 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
 
 
+def test_pseudonyms_in_many_formats(spark):
+    card, phone = "4111111111111111", "555-123-4567"
+    texts = [card, "4111-1111-1111-1111", "4111 1111 1111 1111 123", "2 4111111111111111", f"{phone} 555-987-6543", f"1234 {phone}", "ES91 2100 0418 4502 0005 1332 EUR 50", "es9121000418450200051332", "12/25/1990", "25.12.1990", "1990-12-25", "+44 20 7946 0958", "x..y@b.com", "999.1.1.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.report(df).orderBy("doc_id").collect()]
+    new, bare = got[0], lambda t: re.sub("[ -]", "", t)
+    assert luhn(new) and new != card and bare(got[1]) == new and bare(got[2]) == new + "123" and got[3] == f"2 {new}"
+    assert got[4].split()[0] == got[5].split()[1] != phone and got[4].split()[1] != "555-987-6543"
+    assert bare(got[6]).removesuffix("EUR50") == got[7].upper() and got[6].endswith(" EUR 50") and got[7] != texts[7]
+    assert got[8][6:] + got[8][:2] + got[8][3:5] == got[10].replace("-", "") == "".join(reversed(got[9].split("."))) != "19901225"
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}", got[11]) and got[11] != texts[11] and got[12:] == texts[12:]
+    other = [r["text"] for r in pii.pseudonymize(df.withColumn("n_card", F.lit("clash")), "another key").orderBy("doc_id").collect()]
+    assert other[0] != new and luhn(other[0]) and other[12:] == texts[12:]
+
+
 def test_feistel_is_a_bijection(spark):
     df = spark.range(1000).select(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.floor(F.col("id") / F.pow(F.lit(10), i)).cast("int") % 10).alias("v"))
     out = df.select(pii.feistel(F.col("v"), F.array_repeat(F.lit(10), 3), "x").alias("o"))
@@ -253,6 +268,18 @@ def test_base_secrets_and_random_strings(spark, docs):
     assert secrets.redact(both).where("doc_id = -2").first()["text"] == "here [random] there"
 
 
+def test_random_strings_are_found_and_names_are_not(docs):
+    rng, usual = np.random.default_rng(5), secrets.prose(docs)
+    hit = lambda s: secrets.battery(s, secrets.inferred(s)) >= secrets.RANDOM_LEVEL and secrets.as_prose(s, secrets.inferred(s), usual) < 1e-3
+    for name, chars in secrets.ALPHABETS[1:-1]:
+        assert sum(hit("".join(rng.choice(list(chars), 24))) for _ in range(50)) >= 47, name
+    known = [w for t in text_of(docs).values() for w in (t or "").split() if w.isalpha() and w.isascii() and 3 <= len(w) <= 10]
+    names = ["".join(w.capitalize() for w in rng.choice(known, 5)) for _ in range(100)] + ["_".join(rng.choice(known, 4)) for _ in range(100)]
+    assert sum(hit(n) for n in names) <= 2
+    found = docs.sparkSession.createDataFrame([([(0, 1, 2, s)],) for s in [40] * 30 + [0] * 970], "tested array<struct<start:int,end:int,length:int,step:int>>")
+    assert 1 <= secrets.discovery_steps(found)[2] <= 40 and secrets.discovery_steps(found)[0] == secrets.STEPS + 1
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     html = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "line\r\n\r\nWARC/1.1\r\n\r\nnot a record", "<p>é</p>"]
     pages = spark.createDataFrame([(i, f"http://x/{i}", h, "extra") for i, h in enumerate(html)], "page_id long, url string, html string, digest string")
@@ -336,6 +363,31 @@ def test_solver_holds_the_demand_exactly():
     assert sum(p.times for p in found) <= 1.1 * least + 5
 
 
+def test_solver_ends_with_every_length_in_demand():
+    lengths = [*range(1, 16), *range(16, 2048, 16)]
+    demand = dict(zip(lengths, np.random.default_rng(3).integers(1, 10**6, len(lengths)).tolist(), strict=True))
+    made = Counter()
+    for p in packing.solve(demand):
+        made.update({n: a * p.times for n, a in p.counts.items()})
+    assert dict(made) == demand
+
+
+def test_large_groups_of_near_copies(spark):
+    """One group of exact and one of near copies: the whole groups come out, with the same components as all pairs give for 99 %."""
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 9000, 150)]
+    texts = {i: " ".join(base) for i in range(100)}
+    for i in range(100, 400):
+        now = list(base)
+        for at in rng.integers(0, 150, rng.integers(0, 6)):
+            now[at] = f"n{i}x{at}"
+        texts[i] = " ".join(now)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85, 100).collect()}
+    want = brute_components(texts, 3, 85, 100)
+    assert sum(got[i] == want[i][1] for i in texts) >= 0.99 * len(texts) and all(got[i] == 0 for i in range(100))
+
+
 def test_pipeline_keeps_columns_and_drops_copies(spark, docs):
     import corpus_pipeline
 

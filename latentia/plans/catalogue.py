@@ -457,13 +457,13 @@ def standardized_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regimes.best_models(regimes.fit_hmm(standardized_series(spark, sf_dir), "z", [2, 3, 4, 5]))
+    return regimes.best_models(regimes.fit_hmm(standardized_series(spark, sf_dir), "z", [2, 3], restarts=2, steps=25))
 
 
 @query
 def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = standardized_series(spark, sf_dir)
-    best = regimes.best_models(regimes.fit_hmm(series, "z", [2, 3, 4, 5])).where("chosen")
+    best = regimes.best_models(regimes.fit_hmm(series, "z", [2, 3], restarts=2, steps=25)).where("chosen")
     return regimes.decode(series, best, "z")
 
 

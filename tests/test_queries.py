@@ -1,4 +1,4 @@
-"""Every query with SQL gives DuckDB's rows; the others give rows of the right shape."""
+"""Every query with SQL gives DuckDB's rows."""
 
 from __future__ import annotations
 

@@ -41,9 +41,12 @@ LEAF = 256  # types in a cell
 BUCKETS_LOG = 10
 NEAR = 2  # noise samples of a token within its group or cell
 SHARD = 4_000_000  # training tokens of a shard
-PACK = 200_000  # tokens of a task of cells
+PACK = 400_000  # tokens of a task of cells
+HOLD = 500_000  # tokens a task holds before it packs them
 HEAD = 1 << 19
 BYTES = 1 << 20
+#: Parameters averaged together, and the tasks that average them.
+BLOCK, MEAN_TASKS = 4096, 16
 #: Tokens of a step in a cell, and its shared noise samples.
 CELL_BATCH, CELL_NOISE = 128, 12
 SEED = 3
@@ -158,10 +161,34 @@ def corpus_statistics(counts: DataFrame, texts: int, frequent: int = FREQUENT, h
 
 def accumulated(at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers in ``at`` (below size) and the sums of their rows."""
-    order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
+    seen, place = np.zeros(size, bool), np.empty(size, np.int64)
+    seen[at] = True
+    touched = np.flatnonzero(seen)
+    width = rows.shape[1]
+    place[touched] = np.arange(0, width * len(touched), width)
+    sums = np.bincount((place[at][:, None] + np.arange(width)).ravel(), rows.ravel(), width * len(touched))
+    return touched, sums.astype(np.float32).reshape(-1, width)
+
+
+def bounded(full: np.ndarray, weights: np.ndarray, most: float = 60.0) -> bool:
+    """No product of a row of full and a row of weights leaves [-most, most] (by their lengths), so exp needs no shift."""
+    if not full.size or not weights.size:
+        return True
+    return float(np.einsum("ij,ij->i", full, full).max()) * float(np.einsum("ij,ij->i", weights, weights).max()) < most * most
+
+
+def log_sums(full: np.ndarray, weights: np.ndarray, block: int = 512) -> np.ndarray:
+    """log of the sum over the rows w of weights of exp(f . w), for each row f of full; blocks stay in the processor's cache."""
+    out, easy, ones = np.empty(len(full)), bounded(full, weights), np.ones(len(weights), np.float32)
+    turned = np.ascontiguousarray(weights.T)
+    for s in range(0, len(full), block):
+        logits = full[s : s + block] @ turned
+        shift = np.float32(0) if easy else logits.max(1, keepdims=True)
+        if not easy:
+            logits -= shift
+        np.exp(logits, out=logits)
+        out[s : s + block] = np.log(logits @ ones) + np.ravel(shift)
+    return out
 
 
 class LogBilinear:
@@ -252,14 +279,15 @@ class LogBilinear:
         hidden = self.hidden(np.stack([codes >> 32, codes & 0xFFFFFFFF], 1))
         full = np.column_stack([hidden, np.ones(len(hidden), np.float32)])
         weights = np.column_stack([self.r, self.b]).T.astype(np.float32)
+        easy = bounded(full, weights.T)
         parts = np.zeros((len(self.b), 2), np.float32)
         parts[:tail, 0], parts[tail:, 1] = 1, 1
         sums = np.empty((len(codes), 2), np.float64)
         for s in range(0, len(codes), block):
             logits = full[s : s + block] @ weights
-            top = logits.max() if logits.size else 0
-            shift = np.float32(0) if abs(top) < 60 else logits.max(1, keepdims=True)
-            logits -= shift
+            shift = np.float32(0) if easy else logits.max(1, keepdims=True)
+            if not easy:
+                logits -= shift
             np.exp(logits, out=logits)
             sums[s : s + block] = np.log(np.maximum(logits @ parts, 1e-30)) + shift
         norm = np.logaddexp(sums[:, 0], sums[:, 1])
@@ -302,18 +330,15 @@ class Members:
             self.r[rows] += move[:, :-1]
             self.b[rows] += move[:, -1]
 
-    def log10(self, members: np.ndarray, hidden: np.ndarray, block: int = 2048) -> np.ndarray:
+    def log10(self, members: np.ndarray, hidden: np.ndarray) -> np.ndarray:
         """Normalised log10 P(member | its parent, context)."""
         out = np.einsum("ij,ij->i", hidden, self.r[members]).astype(np.float64) + self.b[members]
         order = np.argsort(self.parent[members], kind="stable")
         cuts = np.searchsorted(self.parent[members][order], np.arange(len(self.starts)))
-        for g in range(len(self.starts) - 1):
-            own = slice(self.starts[g], self.starts[g + 1])
-            for s in range(cuts[g], cuts[g + 1], block):
-                rows = order[s : min(s + block, cuts[g + 1])]
-                logits = hidden[rows] @ self.r[own].T + self.b[own]
-                top = logits.max(1, keepdims=True)
-                out[rows] -= np.log(np.exp(logits - top).sum(1)) + top[:, 0]
+        full, weights = np.column_stack([hidden, np.ones(len(hidden), np.float32)]), np.column_stack([self.r, self.b])
+        for g in np.flatnonzero(np.diff(cuts)):
+            rows = order[cuts[g] : cuts[g + 1]]
+            out[rows] -= log_sums(full[rows], weights[self.starts[g] : self.starts[g + 1]])
         return out / np.log(10)
 
 
@@ -340,11 +365,8 @@ def cell_scores(members: np.ndarray, hidden: np.ndarray, counts: np.ndarray, hel
         held_squares = squares[rows] + grad * grad
         squares[rows] = held_squares
         w[rows] += np.float32(RATE) * grad / np.sqrt(held_squares)
-    logits = full @ w.T
-    own = logits[np.arange(len(members)), members].astype(np.float64)
-    logits -= logits.max(1, keepdims=True) if len(logits) else 0
-    top = own - logits[np.arange(len(members)), members]
-    return (own - top - np.log(np.exp(logits).sum(1))) / np.log(10)
+    own = np.einsum("ij,ij->i", full, w[members]).astype(np.float64)
+    return (own - log_sums(full, w)) / np.log(10)
 
 
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,22 +416,94 @@ def train(training: DataFrame, corpus: Corpus) -> tuple[LogBilinear, Members]:
                 cells.train(own.cells(tokens[rare]), model.hidden(contexts[rare]), rng)
                 seen += len(classes)
         if seen:
-            v = np.concatenate([model.vector(), cells.r.ravel(), cells.b]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * seen), pa.array(np.full(len(v), float(seen)))], names=["i", "x", "w"])
+            v = np.concatenate([model.vector(), cells.r.ravel(), cells.b]).astype(np.float32)
+            blocks = [v[s : s + BLOCK].tobytes() for s in range(0, len(v), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(blocks, pa.binary()), pa.array(np.full(len(blocks), seen, np.int64))], names=["block", "x", "w"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Weighted means of this task's blocks."""
+        sums: dict[int, np.ndarray] = {}
+        weights: dict[int, int] = {}
+        for batch in batches:
+            for block, x, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(x, np.float32).astype(np.float64) * w
+                sums[block] = sums[block] + x if block in sums else x
+                weights[block] = weights.get(block, 0) + w
+        if sums:
+            means = [(sums[k] / weights[k]).astype(np.float32).tobytes() for k in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], names=["block", "x"])
 
     mark = F.xxhash64("doc_id", "text")
     dealt = training.select("doc_id", "text").repartition(1 + corpus.tokens // SHARD, mark).sortWithinPartitions(mark, "doc_id", "text")
-    mean = dealt.select("text").mapInArrow(run, "i int, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
-    if mean.num_rows:
-        v = np.asarray(mean.column("x"))[np.argsort(np.asarray(mean.column("i")))]
+    copies = dealt.select("text").mapInArrow(run, "block int, x binary, w long")
+    found = sorted((r["block"], bytes(r["x"])) for r in copies.repartition(MEAN_TASKS, "block").mapInArrow(mean, "block int, x binary").collect())
+    if found:
+        v = np.frombuffer(b"".join(x for _, x in found), np.float32)
         model.load(v)
-        cells.r = v[n : n + cells.r.size].reshape(cells.r.shape).astype(np.float32)
-        cells.b = v[n + cells.r.size :].astype(np.float32)
+        cells.r = v[n : n + cells.r.size].reshape(cells.r.shape).copy()
+        cells.b = v[n + cells.r.size :].copy()
     return model, cells
 
 
 TOKEN = np.dtype([("uid", "<i8"), ("h", "<u8"), ("one", "<i4"), ("two", "<i4"), ("more", "<f4"), ("held", "?")])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 as their lowest bytes, then their second ones and so on; high bytes are mostly zeros, which the shuffle's codec shortens."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4")[:, 0]
+
+
+def packed(h: np.ndarray, doc: np.ndarray, one: np.ndarray, two: np.ndarray, more: np.ndarray) -> bytes:
+    """Tokens sorted by h: each type once with its number of tokens, then the columns; ``more`` is empty for training texts, whose types are all known."""
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    head = np.array([len(first), len(h)], "<u4").tobytes()
+    plain = b"".join([head, h[first].tobytes(), planes(np.diff(first, append=len(h))), planes(doc), planes(one), planes(two), more.astype("<f4").tobytes()])
+    return len(plain).to_bytes(4, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, uid: int, held: bool) -> np.ndarray:
+    """The tokens of packed(), documents numbered from uid."""
+    data = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
+    types, n = np.frombuffer(data, "<u4", 2).tolist()
+    out = np.empty(n, TOKEN)
+    at = 8 + 12 * types
+    out["h"] = np.repeat(np.frombuffer(data, "<u8", types, 8), from_planes(data, 8 + 8 * types, types))
+    out["uid"] = uid + from_planes(data, at, n).astype(np.int64)
+    out["one"], out["two"] = from_planes(data, at + 4 * n, n), from_planes(data, at + 8 * n, n)
+    out["more"] = np.frombuffer(data, "<f4", n, at + 12 * n) if held else 0
+    out["held"] = held
+    return out
+
+
 DOC = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def document_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, each with its own figures and all sums that cells found for it; this task has both by base."""
+    own, sums = [], []
+    for batch in batches:
+        own.append(batch.column("doc").drop_null())
+        found = batch.filter(batch.column("sums").is_valid())
+        sums += zip(found.column("base").to_pylist(), found.column("sums").to_pylist(), strict=True)
+    own = pa.concat_arrays(own) if own else []
+    if not len(own):
+        return
+    own = pa.Table.from_arrays(own.flatten(), names=[f.name for f in own.type]).sort_by("uid")
+    uid = own.column("uid").to_numpy()
+    known, base, score = (own.column(c).to_numpy().copy() for c in ("n_known", "base_score", "score"))
+    for first, data in sums:
+        n = int.from_bytes(data[:4], "little")
+        at = np.searchsorted(uid, first + from_planes(data, 4, n).astype(np.int64))
+        known[at] += from_planes(data, 4 + 4 * n, n)
+        base[at] += np.frombuffer(data, "<f8", n, 4 + 8 * n)
+        score[at] += np.frombuffer(data, "<f4", n, 4 + 16 * n)
+    whole = [own.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens")] + [pa.array(x) for x in (known, base, score)]
+    yield from pa.Table.from_arrays(whole, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).to_batches(10_000)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,6 +518,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     tasks = 1 + corpus.rare_tokens // PACK
     doc_type = pa.struct([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+    names = ["task", "uid", "held", "pack", "doc"]
+
+    def flushed(parts: list[tuple[np.ndarray, ...]], uid: int) -> Iterator[pa.RecordBatch]:
+        """One pack for each task and side (held out or not) of the tokens held."""
+        if not parts:
+            return
+        side, tokens, doc, one, two, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if not len(side):
+            return
+        order = np.lexsort((doc, tokens, side))
+        keys, first = np.unique(side[order], return_index=True)
+        packs = []
+        for key, rows in zip(keys.tolist(), np.split(order, first[1:]), strict=True):
+            packs.append(packed(tokens[rows], doc[rows], one[rows], two[rows], more[rows] if key % 2 else more[:0]))
+        for at in range(0, len(packs), 256):
+            k = keys[at : at + 256]
+            columns = [pa.array(k >> 1, pa.int32()), pa.array(np.full(len(k), uid)), pa.array(k % 2 == 1), pa.array(packs[at : at + 256], pa.binary()), pa.nulls(len(k), doc_type)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of documents with what classes and cells say, and packs of the tokens outside the frequent words by task of cells."""
         corpus, vector, r, b = shared.value
@@ -431,7 +544,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         model.load(vector)
         cells.r, cells.b = r, b
         own_counts = np.concatenate([[corpus.texts], corpus.word_counts])
-        uid = TaskContext.get().partitionId() << 33
+        uid = base_uid = TaskContext.get().partitionId() << 33
+        held, rows = [], 0
         for whole in batches:
             for batch in slices(whole, "text", BYTES):
                 tokens, ends, sizes = sequences([t or b"" for t in batch.column("text").to_pylist()])
@@ -444,36 +558,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 at = corpus.cells(tokens[rare])
                 neural[rare] += cells.log10(at, model.hidden(contexts[rare]))
                 doc = np.repeat(np.arange(len(ends)), sizes)
-                pack = np.empty(len(rare), TOKEN)
-                pack["uid"], pack["h"], pack["one"], pack["two"] = uid + doc[rare], tokens[rare], contexts[rare, 0], contexts[rare, 1]
-                pack["more"], pack["held"] = tail[rare] - neural[rare], np.asarray(batch.column("held_out").to_pylist(), bool)[doc[rare]]
-                order = np.argsort(at % tasks, kind="stable")
-                keys, first = np.unique((at % tasks)[order], return_index=True)
-                packs = [x.tobytes() for x in np.split(pack[order], first[1:])] if len(rare) else []
+                of_held = np.asarray(batch.column("held_out").to_pylist(), bool)[doc[rare]]
+                held.append((2 * (at % tasks) + of_held, tokens[rare], doc[rare] + (uid - base_uid), contexts[rare, 0], contexts[rare, 1], (tail - neural)[rare]))
+                rows += len(rare)
                 starts = ends - sizes + 1
                 columns = [uid + np.arange(len(ends)), batch.column("doc_id"), batch.column("held_out"), sizes.astype(np.int64), np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(neural, starts)]
                 own = pa.StructArray.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, doc_type, strict=True)], fields=list(doc_type))
-                for part in range(0, len(packs), 256):
-                    k = keys[part : part + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(packs[part : part + 256], pa.binary()), pa.nulls(len(k), doc_type)], names=["task", "pack", "doc"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ends)) % tasks, pa.int32()), pa.nulls(len(ends), pa.binary()), own], names=["task", "pack", "doc"])
+                columns = [pa.array(np.arange(len(ends)) % tasks, pa.int32()), pa.array(np.full(len(ends), base_uid)), pa.nulls(len(ends), pa.bool_()), pa.nulls(len(ends), pa.binary()), own]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 uid += len(ends)
+                if rows > HOLD:
+                    yield from flushed(held, base_uid)
+                    held, rows, base_uid = [], 0, uid
+        yield from flushed(held, base_uid)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents as they came, and by document the sums over its tokens in this task's cells."""
+        """Documents as they came, and for each base the sums over its documents' tokens in this task's cells."""
         corpus, vector, _, _ = shared.value
-        packs = []
+        packs, bases = [], []
         for batch in batches:
-            packs += [np.frombuffer(x, TOKEN) for x in batch.column("pack").drop_null().to_pylist()]
-            own = batch.column("doc").drop_null()
-            if len(own):
-                yield pa.RecordBatch.from_arrays(own.flatten(), names=[f.name for f in doc_type])
+            found = batch.filter(batch.column("pack").is_valid())
+            packs += [unpacked(*row) for row in zip(*(found.column(c).to_pylist() for c in ("pack", "uid", "held")), strict=True)]
+            bases += found.column("uid").to_pylist()
+            own = batch.filter(batch.column("doc").is_valid())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column("uid"), pa.nulls(own.num_rows, pa.binary()), own.column("doc")], names=["base", "sums", "doc"])
         if not packs:
             return
         t = np.concatenate(packs)
         packs.clear()
-        t = t[np.lexsort((t["held"], t["two"], t["one"], t["h"]))]
-        types, at = np.unique(t["h"], return_inverse=True)
+        t = t[np.lexsort(((t["one"].astype(np.int64) << 32) + 2 * t["two"].astype(np.int64) + t["held"], t["h"]))]
+        new = np.concatenate([[True], t["h"][1:] != t["h"][:-1]])
+        types, at = t["h"][new], np.cumsum(new) - 1
         c = np.bincount(at[~t["held"]], minlength=len(types))
         of = corpus.cells(types)
         order = np.lexsort((types, of))
@@ -497,15 +613,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 rng = np.random.default_rng([SEED, int(cells_of[first[i]])])
                 score[own] = cell_scores(member[own] - lo, hidden, counts_of[lo:hi], t["held"][own], rng) + np.log10(1 - corpus.unknown)
         uid, at = np.unique(t["uid"], return_inverse=True)
-        sums = [np.bincount(at, x, len(uid)) for x in (count > 0, np.log10((count + 0.5) / total), score.astype(np.float64))]
-        for s in range(0, len(uid), 100_000):
-            e = min(s + 100_000, len(uid))
-            yield pa.RecordBatch.from_arrays([pa.array(uid[s:e]), pa.nulls(e - s, pa.int64()), pa.nulls(e - s, pa.bool_()), pa.nulls(e - s, pa.int64()), pa.array(sums[0][s:e].astype(np.int64)), pa.array(sums[1][s:e]), pa.array(sums[2][s:e])], names=[f.name for f in doc_type])
-
-    parts = flagged.mapInArrow(run, f"task int, pack binary, doc struct<{DOC}>").repartition(tasks, "task").mapInArrow(within, DOC)
-    once = lambda c: F.max(c).alias(c)
-    return (
-        parts.groupBy("uid")
-        .agg(*map(once, ("doc_id", "held_out", "n_tokens")), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+        known, base, total_score = (np.bincount(at, x, len(uid)) for x in (count > 0, np.log10((count + 0.5) / total), score))
+        bases = np.unique(np.array(bases, np.int64))
+        cuts = np.append(np.searchsorted(uid, bases), len(uid)).tolist()
+        rows = []
+        for first, lo, hi in zip(bases.tolist(), cuts[:-1], cuts[1:], strict=True):
+            rows.append(b"".join([(hi - lo).to_bytes(4, "little"), planes(uid[lo:hi] - first), planes(known[lo:hi]), base[lo:hi].astype("<f8").tobytes(), total_score[lo:hi].astype("<f4").tobytes()]))
+        for s in range(0, len(rows), 256):
+            e = min(s + 256, len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(bases[s:e]), pa.array(rows[s:e], pa.binary()), pa.nulls(e - s, doc_type)], names=["base", "sums", "doc"])
+
+    parts = flagged.mapInArrow(run, f"task int, uid long, held boolean, pack binary, doc struct<{DOC}>").repartition(tasks, "task")
+    summed = parts.mapInArrow(within, f"base long, sums binary, doc struct<{DOC}>").repartition(tasks, "base").mapInArrow(document_totals, ROW)
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -181,8 +181,9 @@ def log_sums(full: np.ndarray, weights: np.ndarray, block: int = 512) -> np.ndar
     """log of the sum over the rows w of weights of exp(f . w), for each row f of full; blocks stay in the processor's cache."""
     out, easy, ones = np.empty(len(full)), bounded(full, weights), np.ones(len(weights), np.float32)
     turned = np.ascontiguousarray(weights.T)
+    room = np.empty((min(block, len(full)), len(weights)), np.float32)
     for s in range(0, len(full), block):
-        logits = full[s : s + block] @ turned
+        logits = np.matmul(full[s : s + block], turned, out=room[: len(full) - s])
         shift = np.float32(0) if easy else logits.max(1, keepdims=True)
         if not easy:
             logits -= shift
@@ -273,8 +274,8 @@ class LogBilinear:
         """Normalised log10 P(class | context)."""
         return self.log10_and_tail(classes, contexts, len(self.b), block)[0]
 
-    def log10_and_tail(self, classes: np.ndarray, contexts: np.ndarray, tail: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """The same, and log10 of the mass of the classes from ``tail`` on; both are matrix products over distinct contexts."""
+    def log10_and_tail(self, classes: np.ndarray, contexts: np.ndarray, tail: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, log10 of the mass of the classes from ``tail`` on (both are matrix products over distinct contexts), and each token's hidden row."""
         codes, at = np.unique((contexts[:, 0] << 32) | contexts[:, 1], return_inverse=True)
         hidden = self.hidden(np.stack([codes >> 32, codes & 0xFFFFFFFF], 1))
         full = np.column_stack([hidden, np.ones(len(hidden), np.float32)])
@@ -283,16 +284,18 @@ class LogBilinear:
         parts = np.zeros((len(self.b), 2), np.float32)
         parts[:tail, 0], parts[tail:, 1] = 1, 1
         sums = np.empty((len(codes), 2), np.float64)
+        room = np.empty((min(block, len(codes)), len(self.b)), np.float32)
         for s in range(0, len(codes), block):
-            logits = full[s : s + block] @ weights
+            logits = np.matmul(full[s : s + block], weights, out=room[: len(codes) - s])
             shift = np.float32(0) if easy else logits.max(1, keepdims=True)
             if not easy:
                 logits -= shift
             np.exp(logits, out=logits)
             sums[s : s + block] = np.log(np.maximum(logits @ parts, 1e-30)) + shift
         norm = np.logaddexp(sums[:, 0], sums[:, 1])
-        own = np.einsum("ij,ij->i", hidden[at], self.r[classes]) + self.b[classes]
-        return (own - norm[at]) / np.log(10), (sums[:, 1] - norm)[at] / np.log(10)
+        hidden = hidden[at]
+        own = np.einsum("ij,ij->i", hidden, self.r[classes]) + self.b[classes]
+        return (own - norm[at]) / np.log(10), (sums[:, 1] - norm)[at] / np.log(10), hidden
 
 
 class Members:
@@ -554,9 +557,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 count = own_counts[np.minimum(classes, len(corpus.words))]
                 base = np.log10((count + 0.5) / total)
                 base[rare] = count[rare] = 0
-                neural, tail = model.log10_and_tail(classes, contexts, 1 + len(corpus.words))
+                neural, tail, hidden = model.log10_and_tail(classes, contexts, 1 + len(corpus.words))
                 at = corpus.cells(tokens[rare])
-                neural[rare] += cells.log10(at, model.hidden(contexts[rare]))
+                neural[rare] += cells.log10(at, hidden[rare])
                 doc = np.repeat(np.arange(len(ends)), sizes)
                 of_held = np.asarray(batch.column("held_out").to_pylist(), bool)[doc[rare]]
                 held.append((2 * (at % tasks) + of_held, tokens[rare], doc[rare] + (uid - base_uid), contexts[rare, 0], contexts[rare, 1], (tail - neural)[rare]))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latentia.functions.expr import DAY, SECOND, day_of, moment, normal_gate, period, phase
+from latentia.functions.expr import DAY, SECOND, closed, day_between, day_of, half_open, moment, normal_gate, period, phase
 from latentia.operators import bars, calibrate, cv, filters, labels, metrics, models, noise, realized, regimes
 from latentia.operators.order import positions, quantiles
 from latentia.session import stored
@@ -18,6 +18,8 @@ QUERIES: dict[str, Query] = {}
 
 MINUTES_10, HOUR = 600 * SECOND, 3600 * SECOND
 EVENT = "2024-01-10"
+#: First and last day of a slice, and a return that counts as large.
+SLICE, LARGE = ("2024-01-08", "2024-01-12"), 0.5
 #: For the 30 days of hourly bars that events have at every scale factor.
 SHIFTS = labels.draw_shifts(700, 20, margin=100, near=5, periods=(24,))
 R_NOISE, GATE = 0.05, 4.0
@@ -479,3 +481,30 @@ def mlp_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = one if parts is None else parts.unionByName(one)
     base = parts.where("model = 'lr'").select(F.col("auc").alias("lr_auc"))
     return parts.crossJoin(F.broadcast(base)).select("model", "n", "auc", "log_score", (F.col("auc") - F.col("lr_auc")).alias("auc_diff"))
+
+
+@query
+def slice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of each symbol in three kinds of date slice: up to the last day's end, that end included, and whole days."""
+    us = F.col("us")
+    kinds = {"half_open": half_open, "closed": closed, "whole_days": day_between}
+    found = [F.count_if(f(us, *SLICE)).alias(name) for name, f in kinds.items()]
+    return event_ticks(spark, sf_dir).groupBy("symbol").agg(*found)
+
+
+@query
+def day_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which each symbol has ticks, apart from the days of SLICE (difference) and of those only (intersection)."""
+    ticks = event_ticks(spark, sf_dir)
+    days = ticks.groupBy("symbol", day_of(F.col("us")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    excluded = ticks.where(day_between(F.col("us"), *SLICE)).select(day_of(F.col("us")).alias("day")).distinct()
+    apart = days.join(excluded, "day", "left_anti").withColumn("kind", F.lit("difference"))
+    return apart.unionByName(days.join(excluded, "day", "left_semi").withColumn("kind", F.lit("intersection")))
+
+
+@query
+def flagged_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the bars of the last six hours whose return is beyond LARGE."""
+    recent = Window.partitionBy("symbol").orderBy("bin").rangeBetween(-5, 0)
+    flagged = hourly(spark, sf_dir).where("r IS NOT NULL").withColumn("flag", (F.abs("r") > LARGE).cast("double"))
+    return rounded(flagged.select("symbol", "bin", "flag", F.avg("flag").over(recent).alias("share")), "share")

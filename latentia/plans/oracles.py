@@ -200,3 +200,12 @@ SQL: dict[str, str] = {
       b AS (SELECT symbol, CAST(k AS BIGINT) AS k, 2 * s * (1 + 1.0::DOUBLE / k) + (2 * k + k * (k - 1) + (k - 1)) * ln(n) AS bic FROM n, k)
       SELECT symbol, k, round(b.bic, 3) + 0.0 AS bic FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY b.bic) = 1""",
 }
+
+FIRST, END = (f"epoch_us(TIMESTAMP '{d}')" for d in c.SLICE)
+SQL["slice_counts"] = f"""WITH ticks AS ({EVENTS}) SELECT symbol, count(*) FILTER (us >= {FIRST} AND us < {END} + {DAY}) AS half_open,
+      count(*) FILTER (us BETWEEN {FIRST} AND {END} + {DAY}) AS closed,
+      count(*) FILTER (us // {DAY} BETWEEN {FIRST} // {DAY} AND {END} // {DAY}) AS whole_days FROM ticks GROUP BY symbol"""
+SQL["day_sets"] = f"""WITH ticks AS ({EVENTS}), days AS (SELECT symbol, us // {DAY} AS day, count(*) AS n FROM ticks GROUP BY ALL)
+      SELECT symbol, day, n, CASE WHEN day BETWEEN {FIRST} // {DAY} AND {END} // {DAY} THEN 'intersection' ELSE 'difference' END AS kind FROM days"""
+SQL["flagged_share"] = f"""WITH {H}, flags AS (SELECT symbol, bin, CAST(abs(r) > {c.LARGE} AS DOUBLE) AS flag FROM ret WHERE r IS NOT NULL)
+      SELECT symbol, bin, flag, {r("avg(flag) OVER (PARTITION BY symbol ORDER BY bin RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)", "share")} FROM flags"""

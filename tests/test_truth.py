@@ -182,3 +182,25 @@ def test_streams_equal_batches(spark, tmp_path):
     bars = spark.table("bars").orderBy("bar_ts").toPandas()
     want = base.groupby(base["ts"].dt.floor("60s"))["price"].last()
     assert len(bars) >= 7 and bars["price"].tolist() == want.tolist()[: len(bars)]
+
+
+def test_horizon_solves_its_equations():
+    """Sojourns solve (I - Q) s = 1, weights are Q's left eigenvector with sum 1, H is their product."""
+    from latentia.functions.expr import horizon
+
+    q = np.array([[0.95, 0.03], [0.02, 0.96]])
+    h, sojourn, weights = horizon(q.tolist())
+    assert np.allclose((np.eye(2) - q) @ sojourn, 1)
+    moved = np.array(weights) @ q
+    assert np.isclose(sum(weights), 1) and np.allclose(moved / moved.sum(), weights)
+    assert np.isclose(h, np.dot(weights, sojourn))
+
+
+def test_chi2_gate_meets_its_alarm_rate():
+    """The threshold is passed by squares of standard normal values at the rate asked for."""
+    from math import erfc, sqrt
+
+    from latentia.functions.expr import chi2_gate
+
+    alpha, threshold = chi2_gate(2.0, 1440)
+    assert np.isclose(alpha, 2 / 1440) and np.isclose(erfc(sqrt(threshold / 2)), alpha)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latentia.llm import cotrain, lbl, media, minhash, mixing, packing, pii, pivots, secrets, warc
+from latentia.llm import cotrain, divergence, lbl, licenses, media, minhash, mixing, packing, pii, pivots, prefixes, secrets, warc
 from latentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,19 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_feistel_pii, op2_flac_media, op3_log_bilinear_scores, op4_source_mixing, op5_cotrained_quality, op6_minhash_near_dedup, op7_secret_scan, op8_warc_salvage, op9_pivot_topk, op10_cutting_stock_packing)
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_feistel_pii, op2_flac_media, op3_log_bilinear_scores, op4_source_mixing, op5_cotrained_quality, op6_minhash_near_dedup, op7_secret_scan, op8_warc_salvage, op9_pivot_topk, op10_cutting_stock_packing, op11_conversation_prefix_trie, op12_license_scan, op13_source_divergence)
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 
 ORACLES: dict[str, str] = {
@@ -71,4 +83,7 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_conversation_prefix_trie": prefixes.SQL,
+    "op12_license_scan": licenses.sql(),
+    "op13_source_divergence": divergence.SQL,
 }

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latentia.operators.chunks import CHUNK, chunked, prefixes, product
+from latentia.session import stored
+
 
 class Level(NamedTuple):
     x: float
@@ -34,16 +37,54 @@ def kalman_steps(z: np.ndarray, q: np.ndarray, r: float, state: Level | None = N
     return out, Level(x, p)
 
 
-def kalman(series: DataFrame, value: str = "z", noise: str = "q", r: str = "r_noise", order: str = "bin") -> DataFrame:
-    """symbol, order, x_filt, p_filt, innovation, innovation_var, gate_stat; r is one value per symbol."""
+def kalman_elements(z: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """One row (a, b, c, h, j) for each step: what it makes of any state before it.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    From a level with mean m and variance p, the step leads to mean a (m + p h) / (1 + p j) + b and variance
+    a^2 p / (1 + p j) + c.  q + r must be positive.
+    """
+    s = q + r
+    k = q / s
+    return np.column_stack([1 - k, k * z, k * r, z / s, 1 / s])
+
+
+def kalman_product(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Rows of elements: the first step, then the second, as one.  Associative, and all terms are sums of like signs in p."""
+    a, b, c, h, j = first.T
+    a2, b2, c2, h2, j2 = second.T
+    d = 1 + c * j2
+    return np.column_stack([a2 * a / d, a2 * (b + c * h2) / d + b2, a2 * a2 * c / d + c2, a * (h2 - j2 * b) / d + h, a * a * j2 / d + j])
+
+
+def kalman(series: DataFrame, value: str = "z", noise: str = "q", r: str = "r_noise", order: str = "bin", width: int = CHUNK) -> DataFrame:
+    """symbol, order, x_filt, p_filt, innovation, innovation_var, gate_stat; r is one value per symbol.
+
+    An associative scan: every chunk of ``width`` bins becomes one element, a scan over chunks gives each the state that it
+    starts from, then each is filtered by itself.  No task holds a symbol's rows.
+    """
+    rows = chunked(series.select("symbol", F.col(order).alias("at"), F.col(value).alias("z"), F.col(noise).alias("q"), F.col(r).alias("r")), "at", width)
+
+    def summary(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("at")
-        out, _ = kalman_steps(part["z"].to_numpy(float), part["q"].to_numpy(float), float(part["r"].iloc[0]))
+        z, q, r = (part[c].to_numpy(float) for c in "zqr")
+        e = product(kalman_elements(z, q, r), kalman_product)
+        first = kalman_product(np.array([[0.0, z[0], r[0], 0.0, 0.0]]), e[None])[0]  # as a symbol's first chunk: a level at z with variance r
+        return pd.DataFrame({"symbol": part["symbol"].iloc[:1], "__chunk": part["__chunk"].iloc[:1], "e": [e.tolist()], "first": [first.tolist()]})
+
+    found = stored(rows.groupBy("symbol", "__chunk").applyInPandas(summary, "symbol string, __chunk long, e array<double>, first array<double>"))
+    least = found.groupBy("symbol").agg(F.min("__chunk").alias("__least"))
+    started = found.join(least, "symbol").select("symbol", "__chunk", F.when(F.col("__chunk") == F.col("__least"), F.col("first")).otherwise(F.col("e")).alias("e"))
+    starts = prefixes(stored(started), kalman_product)
+
+    def run(part: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at")
+        before = start["before"].iloc[0]
+        state = None if before is None else Level(float(before[1]), float(before[2]))
+        out, _ = kalman_steps(part["z"].to_numpy(float), part["q"].to_numpy(float), float(part["r"].iloc[0]), state)
         return pd.DataFrame({"symbol": part["symbol"], order: part["at"], "x_filt": out[:, 0], "p_filt": out[:, 1], "innovation": out[:, 2], "innovation_var": out[:, 3], "gate_stat": out[:, 2] ** 2 / out[:, 3]})
 
-    rows = series.select("symbol", F.col(order).alias("at"), F.col(value).alias("z"), F.col(noise).alias("q"), F.col(r).alias("r"))
-    return rows.groupBy("symbol").applyInPandas(run, f"symbol string, {order} long, x_filt double, p_filt double, innovation double, innovation_var double, gate_stat double")
+    schema = f"symbol string, {order} long, x_filt double, p_filt double, innovation double, innovation_var double, gate_stat double"
+    return rows.groupBy("symbol", "__chunk").cogroup(starts.groupBy("symbol", "__chunk")).applyInPandas(run, schema)
 
 
 class Modes(NamedTuple):
@@ -97,29 +138,3 @@ def imm(series: DataFrame, value: str = "z", order: str = "bin") -> DataFrame:
 def elevated(probabilities: Column, states: Column) -> Column:
     """Sum of the mode probabilities over a set of states (array of 0-based numbers)."""
     return F.aggregate(states, F.lit(0.0), lambda s, i: s + F.get(probabilities, i.cast("int")))
-
-
-def expanding_median(series: DataFrame, value: str, order: str = "bin") -> DataFrame:
-    """Adds past_median: the median of all earlier values of the symbol, null in its first row.
-
-    Two heaps in one pass; a framed percentile would look at all earlier rows again in every row.
-    """
-    import heapq
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        low, high, out = [], [], []
-        for v in part[value].tolist():
-            out.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
-            if low and v > -low[0]:
-                heapq.heappush(high, v)
-            else:
-                heapq.heappush(low, -v)
-            if len(low) > len(high) + 1:
-                heapq.heappush(high, -heapq.heappop(low))
-            elif len(high) > len(low):
-                heapq.heappush(low, -heapq.heappop(high))
-        return part.assign(past_median=pd.array(out, dtype="Float64"))
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.schema.fields)
-    return series.groupBy("symbol").applyInPandas(run, f"{kinds}, past_median double")

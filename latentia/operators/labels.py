@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from latentia.functions.expr import DAY
-from latentia.operators.order import positions
+from latentia.operators.chunks import CHUNK, chunk_of, over_halo
+from latentia.operators.order import positions, with_neighbour
 
 
 def forward_label(series: DataFrame, value: str, h: int) -> DataFrame:
     """real_label: whether the mean of the next h values exceeds 0.5; null unless all h exist."""
-    w = Window.partitionBy("symbol").orderBy("bin").rowsBetween(1, h)
-    mean = F.when(F.count(value).over(w) == h, F.avg(value).over(w))
-    return series.withColumn("forward_mean", mean).withColumn("real_label", F.when(mean.isNotNull(), (mean > 0.5).cast("double")))
+
+    def mean(w: WindowSpec) -> Column:
+        ahead = w.rangeBetween(1, h)
+        return F.when(F.count(value).over(ahead) == h, F.avg(value).over(ahead))
+
+    label = F.when(F.col("forward_mean").isNotNull(), (F.col("forward_mean") > 0.5).cast("double"))
+    return over_halo(series, {"forward_mean": mean}, ahead=h).withColumn("real_label", label)
 
 
 def causal_features(series: DataFrame, value: str = "elevated_prob", vol: str = "rolling_vol") -> DataFrame:
     """The value, its predecessor, and rolling volatility: nothing from after the row."""
-    w = Window.partitionBy("symbol").orderBy("bin")
-    return series.withColumn(f"{value}_lag1", F.lag(value).over(w)).select("symbol", "bin", value, f"{value}_lag1", vol)
+    before = with_neighbour(series.select("symbol", "bin", value, vol), [value], ["bin"], chunk_of("bin", CHUNK), prefix="__")
+    return before.select("symbol", "bin", value, F.col(f"__{value}").alias(f"{value}_lag1"), vol)
 
 
 def draw_shifts(n: int, count: int = 20, seed: int = 0, margin: int = 1440, near: int = 30, periods: tuple[int, ...] = (480, 1440), tries: int = 400) -> list[int]:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from latentia.functions.expr import DAY, MU1, day_of
 from latentia.operators.bars import bar_returns
+from latentia.operators.chunks import CHUNK, chunk_of, halo, over_halo
+from latentia.operators.order import positions
 
 
 def daily_metrics(ticks: DataFrame, width: int) -> DataFrame:
@@ -37,19 +39,17 @@ def signature(ticks: DataFrame, widths: list[int], offsets: int = 10) -> DataFra
     return one.groupBy("symbol", "width").agg(F.avg("rv").alias("rv_mean"), F.stddev_pop("rv").alias("rv_std"), F.avg("stale").alias("stale"))
 
 
-def last_rows(n: int) -> Window:
-    return Window.partitionBy("symbol").orderBy("bin").rowsBetween(-(n - 1), 0)
-
-
 def rolling_rv_rate(returns: DataFrame, width: int, span: int) -> DataFrame:
     """Sum of squared returns over (t - span, t] per second, and q = rate * bar width.  Defined from the first return on."""
-    rate = F.sum(F.col("r") * F.col("r")).over(last_rows(span // width)) / (span / 1e6)
-    return returns.where("r IS NOT NULL").withColumn("rv_rate", rate).withColumn("q", F.col("rv_rate") * (width / 1e6))
+    back = span // width - 1
+    rate = lambda w: F.sum(F.col("r") * F.col("r")).over(w.rangeBetween(-back, 0)) / (span / 1e6)
+    return over_halo(returns.where("r IS NOT NULL"), {"rv_rate": rate}, back).withColumn("q", F.col("rv_rate") * (width / 1e6))
 
 
 def rolling_volatility(returns: DataFrame, width: int, span: int) -> DataFrame:
     """Sample deviation of returns over (t - span, t]; null with fewer than two."""
-    return returns.where("r IS NOT NULL").withColumn("rolling_vol", F.stddev_samp("r").over(last_rows(span // width)))
+    back = span // width - 1
+    return over_halo(returns.where("r IS NOT NULL"), {"rolling_vol": lambda w: F.stddev_samp("r").over(w.rangeBetween(-back, 0))}, back)
 
 
 def standardized(returns: DataFrame) -> DataFrame:
@@ -127,27 +127,50 @@ def bootstrap_by_symbol(days: DataFrame, column: str = "rv", k: int = 7, draws:
     return days.sparkSession.range(draws).crossJoin(F.broadcast(pools)).mapInPandas(run, "symbol string, draw long, share double")
 
 
-def acf_at(values: DataFrame, column: str, lags: list[int]) -> DataFrame:
-    """symbol, lag, acf at a few lags, centred by the whole mean."""
+def centred(values: DataFrame, column: str) -> DataFrame:
+    """symbol, pos (row number by bin), x: the column less its symbol's mean."""
     mean = values.groupBy("symbol").agg(F.avg(column).alias("mean"))
     x = values.join(mean, "symbol").select("symbol", "bin", (F.col(column) - F.col("mean")).alias("x"))
-    w = Window.partitionBy("symbol").orderBy("bin")
-    sums = x.select("symbol", "x", *[(F.col("x") * F.lead("x", k).over(w)).alias(f"p{k}") for k in lags]).groupBy("symbol").agg(F.sum(F.col("x") * F.col("x")).alias("ss"), *[F.sum(f"p{k}").alias(f"p{k}") for k in lags])
+    return positions(x, ["bin"], chunk_of("bin", CHUNK), "symbol").select("symbol", "pos", "x")
+
+
+def acf_at(values: DataFrame, column: str, lags: list[int]) -> DataFrame:
+    """symbol, lag, acf at a few lags (rows), centred by the whole mean."""
+    far = max(lags)
+    products = {f"p{k}": lambda w, k=k: F.col("x") * F.lead("x", k).over(w) for k in lags}
+    found = over_halo(centred(values, column), products, ahead=far, order="pos")
+    sums = found.groupBy("symbol").agg(F.sum(F.col("x") * F.col("x")).alias("ss"), *[F.sum(f"p{k}").alias(f"p{k}") for k in lags])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"p{k}") / F.col("ss")).alias("acf")) for k in lags])
     return sums.select("symbol", F.explode(pairs).alias("a")).select("symbol", "a.lag", "a.acf")
 
 
-def acf(values: DataFrame, column: str, max_lag: int) -> DataFrame:
-    """symbol, lag, acf for all lags 0..max_lag by FFT, one task per symbol's bars."""
+def lagged_sums(x: np.ndarray, longer: np.ndarray, max_lag: int) -> np.ndarray:
+    """Sums over i of x[i] * longer[i + k] for k = 0..max_lag, as far as there are pairs; longer begins with x and is taken as 0 beyond its end."""
+    size = 1 << int(len(x) + len(longer)).bit_length()
+    c = np.fft.irfft(np.fft.rfft(longer, size) * np.conj(np.fft.rfft(x, size)), size)
+    return c[: min(max_lag + 1, len(longer))]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("bin")[column].to_numpy()
-        x = x - x.mean()
-        f = np.fft.rfft(x, 1 << (2 * len(x) - 1).bit_length())
-        c = np.fft.irfft(f * np.conj(f))[: min(max_lag + 1, len(x))]
-        return pd.DataFrame({"symbol": part["symbol"].iloc[0], "lag": np.arange(len(c)), "acf": c / c[0] if c[0] else np.nan})
 
-    return values.select("symbol", "bin", column).groupBy("symbol").applyInPandas(run, "symbol string, lag int, acf double")
+def acf(values: DataFrame, column: str, max_lag: int, width: int | None = None) -> DataFrame:
+    """symbol, lag, acf for all lags 0..max_lag (rows; as many as the symbol has), centred by the whole mean.
+
+    Overlap-add: each chunk multiplies its own rows with themselves and the max_lag rows after them by FFT, and the chunks'
+    sums are added up by lag.  No task holds more than a chunk and its halo.
+    """
+    width = width or max(4 * max_lag, 4096)
+    rows = halo(centred(values, column), "pos", width, ahead=max_lag)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pos")
+        own = part["__own"].to_numpy(bool)
+        x = part["x"].to_numpy(float)
+        sums = lagged_sums(x[own], x, max_lag) if own.any() else np.empty(0)
+        return pd.DataFrame({"symbol": part["symbol"].iloc[0], "lag": np.arange(len(sums), dtype=np.int32), "s": sums})
+
+    parts = rows.groupBy("symbol", "__chunk").applyInPandas(run, "symbol string, lag int, s double")
+    sums = parts.groupBy("symbol", "lag").agg(F.sum("s").alias("s"))
+    whole = sums.where("lag = 0").select("symbol", F.col("s").alias("ss"))
+    return sums.join(whole, "symbol").select("symbol", "lag", F.when(F.col("ss") > 0, F.col("s") / F.col("ss")).alias("acf"))
 
 
 def flagged(x: Column, limit: float) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.functions.expr import DAY, SECOND, closed, day_between, day_of, half_open, moment, normal_gate, period, phase
-from latentia.operators import bars, calibrate, cv, filters, labels, metrics, models, noise, realized, regimes
+from latentia.operators import bars, calibrate, cv, filters, labels, medians, metrics, models, noise, realized, regimes
+from latentia.operators.chunks import over_halo
 from latentia.operators.order import positions, quantiles
 from latentia.session import stored
 from latentia.sources.ticks import event_ticks, order_ticks
@@ -196,14 +197,15 @@ def acf_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def acf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return realized.acf(hourly(spark, sf_dir).where("r IS NOT NULL"), "r", 48)
+    """All lags to two days, as the reference's range of 48 hours of bars."""
+    return rounded(realized.acf(hourly(spark, sf_dir).where("r IS NOT NULL"), "r", 48), "acf")
 
 
 @query
 def naive_vol_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags bars whose rolling variance rate exceeds the median of all earlier ones."""
     rate = realized.rolling_rv_rate(hourly(spark, sf_dir), HOUR, 6 * HOUR).select("symbol", "bin", "rv_rate")
-    out = filters.expanding_median(rate, "rv_rate").select("symbol", "bin", "past_median", F.coalesce(F.col("rv_rate") > F.col("past_median"), F.lit(False)).alias("flag"))
+    out = medians.expanding_median(rate, "rv_rate").select("symbol", "bin", "past_median", F.coalesce(F.col("rv_rate") > F.col("past_median"), F.lit(False)).alias("flag"))
     return rounded(out, "past_median")
 
 
@@ -505,6 +507,5 @@ def day_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flagged_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the bars of the last six hours whose return is beyond LARGE."""
-    recent = Window.partitionBy("symbol").orderBy("bin").rangeBetween(-5, 0)
-    flagged = hourly(spark, sf_dir).where("r IS NOT NULL").withColumn("flag", (F.abs("r") > LARGE).cast("double"))
-    return rounded(flagged.select("symbol", "bin", "flag", F.avg("flag").over(recent).alias("share")), "share")
+    flagged = hourly(spark, sf_dir).where("r IS NOT NULL").select("symbol", "bin", (F.abs("r") > LARGE).cast("double").alias("flag"))
+    return rounded(over_halo(flagged, {"share": lambda w: F.avg("flag").over(w.rangeBetween(-5, 0))}, back=5), "share")

@@ -167,6 +167,9 @@ SQL: dict[str, str] = {
     "acf_lags": f"""WITH {H}, x AS (SELECT symbol, bin, r - avg(r) OVER (PARTITION BY symbol) AS x FROM ret WHERE r IS NOT NULL), l AS (SELECT unnest([1, 2, 12, 24]) AS lag),
       ss AS (SELECT symbol, sum(x * x) AS ss FROM x GROUP BY symbol)
       SELECT a.symbol, CAST(l.lag AS INTEGER) AS lag, {r('sum(a.x * b.x) / any_value(ss)', 'acf')} FROM x a JOIN l ON TRUE JOIN x b ON b.symbol = a.symbol AND b.bin = a.bin + l.lag JOIN ss ON ss.symbol = a.symbol GROUP BY a.symbol, l.lag""",
+    "acf_full": f"""WITH {H}, x AS (SELECT symbol, bin, r - avg(r) OVER (PARTITION BY symbol) AS x FROM ret WHERE r IS NOT NULL), l AS (SELECT unnest(range(49)) AS lag),
+      ss AS (SELECT symbol, sum(x * x) AS ss FROM x GROUP BY symbol)
+      SELECT a.symbol, CAST(l.lag AS INTEGER) AS lag, {r('sum(a.x * b.x) / any_value(ss)', 'acf')} FROM x a JOIN l ON TRUE JOIN x b ON b.symbol = a.symbol AND b.bin = a.bin + l.lag JOIN ss ON ss.symbol = a.symbol GROUP BY a.symbol, l.lag""",
     "naive_vol_rule": f"WITH {RATE}, e AS (SELECT symbol, bin, rv_rate, quantile_cont(rv_rate, 0.5) OVER ({BY} bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM rate) SELECT symbol, bin, {r('m', 'past_median')}, coalesce(rv_rate > m, FALSE) AS flag FROM e",
     "kalman_filter": f"WITH {KALMAN} SELECT symbol, bin, {r('x', 'x_filt')}, {r('p', 'p_filt')}, {r('y', 'innovation')}, {r('s', 'innovation_var')}, {r('y * y / s', 'gate_stat')} FROM k",
     "kalman_gate_rate": f"WITH {KALMAN}, g AS (SELECT symbol, {PERIOD.replace('us', f'bin * {c.HOUR}').replace(f'epoch_bin * {c.HOUR}', 'epoch_us')} AS period, y * y / s > {c.GATE} AS f FROM k) SELECT symbol, period, count(*) AS n, {r('avg(CAST(f AS INTEGER))', 'flagged')} FROM g GROUP BY ALL",

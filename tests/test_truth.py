@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from latentia.operators import calibrate, filters, metrics, models, noise, order, realized, regimes
+from latentia.operators import calibrate, filters, metrics, models, noise, order, realized
 from latentia.plans import catalogue
 from latentia.sources import sinks, ticks
 from latentia.streaming import filters as streaming
@@ -54,16 +54,6 @@ def test_kalman_state_carries_over():
     assert np.array_equal(whole, np.vstack([first, rest]))
 
 
-def test_hmm_likelihood_rises_and_recovers_variances():
-    rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(0, s, 150) for s in (0.3, 2.0, 0.3, 2.0)])
-    _, _, means, variances, a, history = regimes.baum_welch(x, 2, 0, steps=60)
-    assert (np.diff(history) > -1e-6).all()
-    assert np.sort(variances) == pytest.approx([0.09, 4.0], rel=0.4) and np.diag(a).min() > 0.9
-    path = regimes.viterbi(x, means, variances, a)
-    assert (path == path[0]).sum() == pytest.approx(300, abs=20)
-
-
 def dataset(spark, n=600, days=10, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, 2))

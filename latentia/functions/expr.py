@@ -117,4 +117,27 @@ def horizon(q: list[list[float]]) -> tuple[float, list[float], list[float]]:
     return float(w @ sojourn), sojourn.tolist(), w.tolist()
 
 
+def horizon_of(pi: Column, states: Column) -> Column:
+    """struct(h, sojourn, weights) of one or two transient states (0-based numbers) as expressions, null for more or none.
+
+    Two states a, b: sojourns solve (I - Q) s = 1 by Cramer's rule; the weights are the left eigenvector of the larger
+    eigenvalue, from whichever of its two equations has more weight.
+    """
+    at = lambda i, j: F.get(F.get(pi, F.get(states, F.lit(i))), F.get(states, F.lit(j)))
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731 - x is worked out once, however often f names it
+
+    def two(q: Column) -> Column:
+        det = (1 - q["aa"]) * (1 - q["bb"]) - q["ab"] * q["ba"]
+        sojourn = F.array((1 - q["bb"] + q["ab"]) / det, (1 - q["aa"] + q["ba"]) / det)
+        top = (q["aa"] + q["bb"] + F.sqrt((q["aa"] - q["bb"]) * (q["aa"] - q["bb"]) + 4 * q["ab"] * q["ba"])) / 2
+        equations = lambda t: F.greatest(F.struct((q["ba"] + t - q["aa"]).alias("w"), F.array(q["ba"], t - q["aa"]).alias("v")), F.struct((t - q["bb"] + q["ab"]).alias("w"), F.array(t - q["bb"], q["ab"]).alias("v")))
+        weights = once(once(top, equations), lambda e: F.when(e["w"] > 0, F.transform(e["v"], lambda v: v / e["w"])).otherwise(F.array(F.lit(0.5), F.lit(0.5))))
+        return once(F.struct(sojourn.alias("s"), weights.alias("w")), lambda x: F.struct((x["w"][0] * x["s"][0] + x["w"][1] * x["s"][1]).alias("h"), x["s"].alias("sojourn"), x["w"].alias("weights")))
+
+    block = F.struct(at(0, 0).alias("aa"), at(0, 1).alias("ab"), at(1, 0).alias("ba"), at(1, 1).alias("bb"))
+    alone = 1 / (1 - at(0, 0))
+    one = F.struct(alone.alias("h"), F.array(alone).alias("sojourn"), F.array(F.lit(1.0)).alias("weights"))
+    return F.when(F.size(states) == 1, one).when(F.size(states) == 2, once(block, two))
+
+
 MU1 = math.sqrt(2 / math.pi)

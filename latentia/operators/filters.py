@@ -121,18 +121,23 @@ def imm_steps(z: np.ndarray, q: np.ndarray, r: np.ndarray, pi: np.ndarray, state
     return xs, ps, mus, Modes(x, p, mu)
 
 
-def imm(series: DataFrame, value: str = "z", order: str = "bin") -> DataFrame:
-    """symbol, order, x_filt, p_filt, mode_probs; each row carries q and r (array<double>) and pi (array<array<double>>)."""
+def imm(series: DataFrame, parameters: DataFrame, value: str = "z", order: str = "bin") -> DataFrame:
+    """symbol, order, x_filt, p_filt, mode_probs; parameters: symbol, q and r (array<double>), pi (array<array<double>>).
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        q, r = np.array(part["q"].iloc[0]), np.array(part["r"].iloc[0])
-        pi = np.array([list(row) for row in part["pi"].iloc[0]])
-        x, p, mu, _ = imm_steps(part["z"].to_numpy(float), q, r, pi)
+    The recursion is not associative, so a symbol is one task; its parameters come once, not with each row.  Symbols without
+    parameters have no result.
+    """
+
+    def run(part: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(given):
+            return pd.DataFrame(columns=["symbol", order, "x_filt", "p_filt", "mode_probs"])
+        part, own = part.sort_values("at"), given.iloc[0]
+        x, p, mu, _ = imm_steps(part["z"].to_numpy(float), np.array(own["q"]), np.array(own["r"]), np.array([list(row) for row in own["pi"]]))
         return pd.DataFrame({"symbol": part["symbol"], order: part["at"], "x_filt": x, "p_filt": p, "mode_probs": list(mu)})
 
-    rows = series.select("symbol", F.col(order).alias("at"), F.col(value).alias("z"), "q", "r", "pi")
-    return rows.groupBy("symbol").applyInPandas(run, f"symbol string, {order} long, x_filt double, p_filt double, mode_probs array<double>")
+    rows = series.select("symbol", F.col(order).alias("at"), F.col(value).alias("z"))
+    given = parameters.select(F.col("symbol").alias("of"), "q", "r", "pi")
+    return rows.groupBy("symbol").cogroup(given.groupBy("of")).applyInPandas(run, f"symbol string, {order} long, x_filt double, p_filt double, mode_probs array<double>")
 
 
 def elevated(probabilities: Column, states: Column) -> Column:

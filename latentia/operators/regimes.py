@@ -80,31 +80,29 @@ def blocks(x: np.ndarray, first: bool) -> Blocks:
 
 
 def likelihoods(b: Blocks, m: Models) -> tuple[np.ndarray, np.ndarray]:
-    """Densities (steps, segments, M, K) over the largest of each step's, and the logarithms of those; 1 beyond the end."""
-    logs = log_density(b.x[:, :, None, None], m.means, m.variances)
-    logs[:, :, ~m.real] = -np.inf
+    """Densities (steps, M, segments, K) over the largest of each step's, and the sums (M) of the logarithms of those."""
+    logs = log_density(b.x[:, None, :, None], m.means[:, None], m.variances[:, None])
+    logs += np.where(m.real, 0.0, -np.inf)[:, None]
     top = logs.max(-1)
-    dense = np.exp(logs - top[..., None])
-    dense[~b.used] = 1.0
-    return dense, np.where(b.used[:, :, None], top, 0.0)
-
-
-def step_matrix(b: Blocks, m: Models, step: int) -> np.ndarray:
-    """(segments, M, K, K): the transitions into a step; none into a series' first bar nor beyond the end."""
-    a = np.broadcast_to(m.a, (b.x.shape[1], *m.a.shape)).copy()
-    a[~b.used[step]] = np.eye(m.a.shape[-1])
-    if step == 0 and b.first:
-        a[0] = np.eye(m.a.shape[-1])
-    return a
+    return np.exp(logs - top[..., None]), (top * b.used[:, None]).sum((0, 2))
 
 
 def operators(b: Blocks, m: Models, dense: np.ndarray) -> np.ndarray:
-    """(segments, M, K, K): each segment's product of transitions and densities, scaled so that its largest entry is 1."""
-    out = step_matrix(b, m, 0) * dense[0][:, :, None, :]
+    """(segments, M, K, K): each segment's product of transitions and densities, scaled so that its largest entry is 1.
+
+    No transition leads into a series' first bar; steps beyond the end, which only the last segment has, change nothing.
+    """
+    (models, k), segments = m.means.shape, b.x.shape[1]
+    out = m.a[:, None] * dense[0][:, :, None, :]
+    if b.first:
+        out[:, 0] = np.eye(k) * dense[0][:, 0, None, :]
     for step in range(1, len(b.x)):
-        out = (out @ step_matrix(b, m, step)) * dense[step][:, :, None, :]
-        out /= np.maximum(out.max((-2, -1), keepdims=True), TINY)
-    return out
+        new = (out.reshape(models, -1, k) @ m.a).reshape(models, segments, k, k) * dense[step][:, :, None, :]
+        new /= np.maximum(new.max((-2, -1), keepdims=True), TINY)
+        if not b.used[step, -1]:
+            new[:, -1] = out[:, -1]
+        out = new
+    return out.swapaxes(0, 1)
 
 
 def scan_forward(row: np.ndarray, ops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,30 +150,38 @@ def unflat(v: np.ndarray, m: int, k: int) -> Counts:
 
 def expected(b: Blocks, m: Models, dense: np.ndarray, top: np.ndarray, before: np.ndarray, after: np.ndarray) -> Counts:
     """Counts of a run of bars whose segments start from ``before`` and end before ``after``."""
-    steps = len(b.x)
-    alpha, row, ll = np.empty_like(dense), before, top.sum((0, 1))
+    steps, (before, after) = len(b.x), (x.swapaxes(0, 1) for x in (before, after))
+    alpha, row, ll = np.empty_like(dense), before, top.copy()
     for step in range(steps):
-        row = (row[:, :, None, :] @ step_matrix(b, m, step))[:, :, 0] * dense[step]
-        total = np.maximum(row.sum(-1, keepdims=True), TINY)
-        row = row / total
-        ll = ll + np.log(total[..., 0]).sum(0)
-        alpha[step] = row
+        new = row @ m.a
+        if step == 0 and b.first:
+            new[:, 0] = row[:, 0]
+        new *= dense[step]
+        total = np.maximum(new.sum(-1), TINY)
+        new /= total[..., None]
+        if not b.used[step, -1]:
+            new[:, -1], total[:, -1] = row[:, -1], 1.0
+        ll += np.log(total).sum(1)
+        alpha[step] = row = new
     mass, sx, sxx, first = (np.zeros_like(m.means) for _ in range(4))
-    moves, beta = np.zeros_like(m.a), after
+    moves, beta, back = np.zeros_like(m.a), after, m.a.swapaxes(1, 2)
     for step in range(steps - 1, -1, -1):
         gamma = alpha[step] * beta
-        gamma = gamma / np.maximum(gamma.sum(-1, keepdims=True), TINY) * b.used[step][:, None, None]
-        x = b.x[step][:, None, None]
-        mass, sx, sxx = mass + gamma.sum(0), sx + (gamma * x).sum(0), sxx + (gamma * x * x).sum(0)
+        gamma *= (b.used[step] / np.maximum(gamma.sum(-1), TINY))[..., None]
+        x = b.x[step][:, None]
+        mass, sx, sxx = mass + gamma.sum(1), sx + (gamma * x).sum(1), sxx + (gamma * x * x).sum(1)
         u = dense[step] * beta
-        beta = (step_matrix(b, m, step) @ u[..., None])[..., 0]
+        new = u @ back
         previous = alpha[step - 1] if step else before
-        weight = previous / np.maximum((previous * beta).sum(-1, keepdims=True), TINY) * b.used[step][:, None, None]
+        weight = previous * (b.used[step] / np.maximum((previous * new).sum(-1), TINY))[..., None]
         if step == 0 and b.first:
-            first = gamma[0]
-            weight[0] = 0
-        moves += np.einsum("smi,smj->mij", weight, u)
-        beta = beta / np.maximum(beta.max(-1, keepdims=True), TINY)
+            first = gamma[:, 0]
+            weight[:, 0] = 0
+        moves += weight.swapaxes(1, 2) @ u
+        new /= np.maximum(new.max(-1, keepdims=True), TINY)
+        if not b.used[step, -1]:
+            new[:, -1] = beta[:, -1]
+        beta = new
     return Counts(ll, first, moves * m.a, mass, sx, sxx)
 
 
@@ -301,7 +307,8 @@ def fit_hmm(series: DataFrame, value: str, states: list[int], restarts: int = 5,
         return result_rows(part["symbol"].iloc[0], len(part), m, progress, states, restarts)
 
     short = rows if not long else rows.where(~F.col("symbol").isin([r["symbol"] for r in long]))
-    out = short.groupBy("symbol").applyInPandas(run, FIT)
+    spread = short.repartition(2 * series.sparkSession.sparkContext.defaultParallelism, "symbol")  # a number keeps few small symbols apart
+    out = spread.groupBy("symbol").applyInPandas(run, FIT)
     for r in long:
         own = rows.where(F.col("symbol") == r["symbol"])
         shares = sorted({float(s) for k in states for s in quantile_points(k)})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.functions.expr import DAY, SECOND, closed, day_between, day_of, half_open, moment, normal_gate, period, phase
-from latentia.operators import bars, calibrate, cv, filters, labels, medians, metrics, models, noise, realized, regimes
+from latentia.operators import bars, calibrate, cv, filters, labels, medians, metrics, models, noise, parameters, realized, regimes
 from latentia.operators.chunks import over_halo
 from latentia.operators.order import positions, quantiles
 from latentia.session import stored
@@ -26,6 +26,11 @@ SHIFTS = labels.draw_shifts(700, 20, margin=100, near=5, periods=(24,))
 R_NOISE, GATE = 0.05, 4.0
 #: Two modes of the interacting filter: process noise, measurement noise, transitions.
 MODES_Q, MODES_R, MODES_PI = [0.01, 1.0], [0.05, 0.2], [[0.95, 0.05], [0.1, 0.9]]
+#: Four modes fitted to a month of minute bars (process noise, measurement noise, transitions).
+FOUR_Q, FOUR_R = [4.668482e-07, 1.229825e-07, 9.774018e-06, 1.648590e-06], [4.247151e-11, 0.0, 4.367791e-09, 2.826219e-10]
+FOUR_PI = [[0.9670, 0.0170, 0.0003, 0.0156], [0.0247, 0.9745, 0.0004, 0.0004], [0.0, 0.0, 0.9600, 0.0400], [0.0287, 0.0, 0.0118, 0.9595]]
+#: Sizes of hourly returns that part observed states; pairs of ticks that a state's noise needs.
+EDGES, LEAST_PAIRS = [0.5, 1.0, 2.0], 100
 PURGE, EMBARGO = 60, 60
 C_FP, C_FN = 1.0, 4.0
 THRESHOLDS = [round(0.01 * i, 2) for i in range(1, 100)]
@@ -226,11 +231,26 @@ def kalman_gate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.groupBy("symbol", "period").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("gate_stat") > GATE).cast("int")).alias("flagged")), "flagged")
 
 
-def imm_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly(spark, sf_dir).select("symbol", "bin", F.ln("price").alias("z"))
+
+
+def filtered(series: DataFrame, params: DataFrame) -> DataFrame:
+    """symbol, bin, x_filt, p_filt, mode_probs, elevated_prob of the interacting filter under a table of parameters."""
+    out = filters.imm(series, params).join(params.select("symbol", "elevated"), "symbol")
+    return out.withColumn("elevated_prob", filters.elevated(F.col("mode_probs"), F.col("elevated"))).drop("elevated")
+
+
+def given_modes(series: DataFrame, q: list[float], r: list[float], pi: list[list[float]]) -> DataFrame:
+    """The same parameters for every symbol of a series."""
     array = lambda xs: F.array(*[F.lit(x) for x in xs])
-    series = hourly(spark, sf_dir).select("symbol", "bin", F.ln("price").alias("z"), array(MODES_Q).alias("q"), array(MODES_R).alias("r"), F.array(*[array(row) for row in MODES_PI]).alias("pi"))
-    out = filters.imm(series)
-    return out.withColumn("elevated_prob", filters.elevated(F.col("mode_probs"), regimes.above_median(array(MODES_Q))))
+    fixed = series.select("symbol").distinct().select("symbol", array(q).alias("q"), array(r).alias("r"), F.array(*map(array, pi)).alias("pi"))
+    return fixed.withColumn("elevated", regimes.above_median(F.col("q")))
+
+
+def imm_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = log_prices(spark, sf_dir)
+    return filtered(series, given_modes(series, MODES_Q, MODES_R, MODES_PI))
 
 
 @query
@@ -244,6 +264,40 @@ def elevated_by_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.groupBy("symbol", "phase").agg(F.avg("elevated_prob").alias("persistence")), "persistence")
 
 
+@query
+def imm_four_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interacting filter with four given modes, one of them without measurement noise."""
+    series = log_prices(spark, sf_dir)
+    out = filtered(series, given_modes(series, FOUR_Q, FOUR_R, FOUR_PI))
+    return rounded(out.select("symbol", "bin", "x_filt", "p_filt", "elevated_prob"), "x_filt", "p_filt", "elevated_prob")
+
+
+def observed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter parameters of four states by the size of hourly returns: variances, noise of ticks in a state, transitions, horizon."""
+    states, models = parameters.observed_models(hourly(spark, sf_dir), EDGES)
+    return parameters.parameter_table(models, noise.roll_by_state(event_ticks(spark, sf_dir), states, HOUR, LEAST_PAIRS))
+
+
+@query
+def regime_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance, measurement and process noise, and persistence of each observed state."""
+    rows = parameters.by_state(observed_parameters(spark, sf_dir)).withColumn("state", F.col("state").cast("long"))
+    return rounded(rows, "variance", "r_noise", "q", "stays")
+
+
+@query
+def regime_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected bars until a symbol leaves its elevated states, from its transitions."""
+    return rounded(observed_parameters(spark, sf_dir).select("symbol", F.size("elevated").cast("long").alias("n_elevated"), "horizon"), "horizon", digits=4)
+
+
+@query
+def imm_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interacting filter with each symbol's own observed regimes."""
+    out = filtered(log_prices(spark, sf_dir), stored(observed_parameters(spark, sf_dir)))
+    return rounded(out.select("symbol", "bin", "x_filt", "p_filt", "elevated_prob"), "x_filt", "p_filt", "elevated_prob", digits=5)
+
+
 def scored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, bin, elevated_prob (a plain transform of the price), rolling_vol."""
     vol = realized.rolling_volatility(hourly(spark, sf_dir), HOUR, 6 * HOUR)
@@ -459,16 +513,55 @@ def standardized_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return realized.standardized(hourly(spark, sf_dir)).where("z IS NOT NULL")
 
 
+FITS: dict[tuple[str, str], DataFrame] = {}
+
+
+def fitted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of two to five states with five restarts, the best of each number marked; fitted once in a session and stored."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in FITS:
+        FITS[at] = stored(regimes.best_models(regimes.fit_hmm(standardized_series(spark, sf_dir), "z", [2, 3, 4, 5])))
+    return FITS[at]
+
+
 @query
 def hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regimes.best_models(regimes.fit_hmm(standardized_series(spark, sf_dir), "z", [2, 3], restarts=2, steps=25))
+    return fitted_models(spark, sf_dir)
 
 
 @query
 def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = standardized_series(spark, sf_dir)
-    best = regimes.best_models(regimes.fit_hmm(series, "z", [2, 3], restarts=2, steps=25)).where("chosen")
-    return regimes.decode(series, best, "z")
+    return regimes.decode(standardized_series(spark, sf_dir), fitted_models(spark, sf_dir).where("chosen"), "z")
+
+
+def fitted_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter parameters of the chosen model: variances in the returns' units, noise of the ticks in each decoded state."""
+    series, chosen = standardized_series(spark, sf_dir), fitted_models(spark, sf_dir).where("chosen")
+    states = regimes.decode(series, chosen, "z").withColumn("state", F.col("state").cast("int"))
+    scale = series.groupBy("symbol").agg(F.first("scale").alias("scale"))
+    models = regimes.rescaled(chosen.join(scale, "symbol"), F.col("scale"))
+    return parameters.parameter_table(models, noise.roll_by_state(event_ticks(spark, sf_dir), stored(states), HOUR, LEAST_PAIRS))
+
+
+@query
+def fitted_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen model of each symbol as filter parameters, with the horizon of its elevated states."""
+    found = stored(fitted_parameters(spark, sf_dir))
+    return parameters.by_state(found).join(found.select("symbol", "horizon"), "symbol")
+
+
+@query
+def fitted_imm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interacting filter with each symbol's fitted regimes: elevated probability of every bar."""
+    out = filtered(log_prices(spark, sf_dir), stored(fitted_parameters(spark, sf_dir)))
+    return out.select("symbol", "bin", "x_filt", "p_filt", "elevated_prob")
+
+
+@query
+def fitted_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean elevated probability before, early in and late in the event, under the fitted regimes."""
+    out = fitted_imm(spark, sf_dir).withColumn("phase", phase(F.col("bin") * HOUR, EVENT)).where("phase IS NOT NULL")
+    return out.groupBy("symbol", "phase").agg(F.avg("elevated_prob").alias("persistence"))
 
 
 @query

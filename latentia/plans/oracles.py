@@ -99,6 +99,71 @@ def imm() -> str:
       imm AS (SELECT symbol, bin, x AS x_filt, m0 * (pa + (xa - x) * (xa - x)) + m1 * (pb + (xb - x) * (xb - x)) AS p_filt, m1 AS elevated_prob FROM est)"""
 
 
+def imm_of(k: int) -> str:
+    """CTEs k, imm: k modes written out; needs CTEs ret and given (symbol, q0.., r0.., a00.., e0.. in {0, 1})."""
+    modes = range(k)
+    each = lambda f, sep=", ": sep.join(f(j) for j in modes)
+    keep = "symbol, bin, i"
+    par = ", ".join([*[f"q{j}" for j in modes], *[f"r{j}" for j in modes], *[f"a{i}{j}" for i in modes for j in modes]])
+
+    def step(x: str, p: str, m: str, source: str) -> str:
+        state = each(lambda j: f"{x.format(j)} AS x{j}, {p.format(j)} AS p{j}, {m.format(j)} AS m{j}")
+        mixed = lambda j, f: " + ".join(f"a{i}{j} * m{i} / c{j} * ({f(i)})" for i in modes)
+        return f"""
+        SELECT {keep}, {each(lambda j: f"x{j}, p{j}, CASE WHEN t > 0 AND isfinite(t) THEN l{j} / t ELSE c{j} END AS m{j}")} FROM (
+          SELECT *, {each(lambda j: f"l{j}", " + ")} AS t FROM (
+            SELECT {keep}, {each(lambda j: f"c{j}, u{j} + g{j} / s{j} * (z - u{j}) AS x{j}, (1 - g{j} / s{j}) * g{j} AS p{j}, c{j} * exp(-(z - u{j}) * (z - u{j}) / (2 * s{j})) / sqrt(2 * pi() * s{j}) AS l{j}")} FROM (
+              SELECT *, {each(lambda j: f"v{j} + q{j} AS g{j}, v{j} + q{j} + r{j} AS s{j}")} FROM (
+                SELECT *, {each(lambda j: mixed(j, lambda i: f"p{i} + (x{i} - u{j}) * (x{i} - u{j})") + f" AS v{j}")} FROM (
+                  SELECT *, {each(lambda j: mixed(j, lambda i: f"x{i}") + f" AS u{j}")} FROM (
+                    SELECT *, {each(lambda j: "greatest(" + " + ".join(f"a{i}{j} * m{i}" for i in modes) + f", 1e-300) AS c{j}")} FROM (
+                      SELECT n.symbol, n.bin, n.i, n.z, {", ".join("n." + c for c in par.split(", "))}, {state} FROM {source}
+                    )))))))"""
+
+    n_positive = each(lambda j: f"CAST(n.r{j} > 0 AS INTEGER)", " + ")
+    start = f"(CASE WHEN {n_positive} > 0 THEN ({each(lambda j: f'greatest(n.r{j}, 0)', ' + ')}) / ({n_positive}) ELSE 1e-8 END)::DOUBLE"
+    first = step("n.z", start, f"{1 / k}::DOUBLE", "series n WHERE n.i = 1")
+    more = step("k.x{0}", "k.p{0}", "k.m{0}", "k JOIN series n ON n.symbol = k.symbol AND n.i = k.i + 1")
+    return f"""series AS (SELECT ret.symbol, bin, ln(price) AS z, row_number() OVER (PARTITION BY ret.symbol ORDER BY bin) AS i, {par} FROM ret JOIN given ON given.symbol = ret.symbol),
+      k AS ({first} UNION ALL {more}),
+      est AS (SELECT *, {each(lambda j: f"m{j} * x{j}", " + ")} AS x FROM k),
+      imm AS (SELECT est.symbol, bin, x AS x_filt, {each(lambda j: f"m{j} * (p{j} + (x{j} - x) * (x{j} - x))", " + ")} AS p_filt, {each(lambda j: f"m{j} * e{j}", " + ")} AS elevated_prob FROM est JOIN given ON given.symbol = est.symbol)"""
+
+
+def given_sql(q: list[float], r: list[float], pi: list[list[float]], elevated: set[int]) -> str:
+    """CTE given of constants."""
+    named = [(f"q{j}", x) for j, x in enumerate(q)] + [(f"r{j}", x) for j, x in enumerate(r)] + [(f"a{i}{j}", x) for i, row in enumerate(pi) for j, x in enumerate(row)] + [(f"e{j}", int(j in elevated)) for j in range(len(q))]
+    return f"given AS (SELECT DISTINCT symbol, {', '.join(f'{x!r}::DOUBLE AS {n}' for n, x in named)} FROM ret)"
+
+
+def observed() -> str:
+    """CTEs st, reg (a row per symbol and state), wide and given: regimes by the size of returns and their parameters."""
+    k = len(c.EDGES) + 1
+    state = " + ".join(f"CAST(abs(r) >= {e} AS INTEGER)" for e in c.EDGES)
+    prev = f"OVER ({BY} us, seq)"
+    column = lambda f, name: ", ".join(f"max({f}) FILTER (reg.state = {j}) AS {name}{j}" for j in range(k))
+    return f"""st AS (SELECT symbol, bin, r, {state} AS state FROM ret WHERE r IS NOT NULL),
+      every AS (SELECT symbol, state FROM (SELECT DISTINCT symbol FROM st), (SELECT unnest(range({k})) AS state)),
+      var AS (SELECT symbol, state, var_pop(r) AS variance FROM st GROUP BY ALL),
+      moved AS (SELECT symbol, lag(state) OVER ({BY} bin) AS i, state AS j FROM st),
+      left_n AS (SELECT symbol, i, count(*) + {k} AS n FROM moved WHERE i IS NOT NULL GROUP BY ALL),
+      pi AS (
+        SELECT a.symbol, a.state AS i, b.state AS j, (count(moved.j) + 1.0) / coalesce(any_value(left_n.n), {k}) AS p FROM every a JOIN every b ON a.symbol = b.symbol
+        LEFT JOIN moved ON moved.symbol = a.symbol AND moved.i = a.state AND moved.j = b.state LEFT JOIN left_n ON left_n.symbol = a.symbol AND left_n.i = a.state GROUP BY a.symbol, a.state, b.state
+      ),
+      tick_at AS (SELECT ticks.*, coalesce(state, -1) AS state FROM ticks LEFT JOIN st ON st.symbol = ticks.symbol AND st.bin = ticks.us // {c.HOUR}),
+      one AS (SELECT *, ln(price) - ln(lag(price) {prev}) AS r, lag(state) {prev} AS s1, lag(state, 2) {prev} AS s2 FROM tick_at),
+      two AS (SELECT *, lag(r) {prev} AS r1 FROM one),
+      noise AS (SELECT symbol, state, count(*) AS n_pairs, CASE WHEN count(*) >= {c.LEAST_PAIRS} THEN -covar_samp(r, r1) END AS r_noise FROM two WHERE r IS NOT NULL AND r1 IS NOT NULL AND state >= 0 AND state = s1 AND s1 = s2 GROUP BY ALL),
+      base AS (SELECT e.symbol, e.state, coalesce(variance, 0) AS variance, coalesce(n_pairs, 0) AS n_pairs, greatest(coalesce(r_noise, 0), 0) AS r_noise FROM every e LEFT JOIN var USING (symbol, state) LEFT JOIN noise USING (symbol, state)),
+      reg AS (
+        SELECT base.*, greatest(variance - 2 * r_noise, 1e-15) AS q, variance > median(variance) OVER (PARTITION BY base.symbol) AS elevated, pi.p AS stays
+        FROM base JOIN pi ON pi.symbol = base.symbol AND pi.i = base.state AND pi.j = base.state
+      ),
+      rows_pi AS (SELECT symbol, {", ".join(f"max(p) FILTER (i = {i} AND j = {j}) AS a{i}{j}" for i in range(k) for j in range(k))} FROM pi GROUP BY symbol),
+      given AS (SELECT reg.symbol, {column('q', 'q')}, {column('r_noise', 'r')}, {column('CAST(elevated AS INTEGER)', 'e')}, {", ".join(f"any_value(a{i}{j}) AS a{i}{j}" for i in range(k) for j in range(k))} FROM reg JOIN rows_pi ON rows_pi.symbol = reg.symbol GROUP BY reg.symbol)"""
+
+
 SCORED = f"{H}, scored AS (SELECT symbol, bin, price / (price + 25) AS elevated_prob, stddev_samp(r) OVER ({ROLLING}) AS rolling_vol FROM ret WHERE r IS NOT NULL)"
 AHEAD = f"OVER ({BY} bin ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)"
 LABELLED = f"{SCORED}, ahead AS (SELECT symbol, bin, CASE WHEN count(elevated_prob) {AHEAD} = 6 THEN avg(elevated_prob) {AHEAD} END AS forward_mean FROM scored), labelled AS (SELECT *, CAST(forward_mean > 0.5 AS DOUBLE) AS real_label FROM ahead)"
@@ -212,3 +277,20 @@ SQL["day_sets"] = f"""WITH ticks AS ({EVENTS}), days AS (SELECT symbol, us // {D
       SELECT symbol, day, n, CASE WHEN day BETWEEN {FIRST} // {DAY} AND {END} // {DAY} THEN 'intersection' ELSE 'difference' END AS kind FROM days"""
 SQL["flagged_share"] = f"""WITH {H}, flags AS (SELECT symbol, bin, CAST(abs(r) > {c.LARGE} AS DOUBLE) AS flag FROM ret WHERE r IS NOT NULL)
       SELECT symbol, bin, flag, {r("avg(flag) OVER (PARTITION BY symbol ORDER BY bin RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)", "share")} FROM flags"""
+
+SQL["imm_four_modes"] = f"WITH RECURSIVE {H}, {given_sql(c.FOUR_Q, c.FOUR_R, c.FOUR_PI, {2, 3})}, {imm_of(4)} SELECT symbol, bin, {r('x_filt', 'x_filt')}, {r('p_filt', 'p_filt')}, {r('elevated_prob', 'elevated_prob')} FROM imm"
+SQL["imm_regimes"] = f"WITH RECURSIVE {H}, {observed()}, {imm_of(4)} SELECT symbol, bin, {r('x_filt', 'x_filt', 5)}, {r('p_filt', 'p_filt', 5)}, {r('elevated_prob', 'elevated_prob', 5)} FROM imm"
+SQL["regime_parameters"] = f"WITH {H}, {observed()} SELECT symbol, state, {r('variance', 'variance')}, n_pairs, {r('r_noise', 'r_noise')}, {r('q', 'q')}, elevated, {r('stays', 'stays')}, stays > 0.9 AS sticky FROM reg"
+# the chance of still being elevated after t bars, from the quasi-stationary weights (300 steps of the transitions), summed over t
+SQL["regime_horizon"] = f"""WITH RECURSIVE {H}, {observed()},
+      el AS (SELECT symbol, state, count(*) OVER (PARTITION BY symbol) AS n FROM reg WHERE elevated),
+      inside AS (SELECT pi.symbol, pi.i, pi.j, pi.p FROM pi JOIN el a ON a.symbol = pi.symbol AND a.state = pi.i JOIN el b ON b.symbol = pi.symbol AND b.state = pi.j),
+      warm AS (
+        SELECT symbol, state, 0 AS t, 1.0::DOUBLE AS w FROM el
+        UNION ALL SELECT symbol, j, t + 1, x / sum(x) OVER (PARTITION BY symbol) FROM (SELECT warm.symbol, j, t, sum(w * p) AS x FROM warm JOIN inside ON inside.symbol = warm.symbol AND inside.i = warm.state WHERE t < 300 GROUP BY warm.symbol, j, t)
+      ),
+      alive AS (
+        SELECT symbol, state, 0 AS t, w FROM warm WHERE t = 300
+        UNION ALL SELECT alive.symbol, j, t + 1, sum(w * p) FROM alive JOIN inside ON inside.symbol = alive.symbol AND inside.i = alive.state WHERE t < 2000 GROUP BY alive.symbol, j, t
+      )
+      SELECT symbol, any_value(n) AS n_elevated, {r('sum(w)', 'horizon', 4)} FROM alive JOIN el USING (symbol, state) GROUP BY symbol"""

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from latentia.operators.cv import embargoed_rows, walk_forward_folds
 from latentia.operators.order import positions
+from latentia.session import stored
 
 Sums = Callable[[np.ndarray, np.ndarray, np.ndarray, int, int], np.ndarray]
 
@@ -213,50 +214,179 @@ class Net(NamedTuple):
         return np.concatenate([(z.T @ back).ravel(), back.sum(0), a.T @ d, [d.sum()]])
 
 
-def mlp_oof(rows: DataFrame, folds: Folds, width: int, hidden: int, epochs: int = 100, patience: int = 10, min_delta: float = 1e-4, rate: float = 1e-3, seed: int = 0) -> DataFrame:
-    """Out-of-fold probabilities of a ReLU network: full-batch Adam, early stopping on the last training rows in time.
+def mlp_oof(rows: DataFrame, folds: Folds, width: int, hiddens: list[int], epochs: int = 100, patience: int = 10, min_delta: float = 1e-4, rate: float = 1e-3, seed: int = 0) -> dict[int, DataFrame]:
+    """Out-of-fold probabilities of ReLU networks by their hidden units: full-batch Adam, early stopping on the last training rows in time.
 
     The validation tail starts at max(int(0.85 n), n - 2000); where the head has one class, all rows train.  An epoch is one
-    pass over the rows for all folds.
+    pass over the rows for all folds and widths.
     """
-    s, net = scaling(rows, folds, 1, width), Net(width, hidden)
+    s, nets = scaling(rows, folds, 1, width), {h: Net(width, h) for h in hiddens}
     n = s.n[:, 0].astype(int)
     tail = np.maximum((0.85 * n).astype(int), n - 2000)
     head = fold_sums(rows, folds, 1, lambda x, y, rank, f, j: np.array([(rank < tail[f]).sum(), y[rank < tail[f]].sum()]))
     head = head[:, 0] if head.shape[2] else np.zeros((len(n), 2))
     tail = np.where((head[:, 1] > 0) & (head[:, 1] < head[:, 0]), tail, n)
-    start = net.start(np.random.default_rng(seed))
-    v = np.tile(start, (len(n), 1))
-    best, least, waited, alive = v.copy(), np.full(len(n), np.inf), np.zeros(len(n), int), s.usable[:, 0].copy()
-    m1, m2 = np.zeros_like(v), np.zeros_like(v)
+    v = {h: np.tile(net.start(np.random.default_rng(seed)), (len(n), 1)) for h, net in nets.items()}
+    best, m1, m2 = {h: x.copy() for h, x in v.items()}, {h: np.zeros_like(x) for h, x in v.items()}, {h: np.zeros_like(x) for h, x in v.items()}
+    least, waited, alive = {h: np.full(len(n), np.inf) for h in hiddens}, {h: np.zeros(len(n), int) for h in hiddens}, {h: s.usable[:, 0].copy() for h in hiddens}
     for t in range(1, epochs + 1):
-        if not alive.any():
+        if not any(alive[h].any() for h in hiddens):
             break
 
         def sums(x: np.ndarray, y: np.ndarray, rank: np.ndarray, f: int, j: int) -> np.ndarray:
-            if not alive[f]:
-                return np.zeros(net.size + 3)
             z = (x - s.mean[f, 0]) / (s.scale[f, 0] + 1e-8)
             fit = rank < tail[f]
             test = ~fit if tail[f] < n[f] else fit
-            o = net.logits(v[f], z[test])
-            loss = (np.maximum(o, 0) - o * y[test] + np.log1p(np.exp(-np.abs(o)))).sum()
-            return np.concatenate([net.gradient(v[f], z[fit], y[fit]), [fit.sum(), loss, test.sum()]])
-
-        got = fold_sums(rows, folds, 1, sums)[:, 0]
-        for f in np.flatnonzero(alive):
-            loss = got[f, -2] / max(got[f, -1], 1)
-            if loss < least[f] - min_delta:
-                least[f], waited[f], best[f] = loss, 0, v[f]
-            else:
-                waited[f] += 1
-                alive[f] = waited[f] < patience
-            g = got[f, : net.size] / max(got[f, -3], 1)
-            m1[f], m2[f] = 0.9 * m1[f] + 0.1 * g, 0.999 * m2[f] + 0.001 * g * g
-            v[f] = v[f] - rate * (m1[f] / (1 - 0.9**t)) / (np.sqrt(m2[f] / (1 - 0.999**t)) + 1e-8)
-
-    def predict(x: np.ndarray, f: int, j: int) -> np.ndarray:
-        o = net.logits(best[f], (x - s.mean[f, 0]) / (s.scale[f, 0] + 1e-8))
-        return 1 / (1 + np.exp(-np.clip(o, -40, 40)))
+            out = []
+            for h, net in nets.items():
+                if not alive[h][f]:
+                    out.append(np.zeros(net.size + 3))
+                    continue
+                o = net.logits(v[h][f], z[test])
+                loss = (np.maximum(o, 0) - o * y[test] + np.log1p(np.exp(-np.abs(o)))).sum()
+                out += [net.gradient(v[h][f], z[fit], y[fit]), [fit.sum(), loss, test.sum()]]
+            return np.concatenate(out)
+
+        got, at = fold_sums(rows, folds, 1, sums)[:, 0], 0
+        for h, net in nets.items():
+            own = got[:, at : at + net.size + 3]
+            at += net.size + 3
+            for f in np.flatnonzero(alive[h]):
+                loss = own[f, -2] / max(own[f, -1], 1)
+                if loss < least[h][f] - min_delta:
+                    least[h][f], waited[h][f], best[h][f] = loss, 0, v[h][f]
+                else:
+                    waited[h][f] += 1
+                    alive[h][f] = waited[h][f] < patience
+                g = own[f, : net.size] / max(own[f, -3], 1)
+                m1[h][f], m2[h][f] = 0.9 * m1[h][f] + 0.1 * g, 0.999 * m2[h][f] + 0.001 * g * g
+                v[h][f] = v[h][f] - rate * (m1[h][f] / (1 - 0.9**t)) / (np.sqrt(m2[h][f] / (1 - 0.999**t)) + 1e-8)
+
+    def predictor(h: int) -> Predict:
+        def predict(x: np.ndarray, f: int, j: int) -> np.ndarray:
+            o = nets[h].logits(best[h][f], (x - s.mean[f, 0]) / (s.scale[f, 0] + 1e-8))
+            return 1 / (1 + np.exp(-np.clip(o, -40, 40)))
+
+        return predict
+
+    return {h: out_of_fold(rows, folds, 1, s.usable, predictor(h)) for h in hiddens}
+
+
+class MiniBatch(NamedTuple):
+    """Settings of mini-batch training: rows a step, penalty, Adam's rate, patience and least gain in validation accuracy, most epochs."""
+
+    batch: int = 200
+    alpha: float = 1e-4
+    rate: float = 1e-3
+    tenth: float = 0.1
+    patience: int = 10
+    tol: float = 1e-4
+    epochs: int = 500
+    seed: int = 0
+    shard: int = 100_000
+
+
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of row numbers, anew for each salt (a Weyl step and the finaliser of splitmix64)."""
+    h = x.astype(np.uint64) + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def held_back(pos: np.ndarray, o: MiniBatch) -> np.ndarray:
+    """A random tenth of the rows, the same in every fold."""
+    return mixed(pos, o.seed) < np.uint64(int(o.tenth * 2**64))
+
+
+def glorot(net: Net, seed: int) -> np.ndarray:
+    """First weights and biases, uniform within sqrt(6 / (in + out)) of a ReLU layer and sqrt(2 / (in + out)) of a sigmoid output."""
+    rng = np.random.default_rng(seed)
+    a, b = np.sqrt(6 / (net.width + net.hidden)), np.sqrt(2 / (net.hidden + 1))
+    return np.concatenate([rng.uniform(-a, a, net.hidden * (net.width + 1)), rng.uniform(-b, b, net.hidden + 1)])
+
+
+def penalised(net: Net) -> np.ndarray:
+    """1 for weights, 0 for biases."""
+    a, h = net.width * net.hidden, net.hidden
+    return np.concatenate([np.ones(a), np.zeros(h), np.ones(h), [0.0]])
+
+
+def adam_epoch(net: Net, state: np.ndarray, z: np.ndarray, y: np.ndarray, pos: np.ndarray, epoch: int, o: MiniBatch) -> np.ndarray:
+    """One epoch over rows in the order of their hashes for this epoch, ``batch`` rows a step; state: v, m1, m2, number of steps."""
+    n, order = net.size, np.argsort(mixed(pos, o.seed + epoch), kind="stable")
+    v, m1, m2, t = state[:n].copy(), state[n : 2 * n].copy(), state[2 * n : 3 * n].copy(), state[-1]
+    shrink = o.alpha * penalised(net)
+    for i in range(0, len(order), o.batch):
+        use = order[i : i + o.batch]
+        t += 1
+        g = (net.gradient(v, z[use], y[use]) + shrink * v) / len(use)
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        v -= o.rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m1 / (np.sqrt(m2) + 1e-8)
+    return np.concatenate([v, m1, m2, [t]])
+
+
+def minibatch_oof(rows: DataFrame, folds: Folds, width: int, hiddens: list[int], options: MiniBatch = MiniBatch()) -> dict[int, DataFrame]:
+    """Out-of-fold probabilities of ReLU networks by their hidden units: mini-batch Adam, L2, early stopping on a tenth.
+
+    Rows are dealt by hash into shards of about ``shard`` rows, whatever their partitions.  A job is an epoch of all networks and folds: each
+    shard takes its mini-batch steps from the same parameters (several steps without talking), then parameters and
+    moments are averaged over the shards by their rows.  Up to ``shard`` rows there is one shard, and this is plain mini-batch training.
+    Parameters (folds times networks) are what the driver keeps; a fold's rows are never gathered.
+    """
+    o, s, nets = options, scaling(rows, folds, 1, width), {h: Net(width, h) for h in hiddens}
+    count = -(-max(int(rows.count()), 1) // o.shard)
+    shard = F.pmod(F.xxhash64("pos"), F.lit(count))
+    dealt = stored(rows.select("pos", "x", "ys", "embargoed", "rank", shard.alias("shard")).repartition(count, "shard"))
+    state = {h: np.tile(np.concatenate([glorot(net, o.seed), np.zeros(2 * net.size + 1)]), (len(folds.ids), 1)) for h, net in nets.items()}
+    best = {h: state[h][:, : net.size].copy() for h, net in nets.items()}
+    top, waited, alive = ({h: np.full(len(folds.ids), x) for h in hiddens} for x in (-np.inf, 0, True))
+    for h in hiddens:
+        alive[h] &= s.usable[:, 0]
+    for epoch in range(1, o.epochs + 2):
+        if not any(alive[h].any() for h in hiddens):
+            break
 
-    return out_of_fold(rows, folds, 1, s.usable, predict)
+        def run(table: pa.Table) -> pa.Table:
+            pos, x, ys, embargoed, _ = unpacked(table.combine_chunks().to_batches()[0])
+            back, out = held_back(pos, o), []
+            for f in range(len(folds.ids)):
+                if not any(alive[h][f] for h in hiddens):
+                    continue
+                own = folds.training(f, pos, embargoed) & ~np.isnan(ys[:, 0])
+                z, y = (x - s.mean[f, 0]) / s.scale[f, 0], ys[:, 0]
+                fit, test = own & ~back, own & back
+                for h, net in nets.items():
+                    if alive[h][f]:
+                        right = ((net.logits(state[h][f][: net.size], z[test]) > 0) == (y[test] > 0.5)).sum()
+                        after = adam_epoch(net, state[h][f], z[fit], y[fit], pos[fit], epoch, o) if epoch <= o.epochs else state[h][f]
+                        out.append((h, f, np.concatenate([after * fit.sum(), [fit.sum(), right, test.sum()]])))
+            sizes = [len(v) for *_, v in out]
+            wide = lambda k: np.repeat([r[k] for r in out], sizes).astype(np.int32)
+            values = np.concatenate([v for *_, v in out]) if out else np.empty(0)
+            return pa.table({"h": wide(0), "f": wide(1), "i": np.concatenate([np.arange(n) for n in sizes]).astype(np.int32) if out else np.empty(0, np.int32), "v": values})
+
+        got = dealt.groupBy("shard").applyInArrow(run, "h int, f int, i int, v double").groupBy("h", "f", "i").agg(F.sum("v").alias("v")).toArrow()
+        hs, fs, places, values = (got.column(c).to_numpy() for c in "hfiv")
+        for h, net in nets.items():
+            sums = np.zeros((len(folds.ids), 3 * net.size + 4))
+            sums[fs[hs == h], places[hs == h]] = values[hs == h]
+            for f in np.flatnonzero(alive[h]):
+                n, right, tested = sums[f, -3:]
+                if epoch > 1:
+                    score = right / tested if tested else -np.inf
+                    waited[h][f] = waited[h][f] + 1 if score < top[h][f] + o.tol else 0
+                    if score > top[h][f] or not tested:
+                        top[h][f], best[h][f] = score, state[h][f][: net.size]
+                    alive[h][f] = waited[h][f] <= o.patience
+                if n:
+                    state[h][f] = sums[f, :-3] / n
+
+    def predictor(h: int) -> Predict:
+        def predict(x: np.ndarray, f: int, j: int) -> np.ndarray:
+            o = nets[h].logits(best[h][f], (x - s.mean[f, 0]) / s.scale[f, 0])
+            return 1 / (1 + np.exp(-np.clip(o, -40, 40)))
+
+        return predict
+
+    return {h: out_of_fold(rows, folds, 1, s.usable, predictor(h)) for h in hiddens}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -564,18 +565,36 @@ def fitted_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("symbol", "phase").agg(F.avg("elevated_prob").alias("persistence"))
 
 
+HIDDEN = [16, 32, 64]
+
+
 @query
 def mlp_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC and log score of logistic regression and networks of two sizes, with differences from the former."""
+    """AUC, log score, folds and seconds of logistic regression and networks of three widths, with AUC differences from the former.
+
+    mlp: mini-batches with L2, early stopping on a random tenth; net: full batches, early stopping on the last rows in time.
+    Networks of a kind are trained together, so each has the kind's seconds.
+    """
     rows = model_rows(spark, sf_dir, ["real_label"])
     folds, width = models.day_folds(rows, PURGE), len(FEATURES)
-    found = {"lr": models.logistic_oof(rows, folds, 1, width)} | {f"mlp_{h}": models.mlp_oof(rows, folds, width, h, epochs=10, rate=0.05) for h in (16, 32)}
-    parts = None
-    for name, oof in found.items():
-        one = metrics.auc(oof).crossJoin(metrics.proper_scores(oof).select("log_score", "n")).select(F.lit(name).alias("model"), "n", "auc", "log_score")
-        parts = one if parts is None else parts.unionByName(one)
-    base = parts.where("model = 'lr'").select(F.col("auc").alias("lr_auc"))
-    return parts.crossJoin(F.broadcast(base)).select("model", "n", "auc", "log_score", (F.col("auc") - F.col("lr_auc")).alias("auc_diff"))
+    makers = {
+        "lr": lambda: {"lr": models.logistic_oof(rows, folds, 1, width)},
+        "mlp": lambda: {f"mlp_{h}": oof for h, oof in models.minibatch_oof(rows, folds, width, HIDDEN).items()},
+        "net": lambda: {f"net_{h}": oof for h, oof in models.mlp_oof(rows, folds, width, HIDDEN).items()},
+    }
+    found = None
+    for make in makers.values():
+        began = time.time()
+        oofs = make()
+        took = time.time() - began
+        for name, oof in oofs.items():
+            one = oof.withColumn("model", F.lit(name)).withColumn("seconds", F.lit(took))
+            found = one if found is None else found.unionByName(one)
+    found = stored(found)
+    scores = metrics.auc(found, ["model"]).join(metrics.proper_scores(found, ["model"]).select("model", "n", "log_score"), "model")
+    each = scores.join(found.groupBy("model").agg(F.countDistinct("fold").alias("n_folds"), F.first("seconds").alias("seconds")), "model")
+    base = each.where("model = 'lr'").select(F.col("auc").alias("lr_auc"))
+    return each.crossJoin(F.broadcast(base)).select("model", "n", "auc", "log_score", "n_folds", "seconds", (F.col("auc") - F.col("lr_auc")).alias("auc_diff"))
 
 
 @query

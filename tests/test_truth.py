@@ -86,7 +86,7 @@ def test_walk_forward_logistic_equals_separate_fits(spark):
 def test_network_learns_what_the_prior_cannot(spark):
     _, rows = dataset(spark)
     folds = models.k_folds(600, 3)
-    auc = metrics.auc(models.mlp_oof(rows, folds, 2, 8, epochs=12, rate=0.05)).first()["auc"]
+    auc = metrics.auc(models.mlp_oof(rows, folds, 2, [8], epochs=12, rate=0.05)[8]).first()["auc"]
     assert auc > 0.7
     prior = models.prior_oof(rows, folds, 1, 2).toPandas()
     assert prior.groupby("fold")["y_pred"].nunique().max() == 1

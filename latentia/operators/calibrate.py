@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentia.functions.expr import logit, sigmoid
 from latentia.operators.models import Folds, fit_logistic
+from latentia.session import stored
 
 OUT = ["pos", "y_true", "y_pred_raw", "y_pred_calibrated"]
 
@@ -35,18 +36,23 @@ def isotonic_by_regime(oof: DataFrame, regime: str, middle: float, reposition) -
     return done[0].unionByName(done[1])
 
 
-def pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray, last: np.ndarray) -> list[tuple[float, float, float, float]]:
-    """Pool adjacent violators over blocks in order of x: (first x, last x, mean, weight)."""
+def pooled_sums(x: np.ndarray, s: np.ndarray, w: np.ndarray, last: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """Pool adjacent violators over blocks in order of x: (first x, last x, sum, weight)."""
     out: list[list[float]] = []
-    for a, m, n, b in zip(x.tolist(), y.tolist(), w.tolist(), last.tolist(), strict=True):
+    for a, m, n, b in zip(x.tolist(), s.tolist(), w.tolist(), last.tolist(), strict=True):
         out.append([a, b, m, n])
-        while len(out) > 1 and out[-2][2] >= out[-1][2]:
-            a2, b2, m2, n2 = out.pop()
+        while len(out) > 1 and out[-2][2] / out[-2][3] >= out[-1][2] / out[-1][3]:
+            _, b2, s2, n2 = out.pop()
             p = out[-1]
-            p[2], p[3], p[1] = (p[2] * p[3] + m2 * n2) / (p[3] + n2), p[3] + n2, b2
+            p[1], p[2], p[3] = b2, p[2] + s2, p[3] + n2
     return [tuple(r) for r in out]
 
 
+def pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray, last: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """The same of means: (first x, last x, mean, weight)."""
+    return [(a, b, s / n, n) for a, b, s, n in pooled_sums(x, y * w, w, last)]
+
+
 BLOCKS = "fold long, lo double, hi double, y double, w double"
 
 
@@ -68,28 +74,55 @@ def isotonic_blocks(rows: DataFrame, chunks: int = 32) -> DataFrame:
     return first.groupBy("fold").applyInPandas(run, BLOCKS)
 
 
-def prior_rows(oof: DataFrame, warm_up: int = 3, window: int | None = 5) -> DataFrame:
-    """fold, x, y: for each day ordinal from warm_up on, the rows of all earlier days or of the last ``window`` ones."""
-    days = oof.select("ordinal").distinct().withColumnRenamed("ordinal", "fold").where(F.col("fold") >= warm_up)
-    earlier = F.col("ordinal") < F.col("fold")
-    near = earlier & (F.col("ordinal") >= F.col("fold") - window) if window else earlier
-    return oof.join(F.broadcast(days), near).select("fold", F.col("y_pred").alias("x"), F.col("y_true").alias("y"))
+def cumulative_blocks(oof: DataFrame, warm_up: int = 3, window: int | None = None, chunks: int = 64) -> DataFrame:
+    """fold, lo, hi, y, w: isotonic regression for each day ordinal from warm_up on, over all earlier days or the last ``window`` ones.
 
+    Rows (ordinal, y_pred, y_true) are added up by day and prediction and dealt by prediction once, not once for each later day: a chunk's
+    task pools its own points for one day after the other, and a day's last task sees the blocks that are left.  Days
+    whose past has one class are left out.
+    """
+    folds = sorted(r[0] for r in oof.select("ordinal").distinct().where(F.col("ordinal") >= warm_up).collect())
+    chunk = F.least(F.floor(F.col("y_pred") * chunks), F.lit(chunks - 1))
+    points = oof.groupBy(chunk.alias("chunk"), F.col("ordinal"), F.col("y_pred").alias("x")).agg(F.sum(F.col("y_true").cast("double")).alias("s"), F.count(F.lit(1)).alias("w"))
 
-def isotonic_walk_forward(oof: DataFrame, warm_up: int = 3, window: int | None = None) -> DataFrame:
-    """Each day calibrated by isotonic regression on days before it; days whose past has one class are left out."""
-    past = prior_rows(oof, warm_up, window)
-    both = past.groupBy("fold").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").select("fold")
-    blocks = isotonic_blocks(past.join(F.broadcast(both), "fold"))
-    knots = blocks.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "y"))).alias("knots"))
-    rows = oof.join(knots, F.col("ordinal") == F.col("fold"))
-    x = F.col("y_pred")
-    below = F.filter("knots", lambda k: k["lo"] <= x)
-    above = F.filter("knots", lambda k: k["hi"] >= x)
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x, place = np.unique(part["x"].to_numpy(), return_inverse=True)
+        ordinal, s, w = part["ordinal"].to_numpy(), part["s"].to_numpy(), part["w"].to_numpy(float)
+        out = []
+        for fold in folds:
+            use = (ordinal < fold) & (ordinal >= fold - window) if window else ordinal < fold
+            weight = np.bincount(place[use], w[use], len(x))
+            some = weight > 0
+            total = np.bincount(place[use], s[use], len(x))
+            out += [(fold, *r) for r in pooled_sums(x[some], total[some], weight[some], x[some])]
+        return pd.DataFrame(out, columns=["fold", "lo", "hi", "s", "w"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("lo")
+        found = pooled_sums(part["lo"].to_numpy(), part["s"].to_numpy(), part["w"].to_numpy(), part["hi"].to_numpy())
+        return pd.DataFrame([(part["fold"].iloc[0], *r) for r in found], columns=["fold", "lo", "hi", "s", "w"])
+
+    sums = "fold long, lo double, hi double, s double, w double"
+    blocks = points.groupBy("chunk").applyInPandas(run, sums).groupBy("fold").applyInPandas(merge, sums).withColumn("y", F.col("s") / F.col("w"))
+    both = blocks.withColumn("__p", F.sum("s").over(Window.partitionBy("fold"))).withColumn("__w", F.sum("w").over(Window.partitionBy("fold")))
+    return both.where((F.col("__p") > 0.5) & (F.col("__p") < F.col("__w") - 0.5)).select("fold", "lo", "hi", "y", "w")
+
+
+def between_knots(knots: Column, x: Column) -> Column:
+    """The fitted value at x: of its block, between two blocks on the line from one to the other, beyond the ends the ends'."""
+    below = F.filter(knots, lambda k: k["lo"] <= x)
+    above = F.filter(knots, lambda k: k["hi"] >= x)
     a, b = F.element_at(below, -1), F.get(above, F.lit(0))
-    between = a["y"] + (b["y"] - a["y"]) * (x - a["hi"]) / (b["lo"] - a["hi"])
-    value = F.when(F.size(below) == 0, b["y"]).when(F.size(above) == 0, a["y"]).when(a["lo"] == b["lo"], a["y"]).otherwise(between)
-    return rows.select("pos", "y_true", F.col("y_pred").alias("y_pred_raw"), value.alias("y_pred_calibrated"))
+    line = a["y"] + (b["y"] - a["y"]) * (x - a["hi"]) / (b["lo"] - a["hi"])
+    return F.when(F.size(below) == 0, b["y"]).when(F.size(above) == 0, a["y"]).when(a["lo"] == b["lo"], a["y"]).otherwise(line)
+
+
+def isotonic_walk_forward(oof: DataFrame, warm_up: int = 3, window: int | None = None) -> DataFrame:
+    """Each day calibrated by isotonic regression on all days before it or on the last ``window`` ones."""
+    blocks = cumulative_blocks(oof, warm_up, window)
+    knots = blocks.groupBy(F.col("fold").alias("__fold")).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "y"))).alias("knots"))
+    rows = oof.select("pos", "y_true", "y_pred", "ordinal").join(knots, F.col("ordinal") == F.col("__fold"))
+    return rows.select("pos", "y_true", F.col("y_pred").alias("y_pred_raw"), between_knots(F.col("knots"), F.col("y_pred")).alias("y_pred_calibrated"))
 
 
 def platt_walk_forward(oof: DataFrame, warm_up: int = 3, window: int | None = 5, c: float = 1.0) -> DataFrame:
@@ -105,7 +138,7 @@ def platt_walk_forward(oof: DataFrame, warm_up: int = 3, window: int | None = 5,
     first = np.array([starts[d] for d in days], np.int64)
     folds = Before(np.array(days, np.int64), np.array([spans[d][0] for d in days], np.int64), np.array([spans[d][1] for d in days], np.int64), 0)
     rows = oof.select("pos", F.array(logit(F.col("y_pred"))).alias("x"), F.array(F.col("y_true").cast("double")).alias("ys"), F.lit(False).alias("embargoed"), F.lit(None).cast("long").alias("rank"))
-    w, s = fit_logistic(rows, folds, 1, 1, c=c, standardize=False)
+    w, s = fit_logistic(stored(rows), folds, 1, 1, c=c, standardize=False)
     fitted = [(int(d), float(w[i, 0, 0]), float(w[i, 0, 1])) for i, d in enumerate(days) if s.usable[i, 0]]
     table = oof.sparkSession.createDataFrame(fitted, "ordinal long, a double, b double")
     joined = oof.join(F.broadcast(table), "ordinal")

@@ -435,7 +435,11 @@ FEATURES = ["elevated_prob", "elevated_prob_lag1", "rolling_vol"]
 
 def dataset(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     """pos, day, symbol, features, real_label (and null labels), all defined, in time order over all symbols."""
-    base = scored_bars(spark, sf_dir)
+    return dataset_of(scored_bars(spark, sf_dir), nulls)
+
+
+def dataset_of(base: DataFrame, nulls: bool = False) -> DataFrame:
+    """The same from symbol, bin, elevated_prob, rolling_vol."""
     label = labels.forward_label(base, "elevated_prob", 6)
     rows = labels.causal_features(base).join(label.select("symbol", "bin", "real_label"), ["symbol", "bin"])
     if nulls:
@@ -446,13 +450,18 @@ def dataset(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, sf_dir: str, targets: list[str], nulls: bool = False) -> DataFrame:
-    return stored(models.prepared(dataset(spark, sf_dir, nulls), FEATURES, targets, EMBARGO, F.floor(F.col("pos") / 100_000)))
+    return prepared_rows(dataset(spark, sf_dir, nulls), targets)
+
+
+def prepared_rows(rows: DataFrame, targets: list[str]) -> DataFrame:
+    return stored(models.prepared(rows, FEATURES, targets, EMBARGO, F.floor(F.col("pos") / 100_000)))
 
 
 @query
 def lr_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model_rows(spark, sf_dir, ["real_label"])
-    return models.logistic_oof(rows, models.day_folds(rows, PURGE), 1, len(FEATURES)).drop("label")
+    oof = models.logistic_oof(rows, models.day_folds(rows, PURGE), 1, len(FEATURES)).drop("label")
+    return rounded(oof.withColumn("fold", F.col("fold").cast("long")), "y_pred")
 
 
 def compared(rows: DataFrame, folds: models.Folds, n_labels: int, scheme: str) -> DataFrame:
@@ -462,19 +471,30 @@ def compared(rows: DataFrame, folds: models.Folds, n_labels: int, scheme: str) -
     return scored.groupBy("label").agg(F.lit(scheme).alias("scheme"), *[F.max(F.when(F.col("model") == m, F.col("auc"))).alias(f"auc_{m}") for m in ("real", "dummy")])
 
 
+LEAKS: dict[tuple[str, str], DataFrame] = {}
+
+
+def leakage_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of model and class prior for the real label (0) and the circular nulls, under naive and purged splits; stored for the session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in LEAKS:
+        targets = ["real_label", *[f"null_label_{i}" for i in range(len(SHIFTS))]]
+        rows = model_rows(spark, sf_dir, targets, nulls=True)
+        walk = models.day_folds(rows, PURGE)
+        naive = models.k_folds(rows.count(), len(walk.ids))
+        LEAKS[at] = stored(compared(rows, naive, len(targets), "naive").unionByName(compared(rows, walk, len(targets), "purged")))
+    return LEAKS[at]
+
+
 @query
 def leakage_real_vs_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC of model and class prior for the real label (0) and the circular nulls, under naive and purged splits."""
-    targets = ["real_label", *[f"null_label_{i}" for i in range(len(SHIFTS))]]
-    rows = model_rows(spark, sf_dir, targets, nulls=True)
-    walk = models.day_folds(rows, PURGE)
-    naive = models.k_folds(rows.count(), len(walk.ids))
-    return compared(rows, naive, len(targets), "naive").unionByName(compared(rows, walk, len(targets), "purged"))
+    return rounded(leakage_aucs(spark, sf_dir), "auc_real", "auc_dummy", digits=5)
 
 
 @query
 def leakage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.paired_differences(leakage_real_vs_dummy(spark, sf_dir).where("label > 0"), ["scheme"], "auc_real", "auc_dummy")
+    out = metrics.paired_differences(leakage_aucs(spark, sf_dir).where("label > 0"), ["scheme"], "auc_real", "auc_dummy")
+    return rounded(out, "mean_diff", "std_diff", digits=5)
 
 
 @query
@@ -488,26 +508,46 @@ def scored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(cv.day_table(rows).select("day", "ordinal")), "day")
 
 
+#: Predictions before and after calibration.
+CALIBRATED = ("y_pred_raw", "y_pred_calibrated")
+
+
+def settled(df: DataFrame, digits: int = 6) -> DataFrame:
+    """rounded predictions before and after calibration; shares that lie just between two roundings go up."""
+    return rounded(df.withColumn(CALIBRATED[1], F.col(CALIBRATED[1]) + 1e-11), *CALIBRATED, digits=digits)
+
+
+def renumbered(part: DataFrame) -> DataFrame:
+    """Rows with pos counted anew from 0 in the order they have."""
+    return positions(part.withColumnRenamed("pos", "at"), ["at"], F.floor(F.col("at") / 100_000))
+
+
 @query
 def isotonic_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.isotonic_static(scored_events(spark, sf_dir))
+    return settled(calibrate.isotonic_static(scored_events(spark, sf_dir)))
 
 
 @query
 def isotonic_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored_events(spark, sf_dir).withColumn("elevated_prob", F.pmod(F.col("pos") * 7919, F.lit(1000)) / 1000)
     middle = quantiles(rows, "elevated_prob", [0.5]).first()["q"]
-    return calibrate.isotonic_by_regime(rows, "elevated_prob", middle, lambda part: positions(part.withColumnRenamed("pos", "at"), ["at"], F.floor(F.col("at") / 100_000)))
+    return settled(calibrate.isotonic_by_regime(rows, "elevated_prob", middle, renumbered))
 
 
 @query
 def isotonic_walkforward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.isotonic_walk_forward(scored_days(spark, sf_dir), window=5)
+    return settled(calibrate.isotonic_walk_forward(scored_days(spark, sf_dir), window=5))
+
+
+@query
+def isotonic_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day calibrated on all days before it."""
+    return settled(calibrate.isotonic_walk_forward(scored_days(spark, sf_dir)))
 
 
 @query
 def platt_walkforward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.platt_walk_forward(scored_days(spark, sf_dir))
+    return settled(calibrate.platt_walk_forward(scored_days(spark, sf_dir)))
 
 
 def standardized_series(spark: SparkSession, sf_dir: str) -> DataFrame:

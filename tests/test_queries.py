@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import pytest
 
-from latentia.plans import catalogue, oracles
+from latentia.plans import catalogue, model_oracles as oracles
 from tests.conftest import SMALL
 
 

@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow import csv as pa_csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.functions.expr import micros
 from latentia.session import ship
+from latentia.sources.archives import registered
 
-#: Fixed column order of the headerless archives.
-COLUMNS = ("agg_trade_id", "price", "quantity", "first_trade_id", "last_trade_id", "timestamp", "is_buyer_maker", "is_best_match")
 MICROSECONDS_FROM = 100_000_000_000_000  # stamps this large are in microseconds, smaller ones in milliseconds
 
 
-def zip_ticks(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """symbol (file name), us, seq, price from zip archives with one CSV each, read in blocks.
+def zip_ticks(spark: SparkSession, path: str, strict: bool = False, members: str | None = None) -> DataFrame:
+    """symbol (file name), us, seq, price from zip archives of CSVs, a partition for each member, read in blocks.
 
-    Only id, price and time are converted.  ``strict`` demands exactly one CSV member; else the first member is read.
+    Only id, price and time are converted.  ``strict`` demands exactly one CSV member; else the first member is read, or with
+    members="all" every CSV.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = [n for n in z.namelist() if n.endswith(".csv")] if strict else z.namelist()[:1]
-                    if len(names) != 1:
-                        raise ValueError(f"{name}: expected exactly one CSV member, found {len(names)}")
-                    with z.open(names[0]) as f:
-                        options = pa_csv.ConvertOptions(include_columns=["agg_trade_id", "price", "timestamp"], column_types={"agg_trade_id": pa.int64(), "price": pa.float64(), "timestamp": pa.int64()})
-                        for part in pa_csv.open_csv(f, read_options=pa_csv.ReadOptions(column_names=list(COLUMNS)), convert_options=options):
-                            symbol = pa.array([name.rsplit("/", 1)[-1].removesuffix(".zip")] * part.num_rows)
-                            yield pa.RecordBatch.from_arrays([symbol, part.column("timestamp"), part.column("agg_trade_id"), part.column("price")], names=["symbol", "stamp", "seq", "price"])
-
-    files = ship(spark).read.format("binaryFile").load(path).select("path", "content")
-    raw = files.mapInArrow(run, "symbol string, stamp long, seq long, price double")
+    raw = registered(spark).read.format("zip_ticks").option("members", members or ("strict" if strict else "first")).load(path)
     us = F.when(F.col("stamp") >= MICROSECONDS_FROM, F.col("stamp")).otherwise(F.col("stamp") * 1000)
     return raw.select("symbol", us.alias("us"), "seq", "price")
 
@@ -53,30 +32,22 @@ def csv_ticks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """file, sha256, expected, ok for files and a manifest (file, line): the first word of a line, lower-cased."""
-    files = spark.read.format("binaryFile").load(path)
-    have = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """file, sha256, expected, ok for files and a manifest (file, line): the first word of a line, lower-cased.  Files are hashed in blocks."""
+    have = registered(spark).read.format("zip_report").option("digest", "true").load(path).select("file", "sha256")
     want = manifest.select("file", F.lower(F.split(F.trim("line"), r"\s+")[0]).alias("expected"))
     return have.join(want, "file", "full").withColumn("ok", F.coalesce(F.col("sha256") == F.col("expected"), F.lit(False)))
 
 
-def archive_report(spark: SparkSession, path: str) -> DataFrame:
-    """file, members, status, rows of each archive, counted without unpacking to disk."""
+def archive_report(spark: SparkSession, path: str, total: bool = False) -> DataFrame:
+    """file, members, status, rows of each archive, counted without unpacking to disk; with ``total`` a last row adds them up.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        names = [n for n in z.namelist() if n.endswith(".csv")]
-                        n = sum(1 for _ in z.open(names[0])) if len(names) == 1 else None
-                    rows.append((name.rsplit("/", 1)[-1], len(names), "ok" if len(names) == 1 else "not one CSV", n))
-                except zipfile.BadZipFile:
-                    rows.append((name.rsplit("/", 1)[-1], 0, "invalid", None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["file", "members", "status", "rows"])
-
-    return ship(spark).read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, members int, status string, rows long")
+    The total's status is ok only if every archive's is.
+    """
+    out = registered(spark).read.format("zip_report").load(path).drop("sha256")
+    if not total:
+        return out
+    whole = out.agg(F.lit("total").alias("file"), F.sum("members").cast("int").alias("members"), F.when(F.count_if(F.col("status") != "ok") == 0, "ok").otherwise("incomplete").alias("status"), F.sum("rows").alias("rows"))
+    return out.unionByName(whole)
 
 
 def windows(spark: SparkSession, pattern: str, label: str = r"([^/]+)\.parquet") -> DataFrame:

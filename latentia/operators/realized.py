@@ -127,6 +127,25 @@ def bootstrap_by_symbol(days: DataFrame, column: str = "rv", k: int = 7, draws:
     return days.sparkSession.range(draws).crossJoin(F.broadcast(pools)).mapInPandas(run, "symbol string, draw long, share double")
 
 
+def calm_windows(daily: DataFrame, k: int = 7, percentile: float = 90.0, draws: int = 5000, seed: int = 0) -> DataFrame:
+    """Windows of k days with cutoff, passes_null and selected: the calmest window that passes is the symbol's selected one.
+
+    The cutoff is a percentile of the largest day's share in random groups of k calm days; a window passes whose own share is
+    not above it.  Symbols with fewer than k calm days have no cutoff, so none passes.
+    """
+    null = bootstrap_by_symbol(calm_days(daily), k=k, draws=draws, seed=seed)
+    cutoff = null.groupBy("symbol").agg(F.percentile("share", F.lit(percentile / 100)).alias("cutoff"))
+    out = window_summary(daily, k).join(cutoff, "symbol", "left").withColumn("passes_null", F.coalesce(F.col("largest_share") <= F.col("cutoff"), F.lit(False)))
+    first = out.where("passes_null").groupBy("symbol").agg(F.min_by("start_day", F.struct("total_rv", "start_day")).alias("__first"))
+    return out.join(first, "symbol", "left").withColumn("selected", F.coalesce(F.col("start_day") == F.col("__first"), F.lit(False))).drop("__first")
+
+
+def days_of_selected(windows: DataFrame, daily: DataFrame) -> DataFrame:
+    """symbol, day, rv, rv_share of the days in each symbol's selected window."""
+    w = windows.where("selected").select("symbol", F.explode(F.sequence("start_day", "end_day")).alias("day"), "total_rv")
+    return daily.join(w, ["symbol", "day"]).select("symbol", "day", "rv", (F.col("rv") / F.col("total_rv")).alias("rv_share"))
+
+
 def centred(values: DataFrame, column: str) -> DataFrame:
     """symbol, pos (row number by bin), x: the column less its symbol's mean."""
     mean = values.groupBy("symbol").agg(F.avg(column).alias("mean"))

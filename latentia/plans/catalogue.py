@@ -196,6 +196,19 @@ def bootstrap_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return realized.bootstrap_by_symbol(realized.calm_days(realized.daily_metrics(event_ticks(spark, sf_dir), MINUTES_10)))
 
 
+@query
+def calm_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of 7 days with the cutoff of random groupings, whether it passes, and the one selected for each symbol."""
+    return realized.calm_windows(stored(realized.daily_metrics(event_ticks(spark, sf_dir), MINUTES_10)))
+
+
+@query
+def calm_window_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of each symbol's selected window and their shares of its variance."""
+    daily = stored(realized.daily_metrics(event_ticks(spark, sf_dir), MINUTES_10))
+    return realized.days_of_selected(realized.calm_windows(daily), daily)
+
+
 @query
 def acf_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(realized.acf_at(hourly(spark, sf_dir).where("r IS NOT NULL"), "r", [1, 2, 12, 24]), "acf")

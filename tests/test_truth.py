@@ -174,6 +174,46 @@ def test_streams_equal_batches(spark, tmp_path):
     assert len(bars) >= 7 and bars["price"].tolist() == want.tolist()[: len(bars)]
 
 
+def test_stream_of_modes_equals_the_batch_and_counts_late_rows(spark, tmp_path):
+    """Three files; the second repeats a time and brings two rows from before, which are left out and counted."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"symbol": ["a", "b"] * 45, "at": np.arange(90), "z": rng.normal(size=90).cumsum()})
+    late = pd.DataFrame({"symbol": ["a", "a", "b"], "at": [2, 28, 7], "z": 99.0})
+    parts = [pdf[:30], pd.concat([pdf[30:60], late]), pdf[60:]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    q, r, pi = catalogue.FOUR_Q, [0.1, 0.2, 0.3, 0.4], catalogue.FOUR_PI
+    source = spark.readStream.schema("symbol string, at long, z double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    run = streaming.stream_imm(source, q, r, pi).writeStream.format("memory").queryName("modes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(180)
+    got = spark.table("modes").toPandas().sort_values("at").reset_index(drop=True)
+    assert len(got) == 90
+    for s in ("a", "b"):
+        own, z = got[got.symbol == s], pdf[pdf.symbol == s]["z"].to_numpy()
+        x, p, mu, _ = filters.imm_steps(z, np.array(q), np.array(r), np.array(pi))
+        assert np.allclose(own["x_filt"], x) and np.allclose(own["p_filt"], p) and np.allclose(np.array(own["mode_probs"].tolist()), mu)
+    assert got.groupby("symbol")["n_late"].max().to_dict() == {"a": 2, "b": 1}
+
+
+def test_calm_window_is_the_least_that_passes(spark):
+    rng = np.random.default_rng(3)
+    frames = [pd.DataFrame({"symbol": s, "day": range(n), "rv": rng.gamma(2.0, 1.0, n), "intraday_range": 0.1}) for s, n in (("a", 25), ("b", 12), ("c", 4))]
+    daily = pd.concat(frames)
+    daily.loc[(daily.symbol == "a") & (daily.day == 5), "rv"] = 60.0  # an outlier is no part of the null population
+    df = spark.createDataFrame(daily)
+    windows = realized.calm_windows(df, k=3, percentile=60.0, draws=400).toPandas()
+    shares = realized.bootstrap_by_symbol(realized.calm_days(df), k=3, draws=400).toPandas()
+    assert set(windows["symbol"]) == {"a", "b", "c"} and len(windows) == 23 + 10 + 2
+    for s, own in windows.groupby("symbol"):
+        cutoff = np.percentile(shares[shares.symbol == s]["share"].astype(float), 60)
+        assert np.allclose(own["cutoff"], cutoff) and (own["passes_null"] == (own["largest_share"] <= cutoff)).all()
+        passing = own[own.passes_null].sort_values("total_rv")
+        assert own[own.selected]["start_day"].tolist() == passing["start_day"].head(1).tolist()
+    assert 0 < windows["passes_null"].sum() < len(windows)
+    days = realized.days_of_selected(realized.calm_windows(df, k=3, percentile=60.0, draws=400), df).toPandas()
+    assert np.allclose(days.groupby("symbol")["rv_share"].sum(), 1) and (days.groupby("symbol").size() == 3).all()
+
+
 def test_horizon_solves_its_equations():
     """Sojourns solve (I - Q) s = 1, weights are Q's left eigenvector with sum 1, H is their product."""
     from latentia.functions.expr import horizon

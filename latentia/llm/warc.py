@@ -2,7 +2,7 @@
 
 ``write_warc`` lets Spark's text writer lay out the archives: a record without its closing blank lines is one row, and the
 closing ``\\r\\n\\r\\n`` is the line separator, so every part file is a plain WARC file wherever Spark can write.
-``read_warc`` reads archives (plain or gzip members) and, after a failed check, searches for the next version
+``read_warc`` reads archives (plain, or gzip members of one or more records) and, after a failed check, searches for the next version
 line or member that is valid, goes on there, and logs the bytes between as a quarantined gap.
 
 Defined cases: null html is an empty payload; pages without id are always responses; of repeated ids with equal payloads
@@ -32,7 +32,10 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Most records and about the most bytes of an archive file, which is read whole.
 RECORDS_A_FILE, BYTES_A_FILE = 1500, 64 << 20
+#: Bounds of the payloads' size classes.
+CLASSES = (1 << 16, 1 << 20, 1 << 24)
 MAGIC = b"\x1f\x8b\x08"
+RECORD = b"WARC/1."
 MEMBER_STEP = 1 << 16
 
 
@@ -88,11 +91,24 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat(*pieces).alias("value"))
 
 
+def size_class(size: Column) -> Column:
+    """How many of CLASSES a payload exceeds."""
+    over = [(size > c).cast("int") for c in CLASSES]
+    return sum(over[1:], over[0])
+
+
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Archives under path, of so few records each that the longest payloads together stay below BYTES_A_FILE (one record at least)."""
-    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    most = max(1, min(RECORDS_A_FILE, BYTES_A_FILE // (longest + 2048)))
-    records(with_revisits(pages)).write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+    """Archives under path in a folder for each size class of payloads, of so few records each that about BYTES_A_FILE bytes is the most.
+
+    A few long payloads so have files of their own and do not thin out all others'; a class's files hold a sixteenth of that at
+    least but for the last of a task.
+    """
+    marked = with_revisits(pages).withColumn("class", size_class(F.col("payload_bytes")))
+    held = pages.agg(F.max(F.octet_length("html")).alias("longest"), F.collect_set(size_class(F.coalesce(F.octet_length("html"), F.lit(0)))).alias("classes")).first()
+    for c in sorted(held["classes"]) or [0]:
+        bound = CLASSES[c] if c < len(CLASSES) else held["longest"]
+        most = max(1, min(RECORDS_A_FILE, BYTES_A_FILE // (bound + 2048)))
+        records(marked.where(F.col("class") == c)).write.option("lineSep", END).option("maxRecordsPerFile", most).text(f"{path}/{c}")
 
 
 class Found(NamedTuple):
@@ -109,7 +125,7 @@ class Broken(ValueError):
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header, block and the byte after a record that must begin at ``at``."""
-    if data[at : at + 7] != b"WARC/1.":
+    if not data.startswith(RECORD, at):
         raise Broken("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
@@ -129,8 +145,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return header, block, end + 4
 
 
-def parse_member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The same for a gzip member."""
+def inflated(data: bytes, at: int) -> tuple[bytes, int]:
+    """What a gzip member that must begin at ``at`` holds, and the byte after it."""
     z, parts, view, read = zlib.decompressobj(31), [], memoryview(data), at
     try:
         while not z.eof and read < len(data):
@@ -140,23 +156,32 @@ def parse_member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Broken("member damaged") from e
     if not z.eof:
         raise Broken("member cut off")
-    plain = b"".join(parts)
-    header, block, end = parse_record(plain, 0)
-    if end != len(plain):
-        raise Broken("bytes after the record in its member")
-    return header, block, read - len(z.unused_data)
+    return b"".join(parts), read - len(z.unused_data)
+
+
+def in_member(data: bytes, at: int) -> tuple[list[Found], int]:
+    """Records and gaps of a gzip member, which may hold several, each with the member's place; without a record it is broken."""
+    plain, end = inflated(data, at)
+    found = list(salvage(plain, (RECORD,)))
+    if not any(f.header for f in found):
+        raise Broken(found[0].reason if found else "empty member")
+    return [f._replace(offset=at, length=end - at, reason=f.reason and f"in its member: {f.reason}") for f in found], end
 
 
-def salvage(data: bytes) -> Iterator[Found]:
+def salvage(data: bytes, marks: tuple[bytes, ...] = (MAGIC, RECORD)) -> Iterator[Found]:
     """Records in order; what lies between valid ones comes as one gap with its first failure.
 
     Each place is read by the mark that stands there, so damage never decides the format of what follows.
     """
     at, gap, reason = 0, None, ""
-    ahead = {MAGIC: -1, b"WARC/1.": -1}  # next place of each mark, the length where none is left
+    ahead = {mark: -1 for mark in marks}  # next place of each mark, the length where none is left
     while at < len(data):
         try:
-            header, block, end = (parse_member if data.startswith(MAGIC, at) else parse_record)(data, at)
+            if MAGIC in marks and data.startswith(MAGIC, at):
+                found, end = in_member(data, at)
+            else:
+                header, block, end = parse_record(data, at)
+                found = [Found(at, end - at, header, block, "")]
         except Broken as e:
             if gap is None:
                 gap, reason = at, str(e)
@@ -169,7 +194,7 @@ def salvage(data: bytes) -> Iterator[Found]:
         if gap is not None:
             yield Found(gap, at - gap, None, b"", reason)
             gap = None
-        yield Found(at, end - at, header, block, "")
+        yield from found
         at = end
     if gap is not None:
         yield Found(gap, len(data) - gap, None, b"", reason)
@@ -214,7 +239,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
     try:
         write_warc(pages, path)
-        found = cut(read_warc(spark.read.format("binaryFile").load(path), payloads=False).drop("payload"))
+        found = cut(read_warc(spark.read.format("binaryFile").load(f"{path}/*"), payloads=False).drop("payload"))
     finally:
         drop_folder(spark, path)
     wrote, seen = pages.count(), found.agg(F.count_if(F.col("gap").isNull()).alias("n"), F.count("gap").alias("gaps")).first()

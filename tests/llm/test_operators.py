@@ -291,7 +291,7 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if head == i else ("revisit", head))
     warc.write_warc(pages.coalesce(1), str(tmp_path / "w"))
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").rglob("part-*")))
     whole = list(warc.salvage(data))
     assert len(whole) == len(html) and all(f.header for f in whole)
     hurt = bytearray(data)
@@ -320,6 +320,36 @@ def test_salvage_after_a_long_damaged_first_record(spark, monkeypatch):
         warc.round_trip(spark.createDataFrame([(1, "http://x", "a", None)], "page_id long, url string, html string, digest string")).count()
 
 
+def test_members_of_several_records(spark):
+    """Three records in one gzip member; a damaged one between two valid ones is a gap within its member; gzip in a payload stays payload."""
+    def record(body: bytes) -> bytes:
+        digest = base64.b32encode(hashlib.sha1(body).digest())
+        return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (digest, len(body), body)
+
+    three = gzip.compress(record(b"a") + record(gzip.compress(record(b"inner"))) + record(b"c"))
+    hurt = gzip.compress(record(b"d") + record(b"eee").replace(b"eee", b"eXe") + record(b"f"))
+    data = three + hurt + b"noise" + record(b"g")
+    found = list(warc.salvage(data))
+    assert [f.block for f in found if f.header] == [b"a", gzip.compress(record(b"inner")), b"c", b"d", b"f", b"g"]
+    assert [(f.offset, f.length, f.reason) for f in found if f.header is None] == [(len(three), len(hurt), "in its member: block digest"), (len(three) + len(hurt), 5, "no version line")]
+    table = warc.read_warc(spark.createDataFrame([("x.warc.gz", data)], "path string, content binary"))
+    log = table.where("gap IS NOT NULL").select("path", "offset", "length", "gap").collect()
+    assert [tuple(r) for r in log] == [("x.warc.gz", len(three), len(hurt), "in its member: block digest"), ("x.warc.gz", len(three) + len(hurt), 5, "no version line")]
+    assert table.where("gap IS NULL").count() == 6
+
+
+def test_one_long_page_does_not_thin_out_the_files(spark, tmp_path):
+    """2,000 short pages and one of 20 MB, null and repeated ids: the short ones share files."""
+    long = "0123456789abcdef" * (20 << 16)
+    rows = [(None if i % 100 == 0 else i // 2, None, f"<p>{i}</p>") for i in range(2000)] + [(5000, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    warc.write_warc(pages, str(tmp_path / "w"))
+    files = list((tmp_path / "w").rglob("part-*"))
+    assert len(files) <= 4 + 4 and sum(f.stat().st_size > len(long) for f in files) == 1
+    got = warc.round_trip(pages)
+    assert got.count() == 2001 and got.where("payload_bytes = 20971520").first()["page_id"] == 5000 and got.where("page_id IS NULL AND record_type = 'response'").count() == 20
+
+
 def test_top_k_equals_brute_force(spark, duck):
     got = queries.op9_pivot_topk(spark, SMALL).toPandas().sort_values(["query_id", "rank"])
     want = duck.execute(queries.ORACLES["op9_pivot_topk"]).df().sort_values(["query_id", "rank"])

@@ -45,9 +45,12 @@ IBAN = r"\b(?=[A-Za-z]{2}[0-9]{2})(?i:" + "|".join(c[:2] for c in COUNTRIES) + r
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.]*[0-9])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
+PHONE = r"(?<![0-9-])(?:\+[0-9]{1,3}[ .-]?|1[.-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
 ABROAD = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,14})){1,6}(?![0-9])"
 CARD = r"(?<![0-9])[0-9]{3}(?:[ -]?[0-9]){10,16}(?![0-9])"
+#: Country codes of one and of two digits; all others have three.
+CODE_1 = r"^\+[17]"
+CODE_2 = r"^\+(?:20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98)"
 #: Kind by pattern, in the order they are tried.
 PATTERNS = (("email", EMAIL), ("iban", IBAN), ("ip", IPV4), ("date", DATE), ("ssn", SSN), ("phone", PHONE), ("abroad", ABROAD), ("card", CARD))
 #: Kinds whose patterns reach over others; within their failed candidates the other kinds are searched.
@@ -193,12 +196,12 @@ class Iban:
 
 
 class Abroad:
-    """All digits after the country code change: its group where one ends within three digits, else the first two digits."""
+    """All digits after the country code change, so a number keeps its link however it is grouped."""
 
     @staticmethod
     def code(m: Column) -> Column:
-        group = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?![0-9])", 1))
-        return F.when(group > 0, group).otherwise(2)
+        """Digits of the country code, which its first digits decide."""
+        return F.when(m.rlike(CODE_1), 1).when(m.rlike(CODE_2), 2).otherwise(3)
 
     @staticmethod
     def valid(m: Column) -> Column:

@@ -10,7 +10,7 @@ import time
 from latentia.plans.catalogue import QUERIES
 from latentia.session import session
 
-HEADLINE = ["daily_realized_variance", "bars_gapfill", "roll_noise", "roll_by_state", "signature", "bipower_daily", "naive_vol_rule", "kalman_filter", "imm_filter", "circular_null", "walkforward_folds", "auc", "reliability_bins", "cost_curve", "platt_walkforward", "lr_oof"]
+HEADLINE = ["daily_realized_variance", "bars_gapfill", "roll_noise", "roll_by_state", "signature", "bipower_daily", "naive_vol_rule", "kalman_filter", "imm_filter", "circular_null", "walkforward_folds", "auc", "reliability_bins", "cost_curve", "platt_walkforward", "lr_oof", "imm_regimes", "mlp_compare"]
 
 
 def main() -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -19,10 +18,6 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, CAST({ts} AS TIMESTAMP_NTZ))")
 
 
-def timestamp(us: str) -> Column:
-    return F.expr(f"timestampadd(MICROSECOND, {us}, {EPOCH})")
-
-
 def moment(text: str) -> Column:
     """Microseconds of a literal date or time."""
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, CAST('{text}' AS TIMESTAMP_NTZ))")
@@ -51,10 +46,6 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def normal_density(y: Column, variance: Column) -> Column:
-    return F.exp(-y * y / (2 * variance)) / F.sqrt(2 * F.pi() * variance)
-
-
 def day_of(us: Column) -> Column:
     return F.floor(us / DAY).cast("long")
 
@@ -101,10 +92,6 @@ def normal_gate(n: int) -> float:
     return NormalDist().inv_cdf(1 - 1 / n)
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def horizon(q: list[list[float]]) -> tuple[float, list[float], list[float]]:
     """Expected sojourn of a transient block: (H, sojourn from each state, quasi-stationary weights)."""
     import numpy as np

@@ -1,16 +1,18 @@
 """Sequential filters: local-level Kalman and interacting multiple models.
 
-Steps depend on the step before, so a series is filtered by one task (grouped map over Arrow); series are
-the parallel axis, and the parameters travel with the rows.  ``kalman_steps`` and ``imm_steps`` take and give back their
+The Kalman filter is a scan over chunks of a series; the interacting filter takes a series through one task, batch by batch.
+``kalman_steps`` and ``imm_steps`` take and give back their
 state, which is what the streaming form keeps between batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,20 +126,32 @@ def imm_steps(z: np.ndarray, q: np.ndarray, r: np.ndarray, pi: np.ndarray, state
 def imm(series: DataFrame, parameters: DataFrame, value: str = "z", order: str = "bin") -> DataFrame:
     """symbol, order, x_filt, p_filt, mode_probs; parameters: symbol, q and r (array<double>), pi (array<array<double>>).
 
-    The recursion is not associative, so a symbol is one task; its parameters come once, not with each row.  Symbols without
-    parameters have no result.
+    The recursion is not associative, so a symbol's bars pass through one task, in order and batch by batch: it holds a
+    batch and the state of the modes, however long the series is.  A symbol's parameters come once, as a row before its first bar.
+    Symbols without parameters have no result; symbols are not null.
     """
-
-    def run(part: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if not len(part) or not len(given):
-            return pd.DataFrame(columns=["symbol", order, "x_filt", "p_filt", "mode_probs"])
-        part, own = part.sort_values("at"), given.iloc[0]
-        x, p, mu, _ = imm_steps(part["z"].to_numpy(float), np.array(own["q"]), np.array(own["r"]), np.array([list(row) for row in own["pi"]]))
-        return pd.DataFrame({"symbol": part["symbol"], order: part["at"], "x_filt": x, "p_filt": p, "mode_probs": list(mu)})
-
-    rows = series.select("symbol", F.col(order).alias("at"), F.col(value).alias("z"))
-    given = parameters.select(F.col("symbol").alias("of"), "q", "r", "pi")
-    return rows.groupBy("symbol").cogroup(given.groupBy("of")).applyInPandas(run, f"symbol string, {order} long, x_filt double, p_filt double, mode_probs array<double>")
+    out = pa.schema([("symbol", pa.string()), (order, pa.int64()), ("x_filt", pa.float64()), ("p_filt", pa.float64()), ("mode_probs", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, given, state = None, None, None
+        for batch in batches:
+            names, first = batch.column("symbol").to_pylist(), batch.column("first").to_pylist()
+            at, z = batch.column("at").to_numpy(zero_copy_only=False), batch.column("z").to_numpy(zero_copy_only=False)
+            cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1] or first[i] != first[i - 1]]
+            for i, end in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                if names[i] != symbol:
+                    symbol, given, state = names[i], None, None
+                if first[i] == 0:
+                    given = [np.array(batch.column(c)[i].as_py(), float) for c in ("q", "r", "pi")]
+                elif given is not None:
+                    x, p, mu, state = imm_steps(z[i:end], *given, state)
+                    yield pa.RecordBatch.from_arrays([pa.array([symbol] * (end - i)), pa.array(at[i:end].astype(np.int64)), pa.array(x), pa.array(p), pa.array(list(mu), pa.list_(pa.float64()))], schema=out)
+
+    none = [F.lit(None).cast("array<double>").alias(c) for c in ("q", "r")]
+    rows = series.select("symbol", F.lit(1).alias("first"), F.col(order).alias("at"), F.col(value).cast("double").alias("z"), *none, F.lit(None).cast("array<array<double>>").alias("pi"))
+    heads = parameters.select("symbol", F.lit(0).alias("first"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("z"), "q", "r", "pi")
+    dealt = rows.unionByName(heads).repartition("symbol").sortWithinPartitions("symbol", "first", "at")
+    return dealt.mapInArrow(run, f"symbol string, {order} long, x_filt double, p_filt double, mode_probs array<double>")
 
 
 def elevated(probabilities: Column, states: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentia.functions.expr import bin_of, day_of, not_negative
+from latentia.functions.expr import bin_of, day_of, not_negative, require
 from latentia.operators.order import with_neighbour
 
 
@@ -17,10 +17,16 @@ def return_pairs(ticks: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     return with_neighbour(one, ["r", "prev_us", *[f"prev_{c}" for c in carried]], order, chunk)
 
 
-def roll(pairs: DataFrame, by: list[str], where: Column | None = None, least: int = 2) -> DataFrame:
+def checked(ticks: DataFrame) -> DataFrame:
+    """ticks; a price that is null or not positive stops the query with an error."""
+    ok = F.coalesce(F.col("price") > 0, F.lit(False))
+    return ticks.withColumn("price", require(ok, "prices must be positive", F.col("price")))
+
+
+def roll(pairs: DataFrame, by: list[str], where: Column | None = None, least: int = 2, strict: bool = False) -> DataFrame:
     """-cov(r_t, r_t-1) with n - 1, each side centred by itself; r_noise is null under ``least`` pairs.
 
-    status: too_few, not_positive (the covariance is not negative) or ok.
+    status: too_few, not_positive (the covariance is not negative) or ok; with ``strict`` any but ok stops the query with an error.
     """
     used = pairs.where(F.col("r").isNotNull() & F.col("prev_r").isNotNull())
     used = used.where(where) if where is not None else used
@@ -28,6 +34,7 @@ def roll(pairs: DataFrame, by: list[str], where: Column | None = None, least: in
     out = used.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), cov.alias("cov"))
     value = F.when(F.col("n_pairs") >= least, F.col("cov"))
     status = F.when(F.col("n_pairs") < least, "too_few").when(F.col("cov") <= 0, "not_positive").otherwise("ok")
+    value = require(status == "ok", "too few pairs, or a covariance that is not negative", value) if strict else value
     return out.select(*by, "n_pairs", value.alias("r_noise"), status.alias("status"))
 
 

@@ -480,7 +480,8 @@ def lr_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compared(rows: DataFrame, folds: models.Folds, n_labels: int, scheme: str) -> DataFrame:
     """label, scheme, auc_real, auc_dummy."""
     real, dummy = (f(rows, folds, n_labels, len(FEATURES)).withColumn("model", F.lit(name)) for name, f in (("real", models.logistic_oof), ("dummy", models.prior_oof)))
-    scored = metrics.auc(real.unionByName(dummy), ["label", "model"])
+    equal = real.unionByName(dummy).withColumn("y_pred", F.round("y_pred", 9))  # equal forecasts tie whatever batch they were made in
+    scored = metrics.auc(equal, ["label", "model"])
     return scored.groupBy("label").agg(F.lit(scheme).alias("scheme"), *[F.max(F.when(F.col("model") == m, F.col("auc"))).alias(f"auc_{m}") for m in ("real", "dummy")])
 
 
@@ -501,13 +502,13 @@ def leakage_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def leakage_real_vs_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(leakage_aucs(spark, sf_dir), "auc_real", "auc_dummy", digits=5)
+    return rounded(leakage_aucs(spark, sf_dir), "auc_real", "auc_dummy", digits=4)
 
 
 @query
 def leakage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.paired_differences(leakage_aucs(spark, sf_dir).where("label > 0"), ["scheme"], "auc_real", "auc_dummy")
-    return rounded(out, "mean_diff", "std_diff", digits=5)
+    return rounded(out, "mean_diff", "std_diff", digits=4)
 
 
 @query

@@ -141,15 +141,15 @@ def leakage(select: str) -> str:
       scaling AS (SELECT scheme, fold, {", ".join(f"avg(x{i}) AS m{i}, CASE WHEN stddev_pop(x{i}) > 0 THEN stddev_pop(x{i}) ELSE 1 END AS s{i}" for i in x)} FROM members JOIN data USING (pos) GROUP BY ALL),
       groups AS (SELECT scheme, fold, label, fold * 1000 + label * 2 + CAST(scheme = 'naive' AS INTEGER) AS id, avg(y) AS prior, min(y) < max(y) AS usable FROM members JOIN targets USING (pos) GROUP BY ALL),
       train AS (SELECT id AS fold, targets.y, {", ".join(f"(x{i} - m{i}) / s{i} AS z{i}" for i in x)} FROM members JOIN data USING (pos) JOIN targets USING (pos) JOIN groups USING (scheme, fold, label) JOIN scaling USING (scheme, fold) WHERE usable), {newton(4, 1.0)},
-      made AS (SELECT scheme, label, targets.y, prior AS dummy, CASE WHEN usable THEN 1 / (1 + exp(-(w0 + {" + ".join(f"w{i} * (x{i} - m{i}) / s{i}" for i in x)}))) END AS model
+      made AS (SELECT scheme, label, targets.y, round(prior, 9) AS dummy, CASE WHEN usable THEN round(1 / (1 + exp(-(w0 + {" + ".join(f"w{i} * (x{i} - m{i}) / s{i}" for i in x)}))), 9) END AS model
         FROM tested JOIN data USING (pos) JOIN targets USING (pos) JOIN groups USING (scheme, fold, label) JOIN scaling USING (scheme, fold) LEFT JOIN fit ON fit.fold = groups.id AND it = {STEPS}),
       of_real AS (SELECT scheme, label, {auc('model')} AS auc_real FROM (SELECT *, {rank('model')} FROM made WHERE model IS NOT NULL) GROUP BY ALL),
       of_dummy AS (SELECT scheme, label, {auc('dummy')} AS auc_dummy FROM (SELECT *, {rank('dummy')} FROM made) GROUP BY ALL),
       aucs AS (SELECT * FROM of_real JOIN of_dummy USING (scheme, label)) {select}"""
 
 
-SQL["leakage_real_vs_dummy"] = leakage(f"SELECT CAST(label AS INTEGER) AS label, scheme, {r('auc_real', 'auc_real', 5)}, {r('auc_dummy', 'auc_dummy', 5)} FROM aucs")
-SQL["leakage_summary"] = leakage(f"SELECT scheme, count(*) AS n, {r('avg(auc_real - auc_dummy)', 'mean_diff', 5)}, {r('stddev_samp(auc_real - auc_dummy)', 'std_diff', 5)}, count(*) FILTER (auc_real > auc_dummy) AS n_positive FROM aucs WHERE label > 0 GROUP BY scheme")
+SQL["leakage_real_vs_dummy"] = leakage(f"SELECT CAST(label AS INTEGER) AS label, scheme, {r('auc_real', 'auc_real', 4)}, {r('auc_dummy', 'auc_dummy', 4)} FROM aucs")
+SQL["leakage_summary"] = leakage(f"SELECT scheme, count(*) AS n, {r('avg(auc_real - auc_dummy)', 'mean_diff', 4)}, {r('stddev_samp(auc_real - auc_dummy)', 'std_diff', 4)}, count(*) FILTER (auc_real > auc_dummy) AS n_positive FROM aucs WHERE label > 0 GROUP BY scheme")
 SQL["isotonic_static"] = static(ROWS)
 SQL["isotonic_regime"] = by_regime(f"{ROWS.replace('rows AS', 'plain AS')}, rows AS (SELECT *, (pos * 7919 % 1000) / 1000.0 AS elevated_prob FROM plain)", "elevated_prob")
 SQL["isotonic_walkforward"] = walk_forward(ROWS, 5)

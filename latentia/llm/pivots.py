@@ -1,9 +1,12 @@
 """Operator 9: exact top-k search by pivot-table elimination.
 
-Every vector gets a table row of distances to many pivots.  By the triangle inequality the largest
-|d(q, p) - d(c, p)| over the pivots is a lower bound of d(q, c), and with the norms that bounds the
-inner product from above.  A query evaluates candidates in bound order and stops when the next bound
-is below its k-th best score; ties are evaluated, so the result is exact.
+Every vector gets a table row of distances to many pivots.  The distances place it exactly in the pivots' span and
+give the length of the rest, so the smallest distance (the largest inner product) that two rows of the table allow
+is known: the products of the places plus that of the rests.  Seven pivots for eight dimensions.
+
+An eighth of the cells is searched first, in bound order until exact stopping; that gives each query a score that
+its k-th best has at least, its floor.  In the other cells only candidates whose bound reaches the floor are looked at,
+again in bound order until exact stopping.  Ties are evaluated, so the result is exact.
 
 Queries and candidates meet in a grid of blocks of bounded size (an equi-join on block numbers);
 only k rows per query and block leave a task.
@@ -24,11 +27,14 @@ from pyspark.sql import Window
 
 from latentia.llm.common import cut
 
-N_PIVOTS = 32
-CELL_ROWS = 4096
-QUERY_ROWS = 2048
-LEAST_CELLS = 48
-CHUNK = 64
+#: Pivots by dimensions, and the lengths of vectors that have pivots of their own.
+PIVOT_SHARE, PIVOT_DIMS = 0.875, 16
+#: Components of a block of candidates and of queries; queries bounded together.
+CELL_SIZE, QUERY_SIZE, SLAB = 1 << 21, 1 << 20, 256
+LEAST_CELLS, FIRST_CELLS = 48, 8
+CHUNK = 8
+#: Singular values below this share of the greatest are left out of the span; the pad covers rounding.
+LEAST_SINGULAR, PAD = 1e-4, 1e-8
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -42,12 +48,12 @@ def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -
     )
 
 
-def choose_pivots(points: DataFrame, n: int = N_PIVOTS) -> dict[int, np.ndarray]:
-    """n pivots for each of the (at most 16) most frequent lengths; other lengths have the origin alone."""
-    dims = [r["dim"] for r in points.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(16).collect()]
+def choose_pivots(points: DataFrame, share: float = PIVOT_SHARE) -> dict[int, np.ndarray]:
+    """Pivots for each of the PIVOT_DIMS most frequent lengths; vectors of other lengths have the origin alone."""
+    dims = [r["dim"] for r in points.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(PIVOT_DIMS).collect()]
     out = {}
     for d in dims:
-        rows = points.where(F.col("dim") == d).orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(n).collect()
+        rows = points.where(F.col("dim") == d).orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(int(share * d)).collect()
         out[d] = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), d)
     return out
 
@@ -65,6 +71,20 @@ def pivot_table(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.hstack([np.sqrt(np.maximum(d2, 0)), np.sqrt(sq)[:, None]])
 
 
+def span(pivots: np.ndarray) -> np.ndarray:
+    """Matrix that takes products with the pivots to coordinates in their span."""
+    u, size, _ = np.linalg.svd(pivots, full_matrices=False)
+    keep = size > LEAST_SINGULAR * size.max(initial=0)
+    return u[:, keep] / size[keep]
+
+
+def places(table: np.ndarray, pivots: np.ndarray, to_span: np.ndarray) -> np.ndarray:
+    """Coordinates in the pivots' span and, last, the length of the rest (never too short), from rows of the pivot table alone."""
+    sq = table[:, -1] ** 2
+    at = ((sq[:, None] + (pivots * pivots).sum(1) - table[:, :-1] ** 2) / 2) @ to_span
+    return np.column_stack([at, np.sqrt(np.maximum(sq - (at * at).sum(1), 0) + PAD * sq)])
+
+
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of rows: by float64 where every partial sum fits, else by int64."""
     if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
@@ -72,58 +92,69 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def eliminate(qid: np.ndarray, q: np.ndarray, crow: np.ndarray, cid: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The k best (query row, candidate id, score) of one block pair; qid: rows of the queries, crow and cid: rows and ids of the candidates."""
-    qf, cf = q.astype(np.float64), c.astype(np.float64)
+def eliminate(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, crow: np.ndarray, cid: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query rows, candidate ids and scores of the k best of one block pair that reach the query's floor, and how many products were taken.
+
+    qid: rows of the queries, crow and cid: rows and ids of the candidates.
+    """
+    qf, cf, to_span = q.astype(np.float64), c.astype(np.float64), span(pivots)
     tq, tc = pivot_table(qf, pivots), pivot_table(cf, pivots)
-    lower = np.abs(tq[:, :1] - tc[:, 0][None, :])
-    for p in range(1, tq.shape[1]):
-        np.maximum(lower, np.abs(tq[:, p : p + 1] - tc[:, p][None, :]), out=lower)
-    lower = np.maximum(lower - 1e-6 * (1 + lower), 0)
-    upper = ((qf * qf).sum(1)[:, None] + (cf * cf).sum(1)[None, :] - lower * lower) / 2
-    upper += 1e-9 * np.abs(upper) + 1e-3
-    out = []
-    for i in range(len(qid)):
-        order = np.argsort(-upper[i], kind="stable")
-        order = order[crow[order] != qid[i]]
-        bound, at, step = upper[i][order], 0, CHUNK
-        ids = scores = np.empty(0, np.int64)
-        while at < len(order):
-            if len(scores) >= k and bound[at] < scores[k - 1]:
-                break
-            part = order[at : at + step]
-            ids = np.concatenate([ids, cid[part]])
-            scores = np.concatenate([scores, inner(q[i : i + 1], c[part])[0]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            at, step = at + step, step * 4
-        out.append((np.full(len(ids), qid[i]), ids, scores))
-    return out
+    pq, pc, longest = places(tq, pivots, to_span), places(tc, pivots, to_span), tc[:, -1].max(initial=0)
+    out, taken = [(np.empty(0, np.int64),) * 3], 0
+    for s in range(0, len(qid), SLAB):
+        upper = pq[s : s + SLAB] @ pc.T
+        upper += PAD * tq[s : s + SLAB, -1:] * longest + 1e-3
+        for i, bounds in enumerate(upper, s):
+            near = np.flatnonzero((bounds >= floor[i]) & (crow != qid[i]))
+            near = near[np.argsort(-bounds[near], kind="stable")]
+            at, step = 0, CHUNK
+            ids = scores = np.empty(0, np.int64)
+            while at < len(near) and not (len(scores) >= k and bounds[near[at]] < scores[k - 1]):
+                part = near[at : at + step]
+                ids = np.concatenate([ids, cid[part]])
+                scores = np.concatenate([scores, inner(q[i : i + 1], c[part])[0]])
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores, taken = ids[best], scores[best], taken + len(part)
+                at, step = at + step, step * 2
+            good = scores >= floor[i]
+            out.append((np.full(good.sum(), qid[i]), ids[good], scores[good]))
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), taken
 
 
 def top_k(queries: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score; queries and points are stored tables (row_id, id, dim, v) of quantized()."""
     pivots = choose_pivots(points)
-    n, nq = points.count(), queries.count()
-    cells = max(LEAST_CELLS, -(-n // CELL_ROWS))
-    rows = -(-nq // QUERY_ROWS) or 1
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("dim"), F.lit(1)).alias("dim")).first()
+    dim = max(1, size["dim"])
+    cells = max(LEAST_CELLS, -(-size["n"] * dim // CELL_SIZE))
+    rows = -(-queries.count() * dim // QUERY_SIZE) or 1
     cell, row = F.pmod(F.xxhash64(F.lit(1), "row_id"), F.lit(cells)), F.pmod(F.xxhash64(F.lit(2), "row_id"), F.lit(rows))
-    left = queries.withColumn("row", row).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
     right = points.withColumn("cell", cell).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)).cast("array<bigint>")))
+    keys, best = ["dim", "row", "cell"], Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = []
+        found = (np.empty(0, np.int64),) * 3
         if a.num_rows and b.num_rows:
             dim = a.column("dim")[0].as_py()
             p = pivots.get(dim, np.zeros((0, dim)))
-            found = eliminate(np.asarray(a.column("row_id")), matrix(a, "v", dim), np.asarray(b.column("row_id")), np.asarray(b.column("id")), matrix(b, "v", dim), p, k)
-        cols = [np.concatenate([f[j] for f in found]) if found else np.empty(0, np.int64) for j in range(3)]
-        return pa.table({"query": cols[0], "vec_id": cols[1], "score": cols[2]}, schema=pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
-
-    keys = ["dim", "row", "cell"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, vec_id long, score long")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            floor = np.asarray(a.column("floor").fill_null(np.iinfo(np.int64).min))
+            found = eliminate(np.asarray(a.column("row_id")), matrix(a, "v", dim), floor, np.asarray(b.column("row_id")), np.asarray(b.column("id")), matrix(b, "v", dim), p, k)
+        return pa.table(dict(zip(["query", "vec_id", "score"], found[:3], strict=True)))
+
+    def met(asking: DataFrame, low: int, high: int) -> DataFrame:
+        """The k best of each query (with a floor, or null) in the cells from low to below high."""
+        spread = F.explode(F.sequence(F.lit(low), F.lit(high - 1)).cast("array<bigint>"))
+        left = asking.withColumn("row", row).withColumn("cell", spread)
+        left = left.select(*(F.col(c).alias(c) for c in left.columns))  # queries come from points: columns of their own
+        there = right.where((F.col("cell") >= low) & (F.col("cell") < high))
+        found = left.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(meet, "query long, vec_id long, score long")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    first = max(1, cells // FIRST_CELLS)
+    begun = cut(met(queries.withColumn("floor", F.lit(None).cast("long")), 0, first))
+    floors = begun.where(F.col("rank") == k).select(F.col("query").alias("row_id"), F.col("score").alias("floor"))
+    rest = met(queries.join(floors, "row_id", "left"), first, cells)
+    top = begun.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return top.join(queries.select(F.col("row_id").alias("query"), F.col("id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
 
 

@@ -402,6 +402,25 @@ def test_top_k_equals_brute_force(spark, duck):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pivots.search(twice).collect()) == [(0, 1, 0, 131072), (0, 1, 0, 131072), (0, 2, 1, 65536), (0, 2, 1, 131072)]
 
 
+@pytest.mark.parametrize("shape", ["sphere", "flat", "repeated"])
+def test_pivots_eliminate_and_stay_exact(shape):
+    """One block against brute force; pivots that repeat or span all there is; a floor leaves fewer than half of the products."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64)) if shape != "flat" else rng.normal(size=(3000, 6)) @ rng.normal(size=(6, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    if shape == "repeated":
+        x[100:200] = x[:100]
+    rows, asking = np.arange(3000), np.arange(0, 3000, 50)
+    p = x[rng.choice(200, 56, replace=False)].astype(float)
+    products = x[asking] @ x.T
+    products[np.arange(len(asking)), asking] = -(2**62)
+    want = [[(int(c), int(s[c])) for c in np.lexsort((rows, -s))[:5]] for s in products]
+    for floor in (np.full(len(asking), np.iinfo(np.int64).min), np.array([w[4][1] for w in want])):
+        q, ids, scores, taken = pivots.eliminate(asking, x[asking], floor, rows, rows, x, p, 5)
+        assert [list(zip(ids[q == i].tolist(), scores[q == i].tolist(), strict=True)) for i in asking] == want
+        assert taken < 0.5 * products.size
+
+
 def test_packing_covers_every_token_once(docs, odd):
     from public_tokenizers import path
     from tokenizers import Tokenizer

@@ -14,7 +14,9 @@ copy of the shared parameters by noise-contrastive estimation on its shard, and
 scores do not depend on how the input is partitioned (up to the order of sums).
 
 Words within cells stay distributed: every token outside the frequent words goes, packed with its context, to the task of its cell,
-which counts the cell's types, trains their vectors with noise from their counts, and scores the tokens.  The driver
+which counts the cell's types, trains their vectors with noise from their counts, and scores the tokens.  A cell of more than PACK
+training tokens is dealt by document to parts of about PACK; each part gets the whole cell's types and counts, trains vectors of its own
+and scores its documents by them, so no task holds a hot word's tokens and each document's probabilities sum to 1.  The driver
 holds classes and cells (a 256th of the types), never the types.
 
 Defined cases: a null or empty text is its end token; a null id counts as training; an empty table gives an empty
@@ -28,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +46,6 @@ NEAR = 2  # noise samples of a token within its group or cell
 SHARD = 4_000_000  # training tokens of a shard
 PACK = 400_000  # tokens of a task of cells
 HOLD = 500_000  # tokens a task holds before it packs them
-HEAD = 1 << 19
 BYTES = 1 << 20
 #: Parameters averaged together, and the tasks that average them.
 BLOCK, MEAN_TASKS = 4096, 16
@@ -52,6 +54,34 @@ CELL_BATCH, CELL_NOISE = 128, 12
 SEED = 3
 
 
+def parts_of_cells(cell_counts: np.ndarray, pack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of each cell, and the number of its first part."""
+    parts = np.maximum(1, -(-cell_counts // pack))
+    return parts, np.cumsum(parts) - parts
+
+
+def hot_types(counts: DataFrame, corpus: Corpus, pack: int, tasks: int) -> DataFrame:
+    """task, uid, held (both null), pack (hashes, then counts) and doc (null): the types of cells of several parts, for each part."""
+    shared = counts.sparkSession.sparkContext.broadcast(corpus)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus = shared.value
+        parts, first = parts_of_cells(corpus.cell_counts, pack)
+        for batch in batches:
+            h, c = batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy()
+            cell = corpus.cells(h)
+            hot = np.flatnonzero((parts[cell] > 1) & (corpus.classes(h) > len(corpus.words)))
+            for at in np.unique(cell[hot]).tolist():
+                own = hot[cell[hot] == at]
+                data = h[own].tobytes() + c[own].tobytes()
+                for s in range(0, int(parts[at]), 1000):
+                    task = (first[at] + np.arange(s, min(s + 1000, parts[at]))) % tasks
+                    yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array([data] * len(task), pa.binary())], names=["task", "pack"])
+
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("uid", "long"), ("held", "boolean"))]
+    return counts.select("h", "c").mapInArrow(run, "task int, pack binary").select("task", *nothing, "pack", F.lit(None).cast(f"struct<{DOC}>").alias("doc"))
+
+
 def with_flags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text (binary), held_out: crc32 of the id as text leaves remainder 1 by 5."""
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
@@ -133,21 +163,11 @@ class Corpus(NamedTuple):
         return np.where(self.words[at] == hashes, at + 1, group)
 
 
-def corpus_statistics(counts: DataFrame, texts: int, frequent: int = FREQUENT, head: int = HEAD) -> Corpus:
+def corpus_statistics(counts: DataFrame, texts: int, frequent: int = FREQUENT) -> Corpus:
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
-    step = F.floor(F.log2("c") * 16)  # counts in some hundreds of steps, so no sort of all types
-    least, room = None, head
-    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["s"]
-        if head - room >= frequent:
-            break
-    top = counts.where(step >= F.lit(least)).toArrow()
+    top = counts.orderBy(F.desc("c"), F.col("h") < 0, "h").limit(frequent).toArrow()  # a task keeps that many; ties by the unsigned hash
     hashes, c = np.asarray(top.column("h"), np.int64).view(np.uint64), np.asarray(top.column("c"), np.int64)
-    best = np.lexsort((hashes, -c))[:frequent]
-    best = best[np.argsort(hashes[best])]
+    best = np.argsort(hashes)
     words, word_counts = hashes[best], c[best]
     n = max(1, -(-row["v"] // LEAF))
     groups = 1 << round(np.log2(n) / 2)
@@ -346,9 +366,9 @@ class Members:
 
 
 def cell_scores(members: np.ndarray, hidden: np.ndarray, counts: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """log10 P(member | cell, context) of the tokens of one cell, after one pass of noise-contrastive estimation over those not held out.
+    """log10 P(member | cell, context) of the tokens of one cell (or of a part of a hot one), after one pass of noise-contrastive estimation over those not held out.
 
-    counts: training tokens of each member; a step's tokens share its noise samples.
+    counts: training tokens of each member, all parts together; a step's tokens share its noise samples.
     """
     noise = counts / counts.sum()
     cdf, log_noise = np.cumsum(noise), np.log(CELL_NOISE * noise).astype(np.float32)
@@ -482,6 +502,14 @@ def unpacked(data: bytes, uid: int, held: bool) -> np.ndarray:
     return out
 
 
+def hot_counts(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Types, sorted, and counts that hot_types() sent; parts of a cell that share a task have them twice."""
+    both = [np.frombuffer(x, np.int64).reshape(2, -1) for x in packs]
+    h, c = np.concatenate(both, 1) if both else np.empty((2, 0), np.int64)
+    types, at = np.unique(h.view(np.uint64), return_index=True)
+    return types, c[at]
+
+
 DOC = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -509,8 +537,8 @@ def document_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from pa.Table.from_arrays(whole, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]).to_batches(10_000)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack: int = PACK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; pack: about the tokens of a task of cells."""
     flagged = with_flags(docs, id_col, text_col)
     training = flagged.where(~F.col("held_out"))
     counts = cut(token_counts(training))
@@ -518,7 +546,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model, cells = train(training, corpus)
     shared = docs.sparkSession.sparkContext.broadcast((corpus, model.vector(), cells.r, cells.b))
     total = corpus.tokens + 0.5 * (corpus.types + 1)
-    tasks = 1 + corpus.rare_tokens // PACK
+    tasks = 1 + corpus.rare_tokens // pack
     doc_type = pa.struct([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     names = ["task", "uid", "held", "pack", "doc"]
@@ -547,6 +575,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         model.load(vector)
         cells.r, cells.b = r, b
         own_counts = np.concatenate([[corpus.texts], corpus.word_counts])
+        parts, first_part = parts_of_cells(corpus.cell_counts, pack)
         uid = base_uid = TaskContext.get().partitionId() << 33
         held, rows = [], 0
         for whole in batches:
@@ -561,8 +590,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 at = corpus.cells(tokens[rare])
                 neural[rare] += cells.log10(at, hidden[rare])
                 doc = np.repeat(np.arange(len(ends)), sizes)
+                part = first_part[at] + batch.column("mark").to_numpy()[doc[rare]] % parts[at]
                 of_held = np.asarray(batch.column("held_out").to_pylist(), bool)[doc[rare]]
-                held.append((2 * (at % tasks) + of_held, tokens[rare], doc[rare] + (uid - base_uid), contexts[rare, 0], contexts[rare, 1], (tail - neural)[rare]))
+                held.append((2 * (part % tasks) + of_held, tokens[rare], doc[rare] + (uid - base_uid), contexts[rare, 0], contexts[rare, 1], (tail - neural)[rare]))
                 rows += len(rare)
                 starts = ends - sizes + 1
                 columns = [uid + np.arange(len(ends)), batch.column("doc_id"), batch.column("held_out"), sizes.astype(np.int64), np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(neural, starts)]
@@ -578,9 +608,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as they came, and for each base the sums over its documents' tokens in this task's cells."""
         corpus, vector, _, _ = shared.value
-        packs, bases = [], []
+        packs, bases, hot = [], [], []
         for batch in batches:
-            found = batch.filter(batch.column("pack").is_valid())
+            hot += batch.filter(pc.and_(batch.column("pack").is_valid(), batch.column("held").is_null())).column("pack").to_pylist()
+            found = batch.filter(batch.column("held").is_valid())
             packs += [unpacked(*row) for row in zip(*(found.column(c).to_pylist() for c in ("pack", "uid", "held")), strict=True)]
             bases += found.column("uid").to_pylist()
             own = batch.filter(batch.column("doc").is_valid())
@@ -593,7 +624,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         t = t[np.lexsort(((t["one"].astype(np.int64) << 32) + 2 * t["two"].astype(np.int64) + t["held"], t["h"]))]
         new = np.concatenate([[True], t["h"][1:] != t["h"][:-1]])
         types, at = t["h"][new], np.cumsum(new) - 1
+        whole, whole_counts = hot_counts(hot)
+        if len(whole):
+            every = np.union1d(types, whole)
+            types, at = every, np.searchsorted(every, types)[at]
         c = np.bincount(at[~t["held"]], minlength=len(types))
+        c[np.searchsorted(types, whole)] = whole_counts
         of = corpus.cells(types)
         order = np.lexsort((types, of))
         order = order[c[order] > 0]
@@ -626,6 +662,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             e = min(s + 256, len(rows))
             yield pa.RecordBatch.from_arrays([pa.array(bases[s:e]), pa.array(rows[s:e], pa.binary()), pa.nulls(e - s, doc_type)], names=["base", "sums", "doc"])
 
-    parts = flagged.mapInArrow(run, f"task int, uid long, held boolean, pack binary, doc struct<{DOC}>").repartition(tasks, "task")
-    summed = parts.mapInArrow(within, f"base long, sums binary, doc struct<{DOC}>").repartition(tasks, "base").mapInArrow(document_totals, ROW)
+    marked = flagged.withColumn("mark", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)))
+    found = marked.mapInArrow(run, f"task int, uid long, held boolean, pack binary, doc struct<{DOC}>")
+    if corpus.cell_counts.max(initial=0) > pack:
+        found = found.unionByName(hot_types(counts, corpus, pack, tasks))
+    summed = found.repartition(tasks, "task").mapInArrow(within, f"base long, sums binary, doc struct<{DOC}>").repartition(tasks, "base").mapInArrow(document_totals, ROW)
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")

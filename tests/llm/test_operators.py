@@ -192,6 +192,21 @@ def test_model_probabilities_sum_to_one():
     assert (10**p).sum() == pytest.approx(1)
 
 
+def test_hot_cells_in_parts(docs):
+    """Packs of 200 tokens: cells in parts keep all counts, score near the whole ones, and do not hang on the partitioning."""
+    whole, parts, again = ({r["doc_id"]: r for r in d.collect()} for d in (lbl.score(docs), lbl.score(docs, pack=200), lbl.score(docs.repartition(5), pack=200)))
+    for i, r in parts.items():
+        assert [r[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")] == [whole[i][c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")]
+        assert r["base_score"] == pytest.approx(whole[i]["base_score"], rel=1e-9) and again[i]["score"] == pytest.approx(r["score"], rel=1e-5)
+    total = [sum(r["score"] for r in rows.values()) for rows in (whole, parts)]
+    assert total[0] != total[1] and total[1] == pytest.approx(total[0], rel=0.05)
+
+
+def test_frequent_words_among_equal_counts(spark):
+    corpus = lbl.corpus_statistics(spark.range(600_000).selectExpr("xxhash64(id) h", "1L c"), 1)
+    assert len(corpus.words) == lbl.FREQUENT and corpus.class_counts.sum() == 600_001 and (np.diff(corpus.words.astype(float)) > 0).all()
+
+
 def test_rare_words_depend_on_their_context(spark):
     """Words beyond the frequent ones: the same words in another order score otherwise, and the parts sum to one."""
     ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 != 1]

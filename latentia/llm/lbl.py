@@ -51,6 +51,7 @@ BYTES = 1 << 20
 BLOCK, MEAN_TASKS = 4096, 16
 #: Tokens of a step in a cell, and its shared noise samples.
 CELL_BATCH, CELL_NOISE = 128, 12
+RUN = 128 * CELL_BATCH  # tokens of a cell brought together at once
 SEED = 3
 
 
@@ -377,17 +378,21 @@ def cell_scores(members: np.ndarray, hidden: np.ndarray, counts: np.ndarray, hel
     squares = np.full(w.shape, 1e-8, np.float32)
     full = np.column_stack([hidden, np.ones(len(hidden), np.float32)])
     use = rng.permutation(np.flatnonzero(~held))
-    for start in range(0, len(use), CELL_BATCH):
-        at = use[start : start + CELL_BATCH]
-        m, h = members[at], full[at]
-        z = np.minimum(np.searchsorted(cdf, rng.random(CELL_NOISE)), len(counts) - 1)
-        right = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, w[m]) - log_noise[m]))
-        wrong = -1 / (1 + np.exp(log_noise[z] - h @ w[z].T))
-        rows, sums = accumulated(np.concatenate([m, z]), np.concatenate([right[:, None] * h, wrong.T @ h]).astype(np.float32), len(counts))
-        grad = sums / np.float32(len(at))
-        held_squares = squares[rows] + grad * grad
-        squares[rows] = held_squares
-        w[rows] += np.float32(RATE) * grad / np.sqrt(held_squares)
+    drawn = np.minimum(np.searchsorted(cdf, rng.random((-(-len(use) // CELL_BATCH), CELL_NOISE))), len(counts) - 1)
+    columns = np.arange(w.shape[1])
+    for start in range(0, len(use), RUN):
+        trained = use[start : start + RUN]
+        of, rows, less = members[trained], full[trained], log_noise[members[trained]]
+        for at in range(0, len(trained), CELL_BATCH):
+            m, h, z = of[at : at + CELL_BATCH], rows[at : at + CELL_BATCH], drawn[(start + at) // CELL_BATCH]
+            wz = w[z]
+            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, w[m]) - less[at : at + CELL_BATCH]))
+            wrong = -1 / (1 + np.exp(log_noise[z] - h @ wz.T))
+            places = np.concatenate([m, z])[:, None] * len(columns) + columns
+            sums = np.bincount(places.ravel(), np.concatenate([right[:, None] * h, wrong.T @ h]).ravel(), w.size)
+            grad = (sums / len(m)).astype(np.float32).reshape(w.shape)  # a cell has few types: all rows move, untouched ones by 0
+            squares += grad * grad
+            w += np.float32(RATE) * grad / np.sqrt(squares)
     own = np.einsum("ij,ij->i", full, w[members]).astype(np.float64)
     return (own - log_sums(full, w)) / np.log(10)
 

@@ -185,10 +185,18 @@ def accumulated(at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
     seen, place = np.zeros(size, bool), np.empty(size, np.int64)
     seen[at] = True
     touched = np.flatnonzero(seen)
-    width = rows.shape[1]
-    place[touched] = np.arange(0, width * len(touched), width)
-    sums = np.bincount((place[at][:, None] + np.arange(width)).ravel(), rows.ravel(), width * len(touched))
-    return touched, sums.astype(np.float32).reshape(-1, width)
+    place[touched] = np.arange(len(touched))
+    at, sums = place.take(at), np.empty((len(touched), rows.shape[1]), np.float32)
+    for j, column in enumerate(np.ascontiguousarray(rows.T)):
+        sums[:, j] = np.bincount(at, column, len(touched))
+    return touched, sums
+
+
+def with_ones(x: np.ndarray) -> np.ndarray:
+    """x and a column of ones, for the bias."""
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1] = x
+    return out
 
 
 def bounded(full: np.ndarray, weights: np.ndarray, most: float = 60.0) -> bool:
@@ -245,10 +253,12 @@ class LogBilinear:
         return first, other, n + (1 << self.log) + (bits >> self.log)
 
     def embedded(self, codes: np.ndarray) -> np.ndarray:
-        first, other, second = self.rows(codes)
-        out = self.q[first]
-        out[other] += self.q[second]
-        return out
+        n = len(self.b)
+        other, bits = codes >= n, codes - n
+        padded = np.concatenate([self.q, np.zeros((1, self.q.shape[1]), np.float32)])  # a class has the empty last row as its second
+        first = np.where(other, n + (bits & ((1 << self.log) - 1)), codes)
+        second = np.where(other, n + (1 << self.log) + (bits >> self.log), len(self.q))
+        return self.q.take(first, 0) + padded.take(second, 0)
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
         return sum(self.embedded(contexts[:, i]) * self.c[i] for i in range(CONTEXT))
@@ -268,24 +278,33 @@ class LogBilinear:
             squares[name][at] = held
             own[at] += np.float32(RATE) * grad / np.sqrt(held)
 
+        to_r = np.empty((BATCH + NOISE, self.r.shape[1] + 1), np.float32)
+
         for start in range(0, len(classes), BATCH):
             w, h = classes[start : start + BATCH], contexts[start : start + BATCH]
+            size = len(w)
             z = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), n - 1)
             q = [self.embedded(h[:, i]) for i in range(CONTEXT)]
             hidden = sum(q[i] * self.c[i] for i in range(CONTEXT))
-            rw = self.r[w]
-            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, rw) + self.b[w] - log_noise[w]))
-            wrong = -1 / (1 + np.exp(-(hidden @ self.r[z].T + (self.b[z] - log_noise[z]))))
-            back = right[:, None] * rw + wrong @ self.r[z]
+            rw, rz, offset = self.r.take(w, 0), self.r[z], self.b - log_noise
+            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, rw) + offset.take(w)))
+            wrong = hidden @ -rz.T
+            wrong -= offset[z]
+            np.exp(wrong, out=wrong)
+            wrong += 1
+            np.divide(-1, wrong, out=wrong)
+            back = right[:, None] * rw + wrong @ rz
             at, of = [], []
             for i in range(CONTEXT):
                 first, other, second = self.rows(h[:, i])
                 own = back * self.c[i]
                 at += [first, second]
-                of += [own, own[other]]
-            to_r = np.concatenate([np.column_stack([right[:, None] * hidden, right]), np.column_stack([wrong.T @ hidden, wrong.sum(0)])]).astype(np.float32)
+                of += [own, own.take(other, 0)]
+            np.multiply(right[:, None], hidden, out=to_r[:size, :-1])
+            np.matmul(wrong.T, hidden, out=to_r[size : size + NOISE, :-1])
+            to_r[:size, -1], to_r[size : size + NOISE, -1] = right, wrong.sum(0)
             to_c = np.stack([np.einsum("ij,ij->j", back, q[i]) for i in range(CONTEXT)])
-            rows, sums = accumulated(np.concatenate([w, z]), to_r, n)
+            rows, sums = accumulated(np.concatenate([w, z]), to_r[: size + NOISE], n)
             step("r", rows, sums[:, :-1], len(w))
             step("b", rows, sums[:, -1], len(w))
             step("q", *accumulated(np.concatenate(at), np.concatenate(of), len(self.q)), len(w))
@@ -299,7 +318,7 @@ class LogBilinear:
         """The same, log10 of the mass of the classes from ``tail`` on (both are matrix products over distinct contexts), and each token's hidden row."""
         codes, at = np.unique((contexts[:, 0] << 32) | contexts[:, 1], return_inverse=True)
         hidden = self.hidden(np.stack([codes >> 32, codes & 0xFFFFFFFF], 1))
-        full = np.column_stack([hidden, np.ones(len(hidden), np.float32)])
+        full = with_ones(hidden)
         weights = np.column_stack([self.r, self.b]).T.astype(np.float32)
         easy = bounded(full, weights.T)
         parts = np.zeros((len(self.b), 2), np.float32)
@@ -314,8 +333,8 @@ class LogBilinear:
             np.exp(logits, out=logits)
             sums[s : s + block] = np.log(np.maximum(logits @ parts, 1e-30)) + shift
         norm = np.logaddexp(sums[:, 0], sums[:, 1])
-        hidden = hidden[at]
-        own = np.einsum("ij,ij->i", hidden, self.r[classes]) + self.b[classes]
+        hidden = hidden.take(at, 0)
+        own = np.einsum("ij,ij->i", hidden, self.r.take(classes, 0)) + self.b[classes]
         return (own - norm[at]) / np.log(10), (sums[:, 1] - norm)[at] / np.log(10), hidden
 
 
@@ -342,12 +361,11 @@ class Members:
             low, high = self.edge[g][:, None], self.edge[g + 1][:, None]
             z = np.searchsorted(self.cdf, low + rng.random((len(w), NEAR)) * (high - low), "right")
             z = np.clip(z, self.starts[g][:, None], self.starts[g + 1][:, None] - 1)
-            x = np.concatenate([w[:, None], z], 1)
-            s = np.einsum("ij,ikj->ik", h, self.r[x]) + self.b[x] - self.log_noise[x]
-            step = -1 / (1 + np.exp(-s))
-            step[:, 0] += 1
-            full = np.column_stack([h, np.ones(len(h), np.float32)])
-            rows, sums = accumulated(x.ravel(), (step[:, :, None].astype(np.float32) * full[:, None, :]).reshape(-1, full.shape[1]), len(self.b))
+            full, parts = with_ones(h), []
+            for i, x in enumerate([w, *z.T]):
+                s = np.einsum("ij,ij->i", h, self.r.take(x, 0)) + self.b.take(x) - self.log_noise.take(x)
+                parts.append(((i == 0) - 1 / (1 + np.exp(-s)))[:, None] * full)
+            rows, sums = accumulated(np.concatenate([w, *z.T]), np.concatenate(parts), len(self.b))
             grad = sums / np.float32(len(w))
             self.squares[rows] += grad * grad
             move = np.float32(RATE) * grad / np.sqrt(self.squares[rows])
@@ -356,13 +374,13 @@ class Members:
 
     def log10(self, members: np.ndarray, hidden: np.ndarray) -> np.ndarray:
         """Normalised log10 P(member | its parent, context)."""
-        out = np.einsum("ij,ij->i", hidden, self.r[members]).astype(np.float64) + self.b[members]
+        out = np.einsum("ij,ij->i", hidden, self.r.take(members, 0)).astype(np.float64) + self.b[members]
         order = np.argsort(self.parent[members], kind="stable")
         cuts = np.searchsorted(self.parent[members][order], np.arange(len(self.starts)))
-        full, weights = np.column_stack([hidden, np.ones(len(hidden), np.float32)]), np.column_stack([self.r, self.b])
+        full, weights = with_ones(hidden), np.column_stack([self.r, self.b])
         for g in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[g] : cuts[g + 1]]
-            out[rows] -= log_sums(full[rows], weights[self.starts[g] : self.starts[g + 1]])
+            out[rows] -= log_sums(full.take(rows, 0), weights[self.starts[g] : self.starts[g + 1]])
         return out / np.log(10)
 
 
@@ -376,24 +394,24 @@ def cell_scores(members: np.ndarray, hidden: np.ndarray, counts: np.ndarray, hel
     w = np.zeros((len(counts), hidden.shape[1] + 1), np.float32)
     w[:, -1] = np.log(noise)
     squares = np.full(w.shape, 1e-8, np.float32)
-    full = np.column_stack([hidden, np.ones(len(hidden), np.float32)])
+    full = with_ones(hidden)
     use = rng.permutation(np.flatnonzero(~held))
     drawn = np.minimum(np.searchsorted(cdf, rng.random((-(-len(use) // CELL_BATCH), CELL_NOISE))), len(counts) - 1)
     columns = np.arange(w.shape[1])
     for start in range(0, len(use), RUN):
         trained = use[start : start + RUN]
-        of, rows, less = members[trained], full[trained], log_noise[members[trained]]
+        of, rows, less = members[trained], full.take(trained, 0), log_noise[members[trained]]
         for at in range(0, len(trained), CELL_BATCH):
             m, h, z = of[at : at + CELL_BATCH], rows[at : at + CELL_BATCH], drawn[(start + at) // CELL_BATCH]
-            wz = w[z]
-            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, w[m]) - less[at : at + CELL_BATCH]))
+            wz = w.take(z, 0)
+            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, w.take(m, 0)) - less[at : at + CELL_BATCH]))
             wrong = -1 / (1 + np.exp(log_noise[z] - h @ wz.T))
             places = np.concatenate([m, z])[:, None] * len(columns) + columns
             sums = np.bincount(places.ravel(), np.concatenate([right[:, None] * h, wrong.T @ h]).ravel(), w.size)
             grad = (sums / len(m)).astype(np.float32).reshape(w.shape)  # a cell has few types: all rows move, untouched ones by 0
             squares += grad * grad
             w += np.float32(RATE) * grad / np.sqrt(squares)
-    own = np.einsum("ij,ij->i", full, w[members]).astype(np.float64)
+    own = np.einsum("ij,ij->i", full, w.take(members, 0)).astype(np.float64)
     return (own - log_sums(full, w)) / np.log(10)
 
 

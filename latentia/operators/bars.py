@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latentia.functions.expr import DAY, SECOND, bin_of, day_of
 from latentia.operators.order import quantiles, with_neighbour
+from latentia.session import stored
 
 
 def last_bars(ticks: DataFrame, width: int, offset: int = 0) -> DataFrame:
@@ -37,7 +38,8 @@ def log_returns(bars: DataFrame, width: int) -> DataFrame:
 
 
 def bar_returns(ticks: DataFrame, width: int) -> DataFrame:
-    return log_returns(gap_filled(last_bars(ticks, width), width), width)
+    """Returns of gap-filled bars.  Bars are stored: each neighbour's lookup uses its rows twice, which would read the ticks once for each use."""
+    return log_returns(gap_filled(stored(last_bars(ticks, width)), width), width)
 
 
 def stale_fraction(ticks: DataFrame, width: int) -> DataFrame:

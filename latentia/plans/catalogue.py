@@ -452,18 +452,19 @@ def dataset(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
 
 
 def dataset_of(base: DataFrame, nulls: bool = False) -> DataFrame:
-    """The same from symbol, bin, elevated_prob, rolling_vol."""
-    label = labels.forward_label(base, "elevated_prob", 6)
+    """The same from symbol, bin, elevated_prob, rolling_vol; what is used more than once is stored."""
+    base = stored(base)
+    label = stored(labels.forward_label(base, "elevated_prob", 6))
     rows = labels.causal_features(base).join(label.select("symbol", "bin", "real_label"), ["symbol", "bin"])
     if nulls:
         wide = labels.circular_nulls(label, SHIFTS, HOUR).groupBy("symbol", "bin").pivot("shift_id", list(range(len(SHIFTS)))).agg(F.first("null_label"))
         rows = rows.join(wide.toDF("symbol", "bin", *[f"null_label_{i}" for i in range(len(SHIFTS))]), ["symbol", "bin"])
-    whole = rows.dropna().withColumn("day", F.floor(F.col("bin") / 24).cast("long"))
+    whole = stored(rows.dropna().withColumn("day", F.floor(F.col("bin") / 24).cast("long")))
     return positions(whole, ["bin", "symbol"], F.col("day"))
 
 
 def model_rows(spark: SparkSession, sf_dir: str, targets: list[str], nulls: bool = False) -> DataFrame:
-    return prepared_rows(dataset(spark, sf_dir, nulls), targets)
+    return prepared_rows(stored(dataset(spark, sf_dir, nulls)), targets)
 
 
 def prepared_rows(rows: DataFrame, targets: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from latentia.operators import calibrate
-from latentia.plans import forecasts
+from latentia.plans import catalogue, forecasts
 from tests.conftest import SMALL
 
 
@@ -48,3 +48,9 @@ def test_recalibration_reads_the_stored_predictions(spark):
     assert got.loc["isotonic_half", "brier_raw"] == pytest.approx(((later["y_pred"] - later[y]) ** 2).mean(), abs=1e-4)
     assert got[["log_raw", "log_calibrated", "brier_raw", "brier_calibrated"]].notna().all().all()
     assert forecasts.oof_rows(spark, SMALL) is forecasts.oof_rows(spark, SMALL)
+
+
+def test_ticks_are_read_once_for_bars_and_datasets(spark):
+    """Neighbours, labels, nulls and positions each use their rows again; none of that may read the ticks again."""
+    for df in (catalogue.hourly(spark, SMALL), catalogue.dataset(spark, SMALL, nulls=True)):
+        assert not df.inputFiles()

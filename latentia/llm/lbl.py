@@ -51,7 +51,7 @@ BYTES = 1 << 20
 BLOCK, MEAN_TASKS = 4096, 16
 #: Tokens of a step in a cell, and its shared noise samples.
 CELL_BATCH, CELL_NOISE = 128, 12
-RUN = 128 * CELL_BATCH  # tokens of a cell brought together at once
+TOGETHER = 8  # cells of like size that train side by side, so that a step is worth its calls
 SEED = 3
 
 
@@ -180,14 +180,14 @@ def corpus_statistics(counts: DataFrame, texts: int, frequent: int = FREQUENT) -
     return Corpus(row["n"] + texts, row["v"] + bool(texts), texts, row["once"], words, word_counts, groups, cell_counts)
 
 
-def accumulated(at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct numbers in ``at`` (below size) and the sums of their rows."""
+def accumulated(at: np.ndarray, columns: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ``at`` (below size) and the sums of their values in each column."""
     seen, place = np.zeros(size, bool), np.empty(size, np.int64)
     seen[at] = True
     touched = np.flatnonzero(seen)
     place[touched] = np.arange(len(touched))
-    at, sums = place.take(at), np.empty((len(touched), rows.shape[1]), np.float32)
-    for j, column in enumerate(np.ascontiguousarray(rows.T)):
+    at, sums = place.take(at), np.empty((len(touched), len(columns)), np.float32)
+    for j, column in enumerate(columns):
         sums[:, j] = np.bincount(at, column, len(touched))
     return touched, sums
 
@@ -233,12 +233,13 @@ class LogBilinear:
         self.q = rng.normal(0, 0.1, (n + (2 << buckets_log), width)).astype(np.float32)
         self.c = np.ones((CONTEXT, width), np.float32)
         self.b = np.log(self.noise).astype(np.float32)
+        self.products: Products | None = None
 
     def vector(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.r, self.q, self.c, self.b)])
 
     def load(self, vector: np.ndarray) -> None:
-        at = 0
+        at, self.products = 0, None
         for name in "rqcb":
             old = getattr(self, name)
             setattr(self, name, vector[at : at + old.size].reshape(old.shape).astype(np.float32))
@@ -252,40 +253,57 @@ class LogBilinear:
         first[other] = n + (bits & ((1 << self.log) - 1))
         return first, other, n + (1 << self.log) + (bits >> self.log)
 
-    def embedded(self, codes: np.ndarray) -> np.ndarray:
+    def both_rows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second rows of q of context codes; a class has the row after the last one as its second."""
         n = len(self.b)
         other, bits = codes >= n, codes - n
-        padded = np.concatenate([self.q, np.zeros((1, self.q.shape[1]), np.float32)])  # a class has the empty last row as its second
-        first = np.where(other, n + (bits & ((1 << self.log) - 1)), codes)
-        second = np.where(other, n + (1 << self.log) + (bits >> self.log), len(self.q))
-        return self.q.take(first, 0) + padded.take(second, 0)
+        return np.where(other, n + (bits & ((1 << self.log) - 1)), codes), np.where(other, n + (1 << self.log) + (bits >> self.log), len(self.q))
+
+    def embedded(self, codes: np.ndarray) -> np.ndarray:
+        first, second = self.both_rows(codes)
+        padded = np.concatenate([self.q, np.zeros((1, self.q.shape[1]), np.float32)])
+        out = self.q.take(first, 0)
+        out += padded.take(second, 0)
+        return out
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.embedded(contexts[:, i]) * self.c[i] for i in range(CONTEXT))
+        out = self.embedded(contexts[:, 0])
+        out *= self.c[0]
+        for i in range(1, CONTEXT):
+            out += self.embedded(contexts[:, i]) * self.c[i]
+        return out
 
     def train(self, classes: np.ndarray, contexts: np.ndarray, squares: dict, rng: np.random.Generator) -> None:
         """One pass over tokens and their contexts; a batch shares its noise samples; AdaGrad steps."""
-        n = len(self.r)
+        n, self.products = len(self.r), None
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
         cdf = np.cumsum(self.noise)
 
-        def step(name: str, at: np.ndarray | slice, grad: np.ndarray, tokens: int) -> None:
+        def step(name: str, grad: np.ndarray, tokens: int) -> None:
+            """All rows move, untouched ones by 0."""
             own = getattr(self, name)
             if name not in squares:
                 squares[name] = np.full(own.shape, 1e-8, np.float32)
-            grad = grad / np.float32(tokens)
-            held = squares[name][at] + grad * grad
-            squares[name][at] = held
-            own[at] += np.float32(RATE) * grad / np.sqrt(held)
-
-        to_r = np.empty((BATCH + NOISE, self.r.shape[1] + 1), np.float32)
-
+            grad = np.ascontiguousarray(grad) / np.float32(tokens)
+            squares[name] += grad * grad
+            grad *= np.float32(RATE)
+            grad /= np.sqrt(squares[name])
+            own += grad
+
+        width, none = self.r.shape[1], len(self.q)  # none: the empty second row of a class
+        to_r, to_q = np.empty((width + 1, n), np.float32), np.empty((width, none), np.float32)
         for start in range(0, len(classes), BATCH):
             w, h = classes[start : start + BATCH], contexts[start : start + BATCH]
             size = len(w)
             z = np.minimum(np.searchsorted(cdf, rng.random(NOISE)), n - 1)
-            q = [self.embedded(h[:, i]) for i in range(CONTEXT)]
-            hidden = sum(q[i] * self.c[i] for i in range(CONTEXT))
+            padded = np.concatenate([self.q, np.zeros((1, width), np.float32)])
+            places = [self.both_rows(h[:, i]) for i in range(CONTEXT)]
+            q = [padded.take(first, 0) for first, _ in places]
+            for x, (_, second) in zip(q, places, strict=True):
+                x += padded.take(second, 0)
+            hidden = q[0] * self.c[0]
+            for i in range(1, CONTEXT):
+                hidden += q[i] * self.c[i]
             rw, rz, offset = self.r.take(w, 0), self.r[z], self.b - log_noise
             right = 1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, rw) + offset.take(w)))
             wrong = hidden @ -rz.T
@@ -293,49 +311,122 @@ class LogBilinear:
             np.exp(wrong, out=wrong)
             wrong += 1
             np.divide(-1, wrong, out=wrong)
-            back = right[:, None] * rw + wrong @ rz
-            at, of = [], []
-            for i in range(CONTEXT):
-                first, other, second = self.rows(h[:, i])
-                own = back * self.c[i]
-                at += [first, second]
-                of += [own, own.take(other, 0)]
-            np.multiply(right[:, None], hidden, out=to_r[:size, :-1])
-            np.matmul(wrong.T, hidden, out=to_r[size : size + NOISE, :-1])
-            to_r[:size, -1], to_r[size : size + NOISE, -1] = right, wrong.sum(0)
+            back = right[:, None] * rw
+            back += wrong @ rz
+            for j, column in enumerate([*np.multiply(hidden.T, right, order="C"), right]):
+                to_r[j] = np.bincount(w, column, n)
+            np.add.at(to_r.T, z, np.column_stack([wrong.T @ hidden, np.ones(size, np.float32) @ wrong]))
+            at = np.concatenate([place + i * (none + 1) for i, both in enumerate(places) for place in both])
+            four = np.empty((len(at) // size, size))
+            for j, column in enumerate(np.ascontiguousarray(back.T)):
+                four[:] = column
+                sums = np.bincount(at, four.ravel(), CONTEXT * (none + 1)).reshape(CONTEXT, -1)
+                to_q[j] = self.c[:, j].astype(np.float64) @ sums[:, :none]
             to_c = np.stack([np.einsum("ij,ij->j", back, q[i]) for i in range(CONTEXT)])
-            rows, sums = accumulated(np.concatenate([w, z]), to_r[: size + NOISE], n)
-            step("r", rows, sums[:, :-1], len(w))
-            step("b", rows, sums[:, -1], len(w))
-            step("q", *accumulated(np.concatenate(at), np.concatenate(of), len(self.q)), len(w))
-            step("c", slice(None), to_c, len(w))
+            step("r", to_r[:-1].T, size)
+            step("b", to_r[-1], size)
+            step("q", to_q.T, size)
+            step("c", to_c, size)
 
     def log10(self, classes: np.ndarray, contexts: np.ndarray, block: int = 512) -> np.ndarray:
         """Normalised log10 P(class | context)."""
         return self.log10_and_tail(classes, contexts, len(self.b), block)[0]
 
     def log10_and_tail(self, classes: np.ndarray, contexts: np.ndarray, tail: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same, log10 of the mass of the classes from ``tail`` on (both are matrix products over distinct contexts), and each token's hidden row."""
+        """The same, log10 of the mass of the classes from ``tail`` on (both over distinct contexts), and each token's hidden row."""
         codes, at = np.unique((contexts[:, 0] << 32) | contexts[:, 1], return_inverse=True)
-        hidden = self.hidden(np.stack([codes >> 32, codes & 0xFFFFFFFF], 1))
-        full = with_ones(hidden)
-        weights = np.column_stack([self.r, self.b]).T.astype(np.float32)
+        pairs = np.stack([codes >> 32, codes & 0xFFFFFFFF], 1)
+        hidden = self.hidden(pairs)
+        if self.products is None or self.products.tail != tail:
+            self.products = Products(self, tail)
+        sums = self.products.log_sums(pairs) if self.products.fits else self.log_sums(hidden, tail, block)
+        norm = np.logaddexp(sums[:, 0], sums[:, 1])
+        hidden = hidden.take(at, 0)
+        own = np.einsum("ij,ij->i", hidden, self.r.take(classes, 0)) + self.b.take(classes)
+        return (own - norm.take(at)) / np.log(10), (sums[:, 1] - norm).take(at) / np.log(10), hidden
+
+    def log_sums(self, hidden: np.ndarray, tail: int, block: int) -> np.ndarray:
+        """log of the sums of exp(hidden . r + b) over the classes before ``tail`` and from there on, as matrix products."""
+        full, weights = with_ones(hidden), np.column_stack([self.r, self.b]).T.astype(np.float32)
         easy = bounded(full, weights.T)
         parts = np.zeros((len(self.b), 2), np.float32)
         parts[:tail, 0], parts[tail:, 1] = 1, 1
-        sums = np.empty((len(codes), 2), np.float64)
-        room = np.empty((min(block, len(codes)), len(self.b)), np.float32)
-        for s in range(0, len(codes), block):
-            logits = np.matmul(full[s : s + block], weights, out=room[: len(codes) - s])
+        sums = np.empty((len(full), 2), np.float64)
+        room = np.empty((min(block, len(full)), len(self.b)), np.float32)
+        for s in range(0, len(full), block):
+            logits = np.matmul(full[s : s + block], weights, out=room[: len(full) - s])
             shift = np.float32(0) if easy else logits.max(1, keepdims=True)
             if not easy:
                 logits -= shift
             np.exp(logits, out=logits)
             sums[s : s + block] = np.log(np.maximum(logits @ parts, 1e-30)) + shift
-        norm = np.logaddexp(sums[:, 0], sums[:, 1])
-        hidden = hidden.take(at, 0)
-        own = np.einsum("ij,ij->i", hidden, self.r.take(classes, 0)) + self.b[classes]
-        return (own - norm[at]) / np.log(10), (sums[:, 1] - norm)[at] / np.log(10), hidden
+        return sums
+
+
+class Products:
+    """Sums over the classes of exp(hidden . r + b) without an exponential for each context and class.
+
+    A hidden row is a sum of up to four rows (one or two of q by context position, times c), so exp(hidden . r) is a product of
+    up to four numbers that depend on one row of q and the class alone: they are taken once for each row of q.
+    """
+
+    def __init__(self, model: LogBilinear, tail: int, most: float = 80.0):
+        self.model, self.tail, self.n = model, tail, len(model.b)
+        logits = [(model.q * c) @ model.r.T for c in model.c]
+        low, high = (sum(2 * f(x, initial=0) for x in logits) + f(model.b, initial=0) for f in (np.min, np.max))
+        self.fits = bool(-most < low and high < most)  # of products of some or all factors, so none leaves the floats
+        if not self.fits:
+            return
+        self.tables = [np.exp(x, out=x) for x in logits]
+        self.tables[0][: self.n + (1 << model.log)] *= np.exp(model.b)  # a context has one first row at its first position
+        heads, tails = ([x[: self.n, part] for x in self.tables] for part in (slice(tail), slice(tail, None)))
+        self.pairs = np.stack([heads[0] @ heads[1].T, tails[0] @ tails[1].T], 2)  # two classes: all pairs at once
+
+    def log_sums(self, pairs: np.ndarray, block: int = 256) -> np.ndarray:
+        """log of the sums over the classes before ``tail`` and from there on, for contexts sorted by their first code."""
+        out = np.empty((len(pairs), 2), np.float32)
+        one, two = np.ascontiguousarray(pairs.T)
+        kinds = (one >= self.n) + 2 * (two >= self.n)
+        rows = np.flatnonzero(kinds == 0)
+        out[rows] = self.pairs[one[rows], two[rows]]
+        rows = np.flatnonzero(kinds == 1)
+        rows = rows[np.argsort(two[rows], kind="stable")]
+        out[rows] = self.class_sums(1, two[rows], one[rows], block)
+        rows = np.flatnonzero(kinds == 2)
+        out[rows] = self.class_sums(0, one[rows], two[rows], block)
+        rows = np.flatnonzero(kinds == 3)
+        out[rows] = self.rare_sums(one[rows], two[rows], block)
+        return np.log(np.maximum(out, 1e-30)).astype(np.float64)
+
+    def factors(self, i: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        out = self.tables[i].take(first, 0)
+        out *= self.tables[i].take(second, 0)
+        return out
+
+    def class_sums(self, i: int, classes: np.ndarray, words: np.ndarray, block: int) -> np.ndarray:
+        """Sums for contexts of a class (sorted) at position i and a rare word at the other one: matrix-vector products class by class."""
+        out = np.empty((len(classes), 2), np.float32)
+        first, _, second = self.model.rows(words)
+        cuts = np.flatnonzero(np.diff(classes, prepend=-1, append=-1)).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = self.tables[i][classes[lo]]
+            for s in range(lo, hi, block):
+                e = min(s + block, hi)
+                x = self.factors(1 - i, first[s:e], second[s:e])
+                np.matmul(x[:, : self.tail], own[: self.tail], out=out[s:e, 0])
+                np.matmul(x[:, self.tail :], own[self.tail :], out=out[s:e, 1])
+        return out
+
+    def rare_sums(self, one: np.ndarray, two: np.ndarray, block: int) -> np.ndarray:
+        """Sums for contexts of two rare words."""
+        out = np.empty((len(one), 2), np.float32)
+        (first, _, second), (third, _, fourth) = self.model.rows(one), self.model.rows(two)
+        for s in range(0, len(out), block):
+            e = s + block
+            x, y = self.factors(0, first[s:e], second[s:e]), self.factors(1, third[s:e], fourth[s:e])
+            np.vecdot(x[:, : self.tail], y[:, : self.tail], out=out[s:e, 0])
+            np.vecdot(x[:, self.tail :], y[:, self.tail :], out=out[s:e, 1])
+        return out
 
 
 class Members:
@@ -351,32 +442,48 @@ class Members:
         self.log_noise = np.log(NEAR * noise).astype(np.float32)
         self.r = np.zeros((len(counts), width), np.float32)
         self.b = np.log(noise).astype(np.float32)
+        self.guide = np.searchsorted(self.cdf, np.arange(4 * len(counts)) * (self.cdf[-1] / (4 * len(counts))), "right")
         self.squares = np.full((len(counts), width + 1), 1e-8, np.float32)
 
+    def drawn(self, mass: np.ndarray) -> np.ndarray:
+        """np.searchsorted(cdf, mass, "right"): a table of equal steps of mass says where to begin, few draws go on from there."""
+        out = self.guide.take(np.maximum((mass * (len(self.guide) / self.cdf[-1])).astype(np.int64) - 1, 0), mode="clip")
+        left = np.flatnonzero(self.cdf.take(out) <= mass)
+        while len(left):
+            out[left] += 1
+            left = left[out[left] < len(self.cdf)]
+            left = left[self.cdf.take(out[left]) <= mass[left]]
+        return out
+
     def train(self, members: np.ndarray, hidden: np.ndarray, rng: np.random.Generator) -> None:
         """One pass of noise-contrastive estimation with noise from the parent's counts; only touched rows move."""
         for start in range(0, len(members), BATCH):
             w, h = members[start : start + BATCH], hidden[start : start + BATCH]
             g = self.parent[w]
             low, high = self.edge[g][:, None], self.edge[g + 1][:, None]
-            z = np.searchsorted(self.cdf, low + rng.random((len(w), NEAR)) * (high - low), "right")
+            z = self.drawn((low + rng.random((len(w), NEAR)) * (high - low)).ravel()).reshape(-1, NEAR)
             z = np.clip(z, self.starts[g][:, None], self.starts[g + 1][:, None] - 1)
-            full, parts = with_ones(h), []
+            at, turned = np.concatenate([w, *z.T]), np.ascontiguousarray(with_ones(h).T)
+            parts = np.empty((len(turned), 1 + NEAR, len(w)))
             for i, x in enumerate([w, *z.T]):
                 s = np.einsum("ij,ij->i", h, self.r.take(x, 0)) + self.b.take(x) - self.log_noise.take(x)
-                parts.append(((i == 0) - 1 / (1 + np.exp(-s)))[:, None] * full)
-            rows, sums = accumulated(np.concatenate([w, *z.T]), np.concatenate(parts), len(self.b))
+                np.multiply((i == 0) - 1 / (1 + np.exp(-s)), turned, out=parts[:, i])
+            rows, sums = accumulated(at, parts.reshape(len(turned), -1), len(self.b))
             grad = sums / np.float32(len(w))
-            self.squares[rows] += grad * grad
-            move = np.float32(RATE) * grad / np.sqrt(self.squares[rows])
-            self.r[rows] += move[:, :-1]
-            self.b[rows] += move[:, -1]
+            held = self.squares.take(rows, 0)
+            held += grad * grad
+            self.squares[rows] = held
+            grad *= np.float32(RATE)
+            grad /= np.sqrt(held)
+            self.r[rows] = self.r.take(rows, 0) + grad[:, :-1]
+            self.b[rows] += grad[:, -1]
 
     def log10(self, members: np.ndarray, hidden: np.ndarray) -> np.ndarray:
         """Normalised log10 P(member | its parent, context)."""
-        out = np.einsum("ij,ij->i", hidden, self.r.take(members, 0)).astype(np.float64) + self.b[members]
-        order = np.argsort(self.parent[members], kind="stable")
-        cuts = np.searchsorted(self.parent[members][order], np.arange(len(self.starts)))
+        out = np.einsum("ij,ij->i", hidden, self.r.take(members, 0)).astype(np.float64) + self.b.take(members)
+        parent = self.parent.take(members).astype(np.uint16 if len(self.starts) < 1 << 16 else np.int64)
+        order = np.argsort(parent, kind="stable")
+        cuts = np.searchsorted(parent[order], np.arange(len(self.starts)))
         full, weights = with_ones(hidden), np.column_stack([self.r, self.b])
         for g in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[g] : cuts[g + 1]]
@@ -384,35 +491,81 @@ class Members:
         return out / np.log(10)
 
 
-def cell_scores(members: np.ndarray, hidden: np.ndarray, counts: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """log10 P(member | cell, context) of the tokens of one cell (or of a part of a hot one), after one pass of noise-contrastive estimation over those not held out.
+class Cell(NamedTuple):
+    """Tokens of one cell, or of a part of a hot one, that training knows."""
+
+    number: int
+    members: np.ndarray
+    at: np.ndarray  # each token's row of full
+    full: np.ndarray  # hidden rows of the cell's distinct contexts, and a one
+    counts: np.ndarray  # training tokens of each member, all parts together
+    held: np.ndarray
 
-    counts: training tokens of each member, all parts together; a step's tokens share its noise samples.
+
+def cell_weights(cells: list[Cell]) -> list[np.ndarray]:
+    """Vectors and biases of the cells' members after one pass of noise-contrastive estimation over their tokens not held out.
+
+    A step takes the next CELL_BATCH tokens of each cell that has some left, which share the cell's noise samples. Cells come
+    longest first, so those still training are the first ones and so are their members' rows.
     """
-    noise = counts / counts.sum()
-    cdf, log_noise = np.cumsum(noise), np.log(CELL_NOISE * noise).astype(np.float32)
-    w = np.zeros((len(counts), hidden.shape[1] + 1), np.float32)
+    begins = np.cumsum([0] + [len(c.counts) for c in cells])
+    rows_before = np.cumsum([0] + [len(c.full) for c in cells])
+    noise = np.concatenate([c.counts / c.counts.sum() for c in cells])
+    log_noise = np.log(CELL_NOISE * noise).astype(np.float32)
+    full = np.concatenate([c.full for c in cells])
+    w = np.zeros((len(noise), full.shape[1]), np.float32)
     w[:, -1] = np.log(noise)
     squares = np.full(w.shape, 1e-8, np.float32)
-    full = with_ones(hidden)
-    use = rng.permutation(np.flatnonzero(~held))
-    drawn = np.minimum(np.searchsorted(cdf, rng.random((-(-len(use) // CELL_BATCH), CELL_NOISE))), len(counts) - 1)
+    trained = np.array([np.count_nonzero(~c.held) for c in cells])
+    steps = -(-trained // CELL_BATCH)
+    rows = np.zeros((len(cells), int(steps.max()) * CELL_BATCH), np.int32)
+    members, drawn = np.zeros_like(rows), np.zeros((len(cells), int(steps.max()), CELL_NOISE), np.int64)
+    for i, c in enumerate(cells):
+        rng = np.random.default_rng([SEED, c.number])
+        use = rng.permutation(np.flatnonzero(~c.held))
+        rows[i, : len(use)], members[i, : len(use)] = c.at[use] + rows_before[i], c.members[use] + begins[i]
+        members[i, len(use) :] = begins[i]
+        cdf = np.cumsum(c.counts / c.counts.sum())
+        drawn[i, : steps[i]] = np.minimum(np.searchsorted(cdf, rng.random((steps[i], CELL_NOISE))), len(c.counts) - 1) + begins[i]
     columns = np.arange(w.shape[1])
-    for start in range(0, len(use), RUN):
-        trained = use[start : start + RUN]
-        of, rows, less = members[trained], full.take(trained, 0), log_noise[members[trained]]
-        for at in range(0, len(trained), CELL_BATCH):
-            m, h, z = of[at : at + CELL_BATCH], rows[at : at + CELL_BATCH], drawn[(start + at) // CELL_BATCH]
-            wz = w.take(z, 0)
-            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, w.take(m, 0)) - less[at : at + CELL_BATCH]))
-            wrong = -1 / (1 + np.exp(log_noise[z] - h @ wz.T))
-            places = np.concatenate([m, z])[:, None] * len(columns) + columns
-            sums = np.bincount(places.ravel(), np.concatenate([right[:, None] * h, wrong.T @ h]).ravel(), w.size)
-            grad = (sums / len(m)).astype(np.float32).reshape(w.shape)  # a cell has few types: all rows move, untouched ones by 0
-            squares += grad * grad
-            w += np.float32(RATE) * grad / np.sqrt(squares)
-    own = np.einsum("ij,ij->i", full, w.take(members, 0)).astype(np.float64)
-    return (own - log_sums(full, w)) / np.log(10)
+    for step in range(int(steps.max())):
+        active = int(np.searchsorted(-steps, -step))  # cells with more than step steps
+        top, part = begins[active], slice(step * CELL_BATCH, (step + 1) * CELL_BATCH)
+        m, z, h = members[:active, part].ravel(), drawn[:active, step], full.take(rows[:active, part], 0)
+        wz, flat = w.take(z, 0), h.reshape(-1, h.shape[2])
+        right = np.exp(np.einsum("ij,ij->i", flat, w.take(m, 0)) - log_noise.take(m))
+        right += 1
+        np.divide(1, right, out=right)
+        wrong = h @ wz.transpose(0, 2, 1)
+        np.subtract(log_noise.take(z)[:, None], wrong, out=wrong)
+        np.exp(wrong, out=wrong)
+        wrong += 1
+        np.divide(-1, wrong, out=wrong)
+        sizes = np.minimum(trained[:active] - step * CELL_BATCH, CELL_BATCH)
+        if sizes[-1] < CELL_BATCH or sizes.min() < CELL_BATCH:
+            live = np.arange(CELL_BATCH) < sizes[:, None]
+            right *= live.ravel()
+            wrong *= live[:, :, None]
+        moves = np.concatenate([right[:, None] * flat, (wrong.transpose(0, 2, 1) @ h).reshape(-1, h.shape[2])])
+        places = np.concatenate([m, z.ravel()])[:, None] * len(columns) + columns
+        sums = np.bincount(places.ravel(), moves.ravel(), top * len(columns)).reshape(-1, len(columns))
+        sums /= np.repeat(sizes, np.diff(begins[: active + 1]))[:, None]
+        grad = sums.astype(np.float32)  # a cell has few types: all rows move, untouched ones by 0
+        held = squares[:top]
+        held += grad * grad
+        grad *= np.float32(RATE)
+        grad /= np.sqrt(held)
+        w[:top] += grad
+    return np.split(w, begins[1:-1])
+
+
+def cell_scores(cells: list[Cell]) -> list[np.ndarray]:
+    """log10 P(member | cell, context) of each cell's tokens; cells come longest first."""
+    out = []
+    for c, w in zip(cells, cell_weights(cells), strict=True):
+        own = np.einsum("ij,ij->i", c.full.take(c.at, 0), w.take(c.members, 0)).astype(np.float64)
+        out.append((own - log_sums(c.full, w).take(c.at)) / np.log(10))
+    return out
 
 
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -457,9 +610,10 @@ def train(training: DataFrame, corpus: Corpus) -> tuple[LogBilinear, Members]:
                 tokens, ends, sizes = sequences([t or b"" for t in batch.column("text").to_pylist()])
                 classes, contexts = class_sequence(own, tokens, ends, sizes)
                 order = rng.permutation(len(classes))
-                model.train(classes[order], contexts[order], squares, rng)
-                rare = order[classes[order] > len(own.words)]
-                cells.train(own.cells(tokens[rare]), model.hidden(contexts[rare]), rng)
+                classes, contexts, tokens = classes.take(order), contexts.take(order, 0), tokens.take(order)
+                model.train(classes, contexts, squares, rng)
+                rare = np.flatnonzero(classes > len(own.words))
+                cells.train(own.cells(tokens.take(rare)), model.hidden(contexts.take(rare, 0)), rng)
                 seen += len(classes)
         if seen:
             v = np.concatenate([model.vector(), cells.r.ravel(), cells.b]).astype(np.float32)
@@ -491,9 +645,6 @@ def train(training: DataFrame, corpus: Corpus) -> tuple[LogBilinear, Members]:
     return model, cells
 
 
-TOKEN = np.dtype([("uid", "<i8"), ("h", "<u8"), ("one", "<i4"), ("two", "<i4"), ("more", "<f4"), ("held", "?")])
-
-
 def planes(x: np.ndarray) -> bytes:
     """Numbers below 2^32 as their lowest bytes, then their second ones and so on; high bytes are mostly zeros, which the shuffle's codec shortens."""
     return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -511,18 +662,26 @@ def packed(h: np.ndarray, doc: np.ndarray, one: np.ndarray, two: np.ndarray, mor
     return len(plain).to_bytes(4, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, uid: int, held: bool) -> np.ndarray:
-    """The tokens of packed(), documents numbered from uid."""
+def unpacked(data: bytes, uid: int, held: bool) -> tuple[np.ndarray, ...]:
+    """Types and tokens of each, then uid, one, two, more and held of the tokens of packed(), documents numbered from uid."""
     data = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True)
     types, n = np.frombuffer(data, "<u4", 2).tolist()
-    out = np.empty(n, TOKEN)
     at = 8 + 12 * types
-    out["h"] = np.repeat(np.frombuffer(data, "<u8", types, 8), from_planes(data, 8 + 8 * types, types))
-    out["uid"] = uid + from_planes(data, at, n).astype(np.int64)
-    out["one"], out["two"] = from_planes(data, at + 4 * n, n), from_planes(data, at + 8 * n, n)
-    out["more"] = np.frombuffer(data, "<f4", n, at + 12 * n) if held else 0
-    out["held"] = held
-    return out
+    more = np.frombuffer(data, "<f4", n, at + 12 * n) if held else np.zeros(n, np.float32)
+    doc, one, two = (from_planes(data, at + 4 * i * n, n) for i in range(3))
+    return np.frombuffer(data, "<u8", types, 8), from_planes(data, 8 + 8 * types, types), uid + doc.astype(np.int64), one, two, more, np.full(n, held)
+
+
+def by_type(t: np.ndarray, types: int, one: np.ndarray, two: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """An order by type, context and side; as one number for each token where that has room."""
+    bits = int(max(one.max(), two.max())).bit_length()
+    if types.bit_length() + 2 * bits + 1 > 63:
+        return np.lexsort((held, two, one, t))
+    key = t << bits
+    for x, room in ((one, bits), (two, 1), (held, 0)):
+        key |= x
+        key <<= room
+    return np.argsort(key)
 
 
 def hot_counts(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -581,7 +740,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack:
         side, tokens, doc, one, two, more = (np.concatenate(x) for x in zip(*parts, strict=True))
         if not len(side):
             return
-        order = np.lexsort((doc, tokens, side))
+        order = np.argsort(tokens)
+        order = order[np.argsort(side[order].astype(np.uint16 if 2 * tasks < 1 << 16 else np.uint32), kind="stable")]
         keys, first = np.unique(side[order], return_index=True)
         packs = []
         for key, rows in zip(keys.tolist(), np.split(order, first[1:]), strict=True):
@@ -611,7 +771,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack:
                 base[rare] = count[rare] = 0
                 neural, tail, hidden = model.log10_and_tail(classes, contexts, 1 + len(corpus.words))
                 at = corpus.cells(tokens[rare])
-                neural[rare] += cells.log10(at, hidden[rare])
+                neural[rare] += cells.log10(at, hidden.take(rare, 0))
                 doc = np.repeat(np.arange(len(ends)), sizes)
                 part = first_part[at] + batch.column("mark").to_numpy()[doc[rare]] % parts[at]
                 of_held = np.asarray(batch.column("held_out").to_pylist(), bool)[doc[rare]]
@@ -642,16 +802,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack:
                 yield pa.RecordBatch.from_arrays([own.column("uid"), pa.nulls(own.num_rows, pa.binary()), own.column("doc")], names=["base", "sums", "doc"])
         if not packs:
             return
-        t = np.concatenate(packs)
+        own_types, sizes, uid, one, two, more, held = (np.concatenate(x) for x in zip(*packs, strict=True))
         packs.clear()
-        t = t[np.lexsort(((t["one"].astype(np.int64) << 32) + 2 * t["two"].astype(np.int64) + t["held"], t["h"]))]
-        new = np.concatenate([[True], t["h"][1:] != t["h"][:-1]])
-        types, at = t["h"][new], np.cumsum(new) - 1
         whole, whole_counts = hot_counts(hot)
+        types, at = np.unique(own_types, return_inverse=True)
         if len(whole):
             every = np.union1d(types, whole)
             types, at = every, np.searchsorted(every, types)[at]
-        c = np.bincount(at[~t["held"]], minlength=len(types))
+        at = np.repeat(at, sizes)
+        order = by_type(at, len(types), one, two, held)
+        uid, at, one, two, more, held = (x.take(order) for x in (uid, at, one, two, more, held))
+        c = np.bincount(at[~held], minlength=len(types))
         c[np.searchsorted(types, whole)] = whole_counts
         of = corpus.cells(types)
         order = np.lexsort((types, of))
@@ -659,7 +820,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack:
         place = np.full(len(types), -1)
         place[order] = np.arange(len(order))
         member, count = place[at], c[at]
-        score = t["more"] + np.log10(corpus.unknown)
+        score = more + np.log10(corpus.unknown)
         if len(order):
             model = LogBilinear(corpus.class_counts)
             model.load(vector)
@@ -669,12 +830,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack:
             first = np.flatnonzero(np.concatenate([[True], cells_of[1:] != cells_of[:-1], [True]]))
             starts = np.searchsorted(of[order], cells_of[first[:-1]])
             stops = np.searchsorted(of[order], cells_of[first[:-1]], "right")
-            for i, (lo, hi) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
-                own = known[first[i] : first[i + 1]]
-                hidden = model.hidden(np.stack([t["one"][own], t["two"][own]], 1).astype(np.int64))
-                rng = np.random.default_rng([SEED, int(cells_of[first[i]])])
-                score[own] = cell_scores(member[own] - lo, hidden, counts_of[lo:hi], t["held"][own], rng) + np.log10(1 - corpus.unknown)
-        uid, at = np.unique(t["uid"], return_inverse=True)
+
+            def cell(i: int) -> Cell:
+                own, lo, hi = known[first[i] : first[i + 1]], starts[i], stops[i]
+                codes, row = np.unique(one[own].astype(np.int64) << 32 | two[own], return_inverse=True)
+                hidden = model.hidden(np.stack([codes >> 32, codes & 0xFFFFFFFF], 1))
+                return Cell(int(cells_of[first[i]]), member[own] - lo, row, with_ones(hidden), counts_of[lo:hi], held[own])
+
+            longest = np.argsort(-np.add.reduceat(~held[known], first[:-1], dtype=np.int64), kind="stable").tolist()
+            for s in range(0, len(longest), TOGETHER):
+                some = longest[s : s + TOGETHER]
+                for i, found in zip(some, cell_scores([cell(i) for i in some]), strict=True):
+                    score[known[first[i] : first[i + 1]]] = found + np.log10(1 - corpus.unknown)
+        uid, at = np.unique(uid, return_inverse=True)
         known, base, total_score = (np.bincount(at, x, len(uid)) for x in (count > 0, np.log10((count + 0.5) / total), score))
         bases = np.unique(np.array(bases, np.int64))
         cuts = np.append(np.searchsorted(uid, bases), len(uid)).tolist()

@@ -16,6 +16,12 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Codes of bytes in words, A-Z as a-z and blanks as 0, and the inverse of the powers' base.
+WORD_CODES = np.where(IS_SPACE, np.uint64(0), BYTE_CODES[LOWER])
+INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+RUN = 1 << 14  # bytes hashed at once, words that begin there
+LONG_POWERS = np.cumprod(np.full(RUN + 256, POWERS[0], np.uint64))
+SHIFTS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(RUN - 1, INVERSE, np.uint64)]))
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -33,23 +39,44 @@ class Words(NamedTuple):
     counts: np.ndarray  # words of each text
 
 
+def short_codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Sum of each word's byte codes times POWERS of their places, for words of up to 256 bytes.
+
+    Powers count from the run's beginning, so that no byte's place in its word is needed; a word's sum is then
+    divided by its own first power (odd numbers have inverses modulo 2^64).
+    """
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + RUN, RUN)).tolist()
+    for run, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a == b:
+            continue
+        codes = WORD_CODES.take(data[run * RUN : stops[b - 1]])
+        codes *= LONG_POWERS[: len(codes)]
+        at = starts[a:b] - run * RUN
+        np.multiply(np.add.reduceat(codes, at), SHIFTS.take(at), out=out[a:b])
+    return out
+
+
 def hashed_words(texts: list[bytes]) -> Words:
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     none = np.empty(0, np.int64)
-    gap = IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
+    gap = np.ones(len(data) + 2, bool)
+    IS_SPACE.take(data, out=gap[1:-1], mode="clip")
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, stops = edge[::2], edge[1::2]
     if not len(starts):
         return Words(data, none, none, np.empty(0, np.uint64), np.zeros(len(texts), np.int64))
-    inside = np.flatnonzero(~gap)
     sizes = stops - starts
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, ends, "left"), prepend=0)
+    if sizes.max() <= 256:
+        return Words(data, starts, stops, scramble(short_codes(data, starts, stops)), counts)
+    inside = np.flatnonzero(~gap[1:-1])
     begins = np.cumsum(sizes) - sizes
     place = np.arange(len(inside)) - np.repeat(begins, sizes)
     codes = BYTE_CODES[LOWER[data[inside]]] * POWERS[place & 255]
     if sizes.max() > 256:  # bytes beyond 256 in a word get their block mixed in
         codes = codes * np.where(place > 255, scramble((place >> 8).astype(np.uint64)) | np.uint64(1), np.uint64(1))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, ends, "left"), prepend=0)
     return Words(data, starts, stops, scramble(np.add.reduceat(codes, begins)), counts)
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latentia.llm import cotrain, flac, lbl, media, minhash, mixing, packing, pii, pivots, queries, secrets, warc
+from latentia.llm import cotrain, flac, lbl, media, minhash, mixing, packing, pii, pivots, queries, secrets, shingles, warc
 from tests.conftest import SMALL
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -223,6 +223,74 @@ def test_model_probabilities_sum_to_one():
     assert (10**p).sum() == pytest.approx(1)
 
 
+def test_class_sums_take_few_exponentials(monkeypatch):
+    """Sums over the classes as products of exponentials taken once for each row of q: right, and not one for each context and class."""
+    rng, n = np.random.default_rng(0), 90
+    m = lbl.LogBilinear(rng.integers(1, 1000, n), buckets_log=4)
+    m.q += rng.normal(0, 1, m.q.shape).astype(np.float32)
+    m.r += rng.normal(0, 0.3, m.r.shape).astype(np.float32)
+    contexts = np.stack([np.where(rng.random(5000) < 0.5, rng.integers(0, n, 5000), n + rng.integers(0, 256, 5000)) for _ in range(2)], 1)
+    classes = rng.integers(0, n, 5000)
+    logits = (m.hidden(contexts).astype(np.float64) @ m.r.T) + m.b
+    mass = np.exp(logits)
+    norm = mass.sum(1)
+    seen, exp = [0], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (seen.__setitem__(0, seen[0] + np.size(x)), exp(x, *a, **k))[1])
+    own, tail, _ = m.log10_and_tail(classes, contexts, 60)
+    monkeypatch.undo()
+    assert np.allclose(own, np.log10(mass[np.arange(5000), classes] / norm), atol=2e-6) and np.allclose(tail, np.log10(mass[:, 60:].sum(1) / norm), atol=2e-6)
+    assert seen[0] <= 2 * n * len(m.q) + n < len(np.unique(contexts, axis=0)) * n
+    m.r *= 40  # factors beyond floats: the plain way
+    m.products = None
+    own, _, _ = m.log10_and_tail(classes, contexts, 60)
+    logits = (m.hidden(contexts).astype(np.float64) @ m.r.T) + m.b
+    assert not m.products.fits and np.allclose(own, (logits[np.arange(5000), classes] - np.logaddexp.reduce(logits, axis=1)) / np.log(10), rtol=1e-4, atol=1e-3)
+
+
+def test_cells_side_by_side_score_as_alone():
+    """Cells of several lengths, one without training tokens of its own and one of a single type, trained together or one by one."""
+    rng, cells = np.random.default_rng(1), []
+    for number, (tokens, types, rest) in enumerate([(900, 40, 0.2), (500, 7, 0.5), (129, 30, 0.0), (128, 1, 0.0), (5, 3, 0.0), (4, 3, 1.0)]):
+        full = lbl.with_ones(rng.normal(0, 1, (max(1, tokens // 2), lbl.WIDTH)).astype(np.float32))
+        members = rng.integers(0, types, tokens)
+        cells.append(lbl.Cell(number, members, rng.integers(0, len(full), tokens), full, 1 + np.bincount(members, minlength=types), np.arange(tokens) < rest * tokens))
+    together = lbl.cell_scores(cells)
+    for c, some in zip(cells, together, strict=True):
+        assert np.allclose(some, lbl.cell_scores([c])[0], atol=1e-5) and (some < 1e-6).all()
+    learnt, plain = together[0][180:], np.log10(cells[0].counts / cells[0].counts.sum())[cells[0].members[180:]]
+    assert not np.allclose(learnt, plain, atol=1e-3)
+
+
+def test_draws_and_orders_are_the_plain_ones():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 300):
+        m = lbl.Members(rng.integers(0, 1000, n) * (rng.random(n) < 0.5), np.array([0, n]))
+        mass = np.concatenate([rng.random(2000) * m.cdf[-1], m.cdf, [0.0]])
+        assert np.array_equal(m.drawn(mass), np.searchsorted(m.cdf, mass, "right"))
+    t, one, two, held = rng.integers(0, 5, 900), rng.integers(0, 9, 900).astype("<u4"), rng.integers(0, 1 << 20, 900).astype("<u4"), rng.random(900) < 0.3
+    for types in (5, 1 << 40):  # as one number, and without room for that
+        order = lbl.by_type(t, types, one, two, held)
+        assert np.array_equal(*(np.stack([x[o].astype(np.int64) for x in (t, one, two, held)]) for o in (order, np.lexsort((held, two, one, t)))))
+
+
+def test_word_hashes_at_run_borders():
+    """Hashes as their definition says, word by word, where words cross the runs that are hashed at once and beyond 256 bytes."""
+    def plain(word: bytes) -> int:
+        code = sum(int(shingles.BYTE_CODES[b]) * int(shingles.POWERS[i]) for i, b in enumerate(word.lower()))
+        return int(shingles.scramble(np.array([code % (1 << 64)], np.uint64))[0])
+
+    run, rng = shingles.RUN, np.random.default_rng(3)
+    texts = [b" " * (run - 100) + b"Ab" * 100 + b" z", b"k " * run, b"", b"\t", b"q" * 256 + b" ", bytes(rng.choice(np.frombuffer(b"aBc \xc3\xa9", np.uint8), 3 * run))]
+    for some in ([t] for t in [*texts, b"x" * 256]):
+        hashes, counts = shingles.word_hashes(some)
+        words = [w for t in some for w in WORD.findall(t)]
+        assert counts.tolist() == [len(WORD.findall(t)) for t in some] and hashes.tolist() == [plain(w) for w in words]
+    alone = np.concatenate([shingles.word_hashes([t])[0] for t in texts])
+    assert np.array_equal(shingles.word_hashes(texts)[0], alone)
+    mixed = shingles.word_hashes([*texts, b"y" * 700])[0]  # a word beyond 256 bytes: all by their places in words
+    assert np.array_equal(mixed[:-1], alone)
+
+
 def test_hot_cells_in_parts(docs):
     """Packs of 200 tokens: cells in parts keep all counts, score near the whole ones, and do not hang on the partitioning."""
     whole, parts, again = ({r["doc_id"]: r for r in d.collect()} for d in (lbl.score(docs), lbl.score(docs, pack=200), lbl.score(docs.repartition(5), pack=200)))
